@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import encode, leak, lookalike
+from chunkloom.llm import credentials, encode, leak, lookalike
 from chunkloom.storage import table
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of delivered files on which a credential begins."""
+    return credentials.found_lines(table(spark, folder, "code_normalized_event"), "delivery_id")
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every delivered file with its credentials redacted."""
+    return credentials.redacted_texts(table(spark, folder, "code_normalized_event"), "delivery_id")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of each document by byte_bpe_50k, without special tokens."""
     return encode.encoded(table(spark, folder, "documents"))
@@ -30,6 +40,6 @@ def p10_text(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.unified(table(spark, folder, "documents")).withColumnRenamed("form", "text")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_text": p10_text}
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_text": p10_text}
 
 SQL: dict[str, str] = {}
