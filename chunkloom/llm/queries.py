@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import budget, credentials, encode, leak, lookalike, markup, pieces
+from chunkloom.llm import budget, credentials, encode, handwritten, leak, lookalike, markup, pieces
 from chunkloom.storage import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Deliveries of files that nobody wrote by hand for their repository."""
+    files = table(spark, folder, "code_normalized_event")
+    return handwritten.not_handwritten(files, repository=F.col("metadata")["repo"]).select("delivery_id")
+
+
+def p2_handwritten(spark: SparkSession, folder: str) -> DataFrame:
+    """Deliveries of hand-written files."""
+    files = table(spark, folder, "code_normalized_event").filter(F.col("normalized_content").isNotNull())
+    return files.select("delivery_id", "file_path").join(p2_found(spark, folder), "delivery_id", "left_anti")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records that exceed their limit and come out in pieces."""
     made = pieces.oversized_pieces(*_oversized(spark, folder), with_text=False)
@@ -84,7 +96,7 @@ def p10_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_estimated": p7_estimated,
+    "p2_found": p2_found, "p2_handwritten": p2_handwritten, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_estimated": p7_estimated,
     "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_text": p10_text,
 }
 
@@ -105,6 +117,6 @@ SQL: dict[str, str] = {
             FROM chunk WHERE token_count >= 1 AND token_count <= strlen(content) GROUP BY id)
         SELECT c.source_kind, a.domain, coalesce(n1.language, n2.language, 'und') AS language, sum(token_count)::BIGINT AS n_tokens
         FROM counted c LEFT JOIN names n1 ON n1.written = c.written
-        LEFT JOIN names n2 ON n2.written = regexp_replace(c.written, '^([a-z]{{2,3}})[-_](?:[a-z]{{4}}[-_])?(?:[a-z]{{2}}|[0-9]{{3}})$', '\\1')
+        LEFT JOIN names n2 ON n2.written = regexp_replace(c.written, '^([a-z]{{2,3}})(?:[-_][a-z]{{4}})?(?:[-_](?:[a-z]{{2}}|[0-9]{{3}}))?$', '\\1')
         LEFT JOIN source_account a ON a.source_id = c.source_id GROUP BY ALL""",
 }
