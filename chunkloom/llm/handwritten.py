@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from chunkloom.storage import cut
 
 #: At most so many rows are labelled and collected for training; about a fifth of the repositories validate.
-SAMPLE_ROWS = 3_000
-BODY, EDGE, PATH = 1 << 13, 1 << 11, 1 << 11
+SAMPLE_ROWS = 2_500
+BODY, EDGE, PATH = 1 << 12, 1 << 11, 1 << 11
 SIZE = BODY + EDGE + PATH + 4
 EDGE_TOP, EDGE_END = 14, 4
 MIN_COPIED = 120
@@ -182,20 +182,20 @@ def fit(x: np.ndarray, y: np.ndarray, parts: np.ndarray, cost: float = 60.0, rou
 
 def train(rows: list[tuple[str | None, str | None, str, bool]]) -> Model:
     """From (repository, path, text, copied): labels, masks, splits by repository, fits, and sets the threshold."""
-    made, ys, held, parts = [], [], [], []
-    for repo, path, text, copied in rows:
+    x = np.zeros((2 * len(rows), SIZE), np.float32)  # the largest thing in the driver: 2 * SAMPLE_ROWS * SIZE * 4 bytes
+    y, test, part = np.zeros(len(x), np.int8), np.zeros(len(x), bool), np.ones(len(x), np.float32)
+    for i, (repo, path, text, copied) in enumerate(rows):
         head, body = edges(text)
-        y = label(path, text, copied)
-        made += [vector(path, head, body, copied), vector(path, "", body, copied)]
-        ys += [y, y]
-        parts += [1.0, MASKED_WEIGHT]
-        held += [_fnv(repo or "") % 5 == 0] * 2
-    if not made or len(set(ys)) < 2:
-        return Model(np.zeros(SIZE, np.float32), 0.0 if ys and ys[0] == 0 else -1.0, {})
-    x, y, test = np.stack(made), np.array(ys), np.array(held)
+        x[2 * i] = vector(path, head, body, copied)
+        x[2 * i + 1] = vector(path, "", body, copied)
+        y[2 * i:2 * i + 2] = label(path, text, copied)
+        test[2 * i:2 * i + 2] = _fnv(repo or "") % 5 == 0
+    part[1::2] = MASKED_WEIGHT
+    if len(set(y)) < 2:
+        return Model(np.zeros(SIZE, np.float32), -1.0 if len(y) and y[0] else 0.0, {})
     if len(set(y[~test])) < 2 or len(set(y[test])) < 2:
         test = np.arange(len(y)) // 2 % 5 == 0
-    w = fit(x[~test], y[~test], np.array(parts, np.float32)[~test])
+    w = fit(x, y, np.where(test, 0, part).astype(np.float32))
     plain = test & (np.arange(len(y)) % 2 == 0)
     scores = x[plain] @ w
     truth = y[plain] > 0
