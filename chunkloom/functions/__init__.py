@@ -1 +1 @@
-
+"""Column functions and token counters."""

@@ -1 +1 @@
-
+"""Operators: routing, segmentation, symbols, enrichment, delivery."""
