@@ -33,33 +33,40 @@ def routed(items: DataFrame, chunker: str | None = None, config: ChunkConfig = C
 
 
 def pieces(items: DataFrame, config: ChunkConfig = ChunkConfig(), chunker: str | None = None, tokens: str = "regex",
-           most: int = BatchConfig().max_content_size) -> DataFrame:
-    """One row per chunk of each item (id, source_kind, content_type, content, metadata, optionally entities).
+           most: int = BatchConfig().max_content_size, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per chunk of each item (id, source_kind, content_type, content, metadata, optionally entities), with the item's ``carry`` columns.
 
     Null and empty contents give no row; repeated items each give their rows; other columns are ignored.
     """
     given = F.transform("entities", lambda e: F.struct(*[e[k].alias(k) for k in ("entity_type", "name", "start_line", "end_line")])) if "entities" in items.columns else F.array()
     narrow = routed(items, chunker, config).filter(F.octet_length("content") > 0).select(
-        F.col("id").alias("item"), "chunker", "content", "content_type", "path", "language", given.cast(_ENTITIES).alias("entities"))
+        F.col("id").alias("item"), "chunker", "content", "content_type", "path", "language", given.cast(_ENTITIES).alias("entities"), *[F.col(f"`{c}`").alias(f"carried_{c}") for c in carry])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokens)
         for batch in batches:
             rows: list[tuple] = []
-            for item, name, content, kind, path, language, own in zip(*(c.to_pylist() for c in batch.columns)):
+            origin: list[int] = []
+            for at, (name, content, kind, path, language, own) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:7]))):
                 try:
                     made = chunked(Item(content, kind or "", path, language, [e for e in own or [] if e]), name, config, count, most)
                 except Exception as e:  # noqa: BLE001 - a failed item is a row of the result
-                    rows.append((item, name, None, None, None, None, None, *[None] * 10, f"{type(e).__name__}: {e}"))
+                    origin.append(at)
+                    rows.append((name, *[None] * 15, f"{type(e).__name__}: {e}"))
                     continue
+                origin += [at] * len(made)
                 for p in made:
                     m, span = p.meta, p.meta.get("lines", (None, None))
-                    rows.append((item, name, p.content, p.tokens, p.start, p.end, p.index, m.get("meta_type"), m.get("language"), m.get("path"), m.get("section"),
+                    rows.append((name, p.content, p.tokens, p.start, p.end, p.index, m.get("meta_type"), m.get("language"), m.get("path"), m.get("section"),
                                  m.get("symbol_name"), span[0], span[1], m.get("author"), m.get("thread_id"), m.get("ts"), None))
-            columns = list(zip(*rows)) or [()] * len(_FIELDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS)], [n for n, _ in _FIELDS])
+            columns = list(zip(*rows)) or [()] * (len(_FIELDS) - 1)
+            from_item = pa.array(origin, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(from_item), *[pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS[1:])], *[c.take(from_item) for c in batch.columns[7:]]],
+                [*[n for n, _ in _FIELDS], *carry])
 
-    return narrow.mapInArrow(run, _OUT)
+    kinds = dict(narrow.dtypes)
+    return narrow.mapInArrow(run, ", ".join([_OUT, *[f"`{c}` {kinds[f'carried_{c}']}" for c in carry]]))
 
 
 def chunk_id(item: Column, index: Column, chunker: Column) -> Column:
@@ -96,13 +103,12 @@ def with_lines(metadata: Column, start: Column, end: Column) -> Column:
 
 def chunks(items: DataFrame, config: ChunkConfig = ChunkConfig(), chunker: str | None = None, tokens: str = "regex", created_at: Column | None = None) -> DataFrame:
     """Chunks with provenance in the documented schema; items whose chunker failed are left out (see ``batch``)."""
-    made = pieces(items, config, chunker, tokens).filter(F.col("error").isNull())
-    origin = items.select(F.col("id").alias("item"), "source_id", "source_kind").dropDuplicates(["item"])
+    made = pieces(items, config, chunker, tokens, carry=("source_id", "source_kind")).filter(F.col("error").isNull())
     lines = F.when(F.col("line_start").isNotNull(), F.struct(F.col("line_start").alias("start"), F.col("line_end").alias("end")))
     content_type = F.coalesce("meta_type", F.when(F.col("chunker") == "document", "document").when(F.col("chunker") == "chat", "chat"))
     meta = metadata_struct(content_type=content_type, language=F.col("language"), path=F.col("path"), section=F.col("section"), symbol_name=F.col("symbol_name"),
                            line_range=lines, author=F.col("author"), thread_id=F.col("thread_id"), timestamp=F.try_to_timestamp("ts"))
-    return made.join(origin, "item").select(
+    return made.select(
         chunk_id(F.col("item"), F.col("chunk_index"), F.col("chunker")).alias("id"), F.col("item").alias("source_item_id"), "source_id", "source_kind", "content",
         "token_count", "start_index", "end_index", "chunk_index", meta.alias("metadata"), F.lit(None).cast("array<float>").alias("embedding"),
         (F.current_timestamp() if created_at is None else created_at).alias("created_at"))

@@ -32,8 +32,10 @@ def _repeated(keyed: DataFrame) -> DataFrame:
     return counted.filter(F.col("__copies") > 1)
 
 
-def _keyed(messages: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    return messages.withColumn("__key", key).withColumn("__order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+def _keyed(messages: DataFrame, key: Column, order: list[Column], **more: Column) -> DataFrame:
+    """Key, order and the whole row as one column, so that no name of the table can clash with these."""
+    return messages.select(key.alias("__key"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("__order"),
+                           F.struct("*").alias("__row"), *[c.alias(n) for n, c in more.items()])
 
 
 def later_copies(messages: DataFrame, key: Column, order: list[Column], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -48,7 +50,7 @@ def later_copies(messages: DataFrame, key: Column, order: list[Column], hot_rows
     cold = repeated.filter(F.col("__copies") <= hot_rows).drop("__copies")
     later = F.col("__order") > F.col("__first")
     found = keyed.join(F.broadcast(hot), "__key").filter(later).unionByName(keyed.join(cold, "__key").filter(later))
-    return found.select(*[F.col(f"`{c}`") for c in messages.columns])
+    return found.select("__row.*")
 
 
 def once(messages: DataFrame, key: Column, order: list[Column], stored: DataFrame | None = None,
@@ -59,11 +61,10 @@ def once(messages: DataFrame, key: Column, order: list[Column], stored: DataFram
     Rows with a null key are messages of their own and all pass. Of rows equal in ``order`` one is kept. An empty table
     gives an empty one.
     """
-    columns = [F.col(f"`{c}`") for c in messages.columns]
-    both = messages.withColumn("__new", F.lit(1))
+    keyed = _keyed(messages, key, [F.lit(1), *order], __new=F.lit(True))
     if stored is not None:
-        both = stored.select(*columns).withColumn("__new", F.lit(0)).unionByName(both)
-    keyed = _keyed(both, key, [F.col("__new"), *order])
+        same = stored.select(*[F.col(f"`{c}`") for c in messages.columns])
+        keyed = _keyed(same, key, [F.lit(0), *order], __new=F.lit(False)).unionByName(keyed)
     repeated = _repeated(keyed).select("__key", "__copies")
     hot = repeated.filter(F.col("__copies") > hot_rows)
     known = keyed.filter(F.col("__key").isNotNull())
@@ -76,4 +77,4 @@ def once(messages: DataFrame, key: Column, order: list[Column], stored: DataFram
     rank = F.row_number().over(Window.partitionBy("__key").orderBy("__order"))
     ranked = groups.withColumn("__rank", rank).filter(F.col("__rank") <= 1).drop("__rank")
     kept = keyed.filter(F.col("__key").isNull()).unionByName(singles).unionByName(ranked)
-    return kept.filter(F.col("__new") == 1).select(*columns)
+    return kept.filter("__new").select("__row.*")

@@ -156,16 +156,22 @@ def agentic_boundaries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def content_analysis(spark: SparkSession, folder: str) -> DataFrame:
-    """Features of code contents by expressions: tokens, lines, what they hold, and their nesting."""
+    """Features of code contents: tokens, lines and what they hold."""
     rows = _code(spark, folder).filter("content <> ''").select("id", "content", lines(F.col("content")).alias("l"))
-    depth = F.aggregate(F.regexp_extract_all("content", F.lit(r"[{(\[\])}]"), F.lit(0)), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")),
-                        lambda a, c: F.struct(F.when(c.isin("{", "(", "["), a["d"] + 1).otherwise(F.greatest(F.lit(0), a["d"] - 1)).alias("d"),
-                                              F.greatest(a["m"], F.when(c.isin("{", "(", "["), a["d"] + 1).otherwise(0)).alias("m")), lambda a: a["m"])
     bytes_ = F.aggregate("l", F.lit(0), lambda a, x: a + F.octet_length(x))
     return rows.select("id", count_tokens(F.col("content")).alias("total_tokens"), F.size("l").alias("total_lines"),
                        (F.col("content").contains("```") | F.col("content").contains("    fn ")).alias("has_code_blocks"), F.exists("l", lambda x: x.startswith("#")).alias("has_headings"),
                        F.exists("l", lambda x: x.rlike("^(import |from |use |#include)")).alias("has_imports"),
-                       F.when(F.size("l") > 0, F.floor(bytes_ / F.size("l"))).otherwise(0).cast("int").alias("avg_line_length"), depth.alias("nesting_depth"))
+                       F.when(F.size("l") > 0, F.floor(bytes_ / F.size("l"))).otherwise(0).cast("int").alias("avg_line_length"))
+
+
+def nesting_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """Deepest nesting of brackets, never below zero."""
+    opens = lambda c: c.isin("{", "(", "[")
+    depth = F.aggregate(F.regexp_extract_all("content", F.lit(r"[{(\[\])}]"), F.lit(0)), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")),
+                        lambda a, c: F.struct(F.when(opens(c), a["d"] + 1).otherwise(F.greatest(F.lit(0), a["d"] - 1)).alias("d"),
+                                              F.greatest(a["m"], F.when(opens(c), a["d"] + 1).otherwise(0)).alias("m")), lambda a: a["m"])
+    return _code(spark, folder).filter("content <> ''").select("id", depth.alias("depth"))
 
 
 def _code_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -277,7 +283,7 @@ def event_items(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     chunk_items, chunk_rows, route_items, item_fields, detect_language, chunkers_by_name, token_counts, token_windows, sentence_chunks, sentences, merged_sentences, recursive_chunks,
     document_chunks, heading_sections, chat_chunks, ticket_chunks, csv_chunks, markdown_table_chunks, code_line_chunks, code_entity_chunks, code_gaps, agentic_chunks, agentic_boundaries,
-    content_analysis, code_symbols, python_definitions, symbol_index, file_symbols, file_imports, enrich_prefix, large_item_split, batch_summary, chunk_totals, profiles_sweep,
+    content_analysis, nesting_depth, code_symbols, python_definitions, symbol_index, file_symbols, file_imports, enrich_prefix, large_item_split, batch_summary, chunk_totals, profiles_sweep,
     graph_payload, embed_payload, sink_batches, job_counts, job_cleanup, ring_stats, ring_partitions, circuit_breaker, event_items)}
 
 _CHUNKER = """CASE WHEN content_type LIKE 'text/code:%' OR content_type LIKE '%x-source%' THEN 'code' WHEN content_type LIKE '%markdown%' THEN 'document'
@@ -351,6 +357,26 @@ SQL = {
         WHEN regexp_matches(t, '^(pub )?(async )?fn ') THEN 'FunctionDef' WHEN regexp_matches(t, '^(pub )?impl ') THEN 'ImplBlock' WHEN regexp_matches(t, '^(pub )?(struct|enum) ') THEN 'TypeDef'
         WHEN regexp_matches(t, '^(class|interface) ') THEN 'ClassDef' WHEN regexp_matches(t, '^(async )?def ') THEN 'FunctionDef' WHEN regexp_matches(t, '^(pub )?mod ') THEN 'ModuleDef'
         WHEN regexp_matches(t, '^(///|//!|/\*)') THEN 'DocComment' END AS kind FROM (SELECT id, k, {_TRIMMED} AS t FROM (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS k FROM ({_CODE_LINES})))) WHERE kind IS NOT NULL GROUP BY id, kind""",
+    "content_analysis": f"""SELECT d.id, {_COUNT.format('e.normalized_content')}::INTEGER AS total_tokens, len(l)::INTEGER AS total_lines,
+        contains(e.normalized_content, '```') OR contains(e.normalized_content, '    fn ') AS has_code_blocks, coalesce(list_bool_or(list_transform(l, lambda x: starts_with(x, '#'))), false) AS has_headings,
+        coalesce(list_bool_or(list_transform(l, lambda x: regexp_matches(x, '^(import |from |use |#include)'))), false) AS has_imports,
+        CASE WHEN len(l) > 0 THEN list_sum(list_transform(l, lambda x: strlen(x))) // len(l) ELSE 0 END::INTEGER AS avg_line_length
+        FROM ({_CODE_LINES}) d JOIN code_normalized_event e ON e.delivery_id::VARCHAR = d.id""",
+    "heading_sections": f"""WITH rows AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT id, {_LINES.format('content')} AS l FROM (SELECT id, any_value(content) AS content FROM source_item WHERE content <> '' GROUP BY 1))),
+        fenced AS (SELECT *, sum(starts_with(line, '```')::INTEGER) OVER (PARTITION BY id ORDER BY n) % 2 = 1 AS inside FROM rows),
+        marked AS (SELECT *, NOT inside AND regexp_matches(line, '^#{{1,6}}[{WS}]+.+$') AS heading FROM fenced),
+        numbered AS (SELECT *, sum(heading::INTEGER) OVER (PARTITION BY id ORDER BY n) AS section FROM marked)
+        SELECT id AS item, section::BIGINT AS section_no, coalesce(max(CASE WHEN heading THEN length(regexp_extract(line, '^(#{{1,6}})', 1)) END), 0)::INTEGER AS level,
+        max(CASE WHEN heading THEN regexp_extract(line, '^#{{1,6}}[{WS}]+(.+)$', 1) END) AS title, count(*) AS n_lines FROM numbered GROUP BY id, section
+        HAVING bool_or(regexp_matches(line, '[^{WS}]'))""",
+    "merged_sentences": f"""WITH RECURSIVE parts AS MATERIALIZED (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS s, len(l) AS n FROM ({_SENTENCES})),
+        walk AS (SELECT doc_id, i, n, s AS open, 0 AS m FROM parts WHERE i = 1
+            UNION ALL SELECT w.doc_id, p.i, w.n, CASE WHEN strlen(w.open) >= 40 THEN p.s ELSE w.open || ' ' || p.s END, w.m + CASE WHEN strlen(w.open) >= 40 THEN 1 ELSE 0 END
+            FROM walk w JOIN parts p ON p.doc_id = w.doc_id AND p.i = w.i + 1),
+        made AS (SELECT doc_id, m, arg_max(open, i) AS segment, max(max(m)) OVER (PARTITION BY doc_id) AS last FROM walk GROUP BY doc_id, m),
+        short AS (SELECT doc_id, m AS last, segment AS tail FROM made WHERE m = last AND m > 0 AND strlen(segment) < 40)
+        SELECT made.doc_id, m::INTEGER AS pos, CASE WHEN tail IS NOT NULL AND m = made.last - 1 THEN segment || ' ' || tail ELSE segment END AS segment
+        FROM made LEFT JOIN short ON short.doc_id = made.doc_id WHERE NOT (tail IS NOT NULL AND m = made.last)""",
     "python_definitions": rf"""SELECT path, regexp_extract({_TRIMMED}, '^(?:async )?def ([^(\s]+)', 1) AS name, k::INTEGER AS line FROM (SELECT d.id AS path, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS k
         FROM ({_CODE_LINES}) d JOIN code_normalized_event e ON e.delivery_id::VARCHAR = d.id AND lower(string_split(e.file_path, '.')[-1]) = 'py') WHERE regexp_matches({_TRIMMED}, '^(?:async )?def [^(\s]')""",
     "enrich_prefix": """WITH parts AS (SELECT delivery_id, list_filter(['# File: ' || coalesce(file_path, ''), CASE WHEN language <> '' THEN '# Language: ' || language END, '# Repository: ' || metadata['repo'],
