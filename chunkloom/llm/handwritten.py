@@ -43,7 +43,7 @@ _MADE_HEAD = re.compile(
     r"this output was created by|自動生成|自动生成|создано автоматически|meta name=.generator|machine.generated|a bison parser|generated automatically by)")
 _MADE_NAME = re.compile(r"(?:\.pb\.go|_pb2(?:_grpc)?\.py|\.g\.cs|\.designer\.cs|\.generated\.\w+|\.tab\.[ch]|-lock\.json|/?\w*\.lock|\.min\.(?:js|css)|\.bundle\.(?:js|css)|\.[0-9a-f]{8}\.(?:js|css)|allclasses\.html)$", re.I)
 _DATA_LINE = re.compile(r"\s*(?:INSERT INTO \w+ VALUES \(\d|\{?\"id\": \d+|\[?[\d.\-]+(?:,\s*[\d.\-]+){5,}|['\"][A-Za-z0-9+/=]{60,}['\"]|\(?0x[0-9a-f]{2}, ?0x)", re.I)
-_NUMBERED = re.compile(r"\b[A-Za-z][A-Za-z_]*?_?(\d{1,3})\b(?!['\"])")
+_NUMBERED = re.compile(r"\b_*[A-Za-z][A-Za-z_]*?_?(\d{1,3})\b(?!['\"])")
 _SETTINGS = re.compile(r"\.(?:json|ya?ml|toml|ini|env|properties|xml|tf|cfg|conf)$|(?:^|/)(?:\.env[\w.]*|\.npmrc|\.netrc|Dockerfile|pip\.conf)$", re.I)
 
 

@@ -99,12 +99,16 @@ def _ranges(points: list[int]) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
 
 
+def _mark_class() -> str:
+    return _ranges([cp for cp in range(0x300, 0x20000) if unicodedata.combining(chr(cp))])
+
+
 @lru_cache(maxsize=1)
 def sequence_pattern() -> str:
-    """A combining sequence: Hangul letters of one syllable, or a character with what is ordered and composed after it."""
-    marks = _ranges([cp for cp in range(0x300, 0x20000) if unicodedata.combining(chr(cp))])
+    """A combining sequence: Hangul letters of one syllable, or a character with what is ordered and composed after it, or marks that begin a text."""
+    marks = _mark_class()
     joiners = _ranges(sorted({ord(k[0]) for tails in _composites().values() for k in tails if not unicodedata.combining(k[0]) and not 0x1100 <= ord(k[0]) < 0x1200}))
-    return f"[\\x{{1100}}-\\x{{1112}}][\\x{{1161}}-\\x{{1175}}][\\x{{11a8}}-\\x{{11c2}}]?{marks}*|[\\s\\S&&[^{marks[1:-1]}]](?:{joiners}{marks}*|{marks}+)"
+    return f"[\\x{{1100}}-\\x{{1112}}][\\x{{1161}}-\\x{{1175}}][\\x{{11a8}}-\\x{{11c2}}]?{marks}*|[\\s\\S&&[^{marks[1:-1]}]](?:{joiners}{marks}*|{marks}+)|\\A{marks}+"
 
 
 def _mapping(spark: SparkSession) -> DataFrame:
@@ -152,18 +156,19 @@ def unified(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     mapped = items.join(F.broadcast(_mapping(spark)), "item", "left").groupBy("k").agg(
         F.array_sort(F.collect_list(F.struct("pos", plain.alias("p")))).alias("parts"))
     decomposed = mapped.select("k", F.array_join(F.col("parts.p"), "").alias("t"))
-    sequences = decomposed.select("k", "t", F.regexp_extract_all("t", F.lit(sequence_pattern()), F.lit(0)).alias("seqs"))
-    marks = sequences.select("k", "t", F.posexplode_outer("seqs").alias("i", "seq")).select(
-        "k", "t", "i", F.substring("seq", 1, 1).alias("starter"), F.posexplode_outer(F.split(F.expr("substring(seq, 2)"), "")).alias("j", "mark"))
+    # each row holds a sequence and the text before it, so that what is exploded stays in proportion to the text
+    parts = F.arrays_zip(F.split("t", sequence_pattern(), -1).alias("before"), F.regexp_extract_all("t", F.lit(sequence_pattern()), F.lit(0)).alias("seq"))
+    sequences = decomposed.select("k", F.posexplode(parts).alias("i", "x")).select("k", "i", F.col("x.before").alias("before"), F.col("x.seq").alias("seq"))
+    bare = F.col("seq").rlike("^" + _mark_class())
+    marks = sequences.select("k", "i", "before", F.when(bare, "").otherwise(F.substring("seq", 1, 1)).alias("starter"),
+                             F.posexplode_outer(F.split(F.when(bare, F.col("seq")).otherwise(F.expr("substring(seq, 2)")), "")).alias("j", "mark"))
     ordered = marks.join(F.broadcast(_classes(spark)), "mark", "left").groupBy("k", "i").agg(
-        F.first("t").alias("t"), F.first("starter").alias("starter"),
+        F.first("before").alias("before"), F.first("starter").alias("starter"),
         F.array_sort(F.collect_list(F.struct(F.coalesce("class", F.lit(0)).alias("class"), "j", "mark"))).alias("marks"))
     composed = ordered.join(F.broadcast(_starters(spark)), "starter", "left").select(
-        "k", "t", "i", _compose(F.col("marks"), F.col("starter"), F.col("composites")).alias("c"))
-    rebuilt = composed.groupBy("k").agg(F.first("t").alias("t"), F.array_sort(F.collect_list(F.struct("i", "c"))).alias("cs"))
-    between = F.split("t", sequence_pattern(), -1)
-    joined = F.array_join(F.zip_with(between, F.col("cs.c"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    form = F.when(F.col("cs")[0]["i"].isNull(), F.col("t")).otherwise(joined)
+        "k", "i", F.concat("before", F.when(F.col("starter").isNull(), "").otherwise(_compose(F.col("marks"), F.col("starter"), F.col("composites")))).alias("c"))
+    rebuilt = composed.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("cs"))
+    form = F.array_join(F.col("cs.c"), "")
     return rows.filter(~other).select("k", F.col("t").alias("form")).unionByName(rebuilt.select("k", form.alias("form"))).withColumnRenamed("k", key)
 
 

@@ -22,7 +22,9 @@ _TAGS = ("a|abbr|address|article|aside|audio|b|base|blockquote|body|br|button|ca
          "embed|fieldset|figcaption|figure|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|label|legend|li|link|main|mark|meta|nav|"
          "noscript|object|ol|option|p|param|picture|pre|q|s|samp|script|section|select|small|source|span|strike|strong|style|sub|summary|sup|svg|table|tbody|td|"
          "textarea|tfoot|th|thead|time|title|tr|tt|u|ul|var|video|ref|nowiki|math|syntaxhighlight|gallery|includeonly|noinclude|onlyinclude")
-_TAG = re.compile(rf"<(?:/(?:{_TAGS})\s*|(?:{_TAGS})(?:\s+[a-z_:][\w:.\-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*\s*/?)>|<!--.*?-->|<!doctype\s[^>]*>", re.I | re.S)
+_ATTRIBUTES = r"(?:\s+[a-z_:][\w:.\-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)+"
+#: A bare opening tag right after a word is a type's parameter, unless the element is one that stands in the flow.
+_TAG = re.compile(rf"</(?:{_TAGS})\s*>|<(?:{_TAGS}){_ATTRIBUTES}\s*/?>|(?:(?<![A-Za-z0-9_])|(?=<(?:br|hr|p|li|b|i|u|em|sub|sup|ref|img)\b))<(?:{_TAGS})\s*/?>|<!--.*?-->|<!doctype\s[^>]*>", re.I | re.S)
 _ENTITY = re.compile(r"&(?:#\d{2,6}|#x[0-9a-f]{2,5}|(?:lt|gt|amp|quot|apos|nbsp|ndash|mdash|hellip|copy|reg|trade|euro|times|laquo|raquo|[lr][sd]quo|bull|middot|deg|[aeiouAEIOU](?:uml|acute|grave|circ)|szlig|ntilde|ccedil));", re.I)
 
 #: (kind, characters one of which must be there, pattern)
@@ -177,7 +179,7 @@ def _wiki(text: str, kept: _Kept) -> str:
         text = re.sub(r"^#+ ", "1. ", re.sub(r"^\*+ ", "- ", text, flags=re.M), flags=re.M)
     text = re.sub(r"^(={2,6})[^\S\n]*([^=\n]+?)[^\S\n]*={2,6}[^\S\n]*$", lambda m: f"{'#' * (len(m[1]) - 1)} {m[2]}", text, flags=re.M)
     text = re.sub(r"^h([1-6])\. ", lambda m: "#" * int(m[1]) + " ", text, flags=re.M)
-    text = re.sub(r"^\s*\{\|[^\n]*$|^\s*\|\}\s*$|^\s*\|-[^\n]*$|^\s*\|\+[^\n]*$", "", text, flags=re.M)
+    text = re.sub(r"^[^\S\n]*(?:\{\||\|\}|\|-(?!-)|\|\+)[^\n]*(?:\n|\Z)", "", text, flags=re.M)
     text = re.sub(r"^[|!](?!\|)[^\n]*(?:\|\||!!)[^\n]*$", lambda m: re.sub(r"\s*(?:\|\||!!)\s*", "\t", m[0][1:].strip()), text, flags=re.M)
     text = re.sub(r"^\|\|([^\n]+?)\|\|\s*$", lambda m: re.sub(r"\s*\|\|\s*", "\t", m[1]), text, flags=re.M)
     for _ in range(2):
@@ -193,7 +195,7 @@ def _wiki(text: str, kept: _Kept) -> str:
 def _markdown(text: str, kept: _Kept) -> str:
     text = re.sub(r"^([^\n|]*\w[^\n|]*)\n(=|-)\2{2,}[^\S\n]*$", lambda m: f"{'#' if m[2] == '=' else '##'} {m[1].strip()}", text, flags=re.M)
     text = re.sub(r"(?<![`\\])`([^`\n]+)`(?!`)", lambda m: kept.hold(m[1]), text)
-    text = re.sub(r"^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*(?::?-{3,}:?\s*\|?)?\s*$\n?", "", text, flags=re.M)
+    text = re.sub(r"^[^\S\n]*\|?(?:[^\S\n]*:?-{3,}:?[^\S\n]*\|)+(?:[^\S\n]*:?-{3,}:?[^\S\n]*\|?)?[^\S\n]*(?:\n|\Z)", "", text, flags=re.M)
     text = re.sub(r"^\|([^\n]+)\|[^\S\n]*$", lambda m: re.sub(r"\s*\|\s*", "\t", m[1].strip()), text, flags=re.M)
     text = re.sub(r"!?\[([^\[\]\n]*)\]\([^\s()]*(?: \"[^\"]*\")?\)", r"\1", text)
     text = re.sub(r"(?<![*\w\\])(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1(?![\w])", r"\2", text)
