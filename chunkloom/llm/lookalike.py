@@ -108,7 +108,10 @@ def sequence_pattern() -> str:
     """A combining sequence: Hangul letters of one syllable, or a character with what is ordered and composed after it, or marks that begin a text."""
     marks = _mark_class()
     joiners = _ranges(sorted({ord(k[0]) for tails in _composites().values() for k in tails if not unicodedata.combining(k[0]) and not 0x1100 <= ord(k[0]) < 0x1200}))
-    return f"[\\x{{1100}}-\\x{{1112}}][\\x{{1161}}-\\x{{1175}}][\\x{{11a8}}-\\x{{11c2}}]?{marks}*|[\\s\\S&&[^{marks[1:-1]}]](?:{joiners}{marks}*|{marks}+)|\\A{marks}+"
+    # the general category is a cheap test, the class of some 200 ranges is not: it is asked for marks only
+    mark, joiner = rf"(?=\p{{M}}){marks}", rf"(?=\p{{M}}){joiners}"
+    hangul = rf"[\x{{1100}}-\x{{1112}}][\x{{1161}}-\x{{1175}}][\x{{11a8}}-\x{{11c2}}]?(?:{mark})*"
+    return rf"{hangul}|(?:[^\p{{M}}]|\p{{M}}(?<!{marks}))(?:{joiner}(?:{mark})*|(?:{mark})+)|\A(?:{mark})+"
 
 
 def _mapping(spark: SparkSession) -> DataFrame:
@@ -157,7 +160,9 @@ def unified(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         F.array_sort(F.collect_list(F.struct("pos", plain.alias("p")))).alias("parts"))
     decomposed = mapped.select("k", F.array_join(F.col("parts.p"), "").alias("t"))
     # each row holds a sequence and the text before it, so that what is exploded stays in proportion to the text
-    parts = F.arrays_zip(F.split("t", sequence_pattern(), -1).alias("before"), F.regexp_extract_all("t", F.lit(sequence_pattern()), F.lit(0)).alias("seq"))
+    # (by groups of one pattern: a split would compile the pattern anew for every row)
+    both = F.lit(rf"([\s\S]*?)({sequence_pattern()}|\z)")
+    parts = F.arrays_zip(F.regexp_extract_all("t", both, F.lit(1)).alias("before"), F.regexp_extract_all("t", both, F.lit(2)).alias("seq"))
     sequences = decomposed.select("k", F.posexplode(parts).alias("i", "x")).select("k", "i", F.col("x.before").alias("before"), F.col("x.seq").alias("seq"))
     bare = F.col("seq").rlike("^" + _mark_class())
     marks = sequences.select("k", "i", "before", F.when(bare, "").otherwise(F.substring("seq", 1, 1)).alias("starter"),
