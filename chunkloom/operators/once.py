@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
+from chunkloom.operators.skew import HOT_ROWS, with_facts
+
 UUID_FORM = r"^(?U)\s*(?:urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})\}?\s*$"
 
 
@@ -45,12 +46,8 @@ def later_copies(messages: DataFrame, key: Column, order: list[Column], hot_rows
     empty table gives an empty one. Nulls order first.
     """
     keyed = _keyed(messages, key, order)
-    repeated = _repeated(keyed)
-    hot = repeated.filter(F.col("__copies") > hot_rows).drop("__copies")
-    cold = repeated.filter(F.col("__copies") <= hot_rows).drop("__copies")
-    later = F.col("__order") > F.col("__first")
-    found = keyed.join(F.broadcast(hot), "__key").filter(later).unionByName(keyed.join(cold, "__key").filter(later))
-    return found.select("__row.*")
+    known = keyed.filter(F.col("__key").isNotNull())
+    return with_facts(known, _repeated(keyed), "__key", "__copies", hot_rows).filter(F.col("__order") > F.col("__first")).select("__row.*")
 
 
 def once(messages: DataFrame, key: Column, order: list[Column], stored: DataFrame | None = None,
