@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.operators.skew import with_facts
 from chunkloom.storage import cut
 
 #: At most so many rows are labelled and collected for training; about a fifth of the repositories validate.
@@ -206,13 +207,13 @@ def train(rows: list[tuple[str | None, str | None, str, bool]]) -> Model:
     return Model(w, threshold, {"rows": int(plain.sum()), "accuracy": float(((scores > threshold) == truth).mean()), "masked_accuracy": float((masked == truth).mean())})
 
 
-def _copied_bodies(files: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """(key, body) of long enough bodies, and the bodies that stand in more than one source."""
+def _copied(files: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """(k, copied) of rows whose body is long enough and stands in more than one source."""
     bare = F.regexp_replace(F.col(f"`{text}`"), BODY_NOISE, "")
     bodies = files.select(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").alias("s"), F.when(F.length(bare) >= MIN_COPIED, F.xxhash64(bare)).alias("body")).filter("body IS NOT NULL")
     bodies = cut(bodies)
-    several = bodies.groupBy("body").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a <> b").select("body")
-    return bodies, several
+    several = bodies.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).filter("a <> b").select("body", "n")
+    return with_facts(bodies, several, "body", "n").select("k").distinct().withColumn("copied", F.lit(True))
 
 
 def sample(files: DataFrame, flags: DataFrame, key: str, text: str, path: str, repository: Column, limit: int = SAMPLE_ROWS) -> list[tuple]:
@@ -230,8 +231,7 @@ def not_handwritten(files: DataFrame, key: str = "delivery_id", text: str = "nor
     ``repository`` is the column by which validation is split (the source, if none is given). Null paths count as empty,
     repeated rows each give one, other columns are ignored, an empty table gives an empty one.
     """
-    bodies, several = _copied_bodies(files, key, text, source)
-    flags = bodies.join(several, "body", "left_semi").select("k").distinct().withColumn("copied", F.lit(True))
+    flags = _copied(files, key, text, source)
     if model is None:
         model = train(sample(files, flags, key, text, path, F.col(f"`{source}`") if repository is None else repository))
     shipped = files.sparkSession.sparkContext.broadcast(model)

@@ -16,6 +16,9 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkloom.operators.skew import with_facts
+from chunkloom.storage import cut
+
 # Letters of other scripts and the Latin letters that look like them.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -180,14 +183,17 @@ def unified(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def same_look(forms: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All pairs (key_a < key_b) of rows whose texts differ as strings but have one form; null and empty texts are in none.
 
-    Only forms that more than one string has are joined, which map-side minima and maxima of hashes tell, so that any
-    number of exact copies costs nothing. The pairs themselves are the result and are never capped.
+    Only forms that more than one string has matter, which map-side minima and maxima of hashes tell; any number of exact
+    copies of one text is thus left aside. Strings of a form are paired as classes, each standing once, and only then
+    expanded to their rows, so the work stays in proportion to the pairs. These are the result and are never capped.
     """
-    from chunkloom.storage import cut
-
     strings = texts.select(F.col(f"`{key}`").alias("k"), F.md5(F.col(f"`{text}`")).alias("string"), F.length(F.col(f"`{text}`")).alias("n")).filter("n > 0")
     keyed = cut(forms.select(F.col(f"`{key}`").alias("k"), F.md5("form").alias("form")).join(strings.drop("n"), "k"))
-    shared = keyed.groupBy("form").agg(F.min("string").alias("a"), F.max("string").alias("b")).filter("a <> b").select("form")
-    members = keyed.join(shared, "form", "left_semi")
-    a, b = (members.select("form", F.col("k").alias(f"{key}_{x}"), F.col("string").alias(f"s_{x}")) for x in "ab")
-    return a.join(b, "form").filter(f"`{key}_a` < `{key}_b` AND s_a <> s_b").select(f"{key}_a", f"{key}_b")
+    shared = keyed.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.min("string").alias("a"), F.max("string").alias("b")).filter("a <> b").select("form", "n")
+    members = cut(with_facts(keyed, shared, "form", "n").select("k", "form", "string"))
+    classes = members.groupBy("string").agg(F.first("form").alias("form"))
+    a, b = (classes.select("form", F.col("string").alias(f"string_{x}")) for x in "ab")
+    pairs = a.join(b, "form").filter("string_a < string_b").select("string_a", "string_b")
+    left = pairs.join(members.select(F.col("string").alias("string_a"), F.col("k").alias("ka")), "string_a").select("ka", "string_b")
+    both = left.join(members.select(F.col("string").alias("string_b"), F.col("k").alias("kb")), "string_b")
+    return both.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"))

@@ -37,3 +37,10 @@ def test_pairs(spark):
     got = {(r.doc_id_a, r.doc_id_b) for r in lookalike.same_look(lookalike.unified(df), df).collect()}
     assert got == {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] and texts[j] and texts[i] != texts[j] and lookalike.fold_text(texts[i]) == lookalike.fold_text(texts[j])}
     assert len(got) == 6 and lookalike.same_look(lookalike.unified(df.filter("false")), df.filter("false")).count() == 0
+
+
+def test_many_copies_of_one_text_cost_nothing(spark):
+    """30,000 copies of one string beside three other strings of its form: the pairs are linear, and so is the work."""
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(40_000 + i, t) for i, t in enumerate(["a\u00a0b", "\u0430 b", "a\u200b b", "other"])], "doc_id bigint, text string"))
+    assert lookalike.same_look(lookalike.unified(rows), rows).count() == 3 * 30_000 + 3
