@@ -75,6 +75,17 @@ def kafka_sink_options(servers: str, topic: str = "chunk.created") -> dict[str,
             "kafka.enable.idempotence": "true", "kafka.linger.ms": "10", "kafka.batch.size": "16384"}
 
 
+def read_kafka(spark: SparkSession, servers: str, **more) -> DataFrame:
+    """The stream of messages (key, value, received_at); needs the connector on the class path."""
+    stream = spark.readStream.format("kafka").options(**kafka_source_options(servers, **more)).load()
+    return stream.select("key", F.col("value").cast("string").alias("value"), F.col("timestamp").alias("received_at"))
+
+
+def write_kafka(rows: DataFrame, servers: str, topic: str = "chunk.created") -> None:
+    """Writes (key, value, partition) of a finite batch, such as ``streaming.events.outbound`` makes."""
+    rows.write.format("kafka").options(**kafka_sink_options(servers, topic)).save()
+
+
 class RabbitClient:
     """Publishes and consumes JSON over AMQP; the address must be given. Needs the ``pika`` library, imported on use."""
 

