@@ -38,6 +38,8 @@ _LINE_VALUE = re.compile(r"^\s*(?:export\s+|ENV\s+|-\s+|#\s*|//\s*)?(?P<name>[A-
 _XML = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*)>(?P<bare>[^<>\n]+)</(?P=name)>|key=\"(?P<key>[^\"]+)\"\s+value=(?P<lit>\"[^\"\n]*\")")
 _COMMAND = re.compile(rf"(?:\bpassword|\bidentified\s+by|--(?:password|token|secret|api-key|passwd|pass))[\s=]+(?:(?P<lit>{_STRING})|(?P<bare>[^\s\"'`;,]+))", re.I)
 _BEARER = re.compile(r"\b(?:bearer|basic)\s+(?P<bare>[^\s\"'`,;<>{}()]{6,})", re.I)
+_USER = re.compile(r"(?:\s-u|--user)[\s=]+[\"']?[\w.\-]+:(?P<bare>[^\s\"']+)")
+_MORE = re.compile(r"[\"'`]\s*[+.]\s*(?P<q>[\"'`])(?P<lit>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)")
 _URL = re.compile(r"\b[a-z][a-z0-9+.\-]*://(?P<user>[^\s:/@\"'`]*):(?P<bare>[^\s@/\"'`]+)@(?=[\w\[])", re.I)
 _QUERY = re.compile(r"[?&](?P<name>[\w\-]+)=(?P<bare>[^\s&\"'`#]+)")
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
@@ -85,12 +87,16 @@ def _random(value: str) -> bool:
 
 def _mixed(value: str) -> bool:
     """A short password: letters and digits with changes of case, or with marks that no name holds."""
-    if len(value) < 8 or re.search(r"\s|://", value) or not re.search(r"\d", value) or not re.search(r"[A-Za-z]", value):
+    if len(value) < 8 or re.search(r"\s|://", value) or not re.search(r"[A-Za-z]", value):
         return False
-    if re.search(r"[!?*#^%&+$]", value) or re.fullmatch(r"[A-Z][a-z]+(?:-[A-Za-z]+)+-\d+", value):
-        return True
     switches = sum(a.isupper() != b.isupper() or a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))
-    return switches >= 4 and bool(re.search(r"[A-Z]", value) and re.search(r"[a-z]", value))
+    cases = bool(re.search(r"[A-Z]", value) and re.search(r"[a-z]", value))
+    marked = bool(re.search(r"[!?*#^%&+$]", value))
+    if not re.search(r"\d", value):
+        return marked and cases and switches >= 4
+    if marked or re.fullmatch(r"[A-Z][a-z]+(?:-[A-Za-z]+)+-\d+|[A-Za-z]+\d{3,}[^\w\s]", value):
+        return True
+    return switches >= 4 and cases
 
 
 def _plain(value: str) -> bool:
@@ -114,7 +120,7 @@ def _granting(kind: str, value: str, quoted: bool) -> bool:
     if kind in ("secret", "random"):
         if re.match(r"ssh-|ecdsa-|sha\d+[:\-]|md5:|data:", value) or re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", value, re.I):
             return False
-        if re.fullmatch(r"[A-Z]{10,}[a-z]{10,}\d*|(?:[a-z]+[/.\-_#])+[a-z0-9]+|\^.*|.*\[[A-Za-z0-9\-_]+\].*", value):
+        if re.fullmatch(r"[A-Z]{10,}[a-z]{10,}\d*|(?:[a-z]+[/.\-_#])+[a-z0-9]+|\^.*[\[\\$(].*|.*\[[A-Za-z0-9\-_]+\].*", value):
             return False
         phrase = value.split()
         if quoted and len(phrase) >= 4 and all(w.isalpha() and w.islower() and len(w) > 3 for w in phrase):
@@ -206,19 +212,25 @@ def _in_line(line: str) -> list[tuple[int, int]]:
         a, b, _ = _inside(m)
         if kind and "://" not in line[a:b] and _granting(kind, line[a:b], True):
             found.append((a, b))
+    for m in _USER.finditer(line):
+        if _granting("password", m["bare"], True):
+            found.append(m.span("bare"))
     at = 0
     while m := _PAIR.search(line, at):
-        at = m.end("name") + 1 if m["lit"] is None else m.start("lit")
         kind = _kind(m["name"])
+        at = m.end("name") if not kind or m["lit"] is None else m.start("lit")
         if not kind:
             continue
         a, b, quoted = _inside(m)
         value = line[a:b]
         if "://" in value or m["bare"] and value.endswith("(") or line[b:b + 1] == "(":
             continue
+        parts = [(a, b)]
+        while quoted and (more := _MORE.match(line, parts[-1][1])):
+            parts.append(more.span("lit"))
         if quoted or "," not in line[m.end("name"):a]:
-            if _granting(kind, value, quoted):
-                found.append((a, b))
+            if _granting(kind, "".join(line[x:y] for x, y in parts), quoted or m["name"].startswith("_")):
+                found += parts
     if (m := _LINE_VALUE.match(line)) and _kind(m["name"]) == "password" and "://" not in m["bare"] and not re.search(r"[(){}\[\];=]", m["bare"]):
         if _granting("password", m["bare"], False):
             found.append(m.span("bare"))
@@ -239,9 +251,9 @@ def _masked(span: str) -> str:
     return MASK
 
 
-def redacted(text: str | None) -> str | None:
-    """The text with every credential redacted; null stays null."""
-    spans = credentials(text)
+def redacted(text: str | None, spans: list[tuple[int, int, int]] | None = None) -> str | None:
+    """The text with every credential (``spans``, where they are known) redacted; null stays null."""
+    spans = credentials(text) if spans is None else spans
     if not spans:
         return text
     out, at = [], 0
