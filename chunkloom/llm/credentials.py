@@ -283,8 +283,8 @@ def redacted_texts(files: DataFrame, key: str, text: str = "normalized_content")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            counts = [len(credentials(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([redacted(t) for t in texts], pa.string()), pa.array(counts, pa.int32())], [key, text, "n_credentials"])
+            spans = [credentials(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(redacted, texts, spans), pa.string()), pa.array(map(len, spans), pa.int32())], [key, text, "n_credentials"])
 
     rows = files.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("t"))
     return rows.mapInArrow(run, f"`{key}` {rows.dtypes[0][1]}, `{text}` string, n_credentials int")
