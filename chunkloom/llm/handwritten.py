@@ -29,7 +29,7 @@ BODY, EDGE, PATH = 1 << 12, 1 << 11, 1 << 11
 SIZE = BODY + EDGE + PATH + 4
 EDGE_TOP, EDGE_END = 14, 4
 MIN_COPIED = 120
-MASKED_WEIGHT, BALANCE, EDGE_SCALE = 0.3, 0.5, 40.0
+MASKED_WEIGHT, BALANCE, EDGE_SCALE = 0.15, 1.0, 120.0
 
 _COMMENT = re.compile(r"\s*(?://|#(?!include|!|define|if|end|pragma)|/?\*|--(?!\w)|<!--|<meta\b|;|\"\"\"|<\?php)")
 BODY_NOISE = r"(?m)^\s*(?://|#(?!include|!)|\*|/\*|--|<!--).*$|\s+"
@@ -200,7 +200,7 @@ def train(rows: list[tuple[str | None, str | None, str, bool]]) -> Model:
     plain = test & (np.arange(len(y)) % 2 == 0)
     scores = x[plain] @ w
     truth = y[plain] > 0
-    options = np.linspace(-0.2, 0.2, 9)  # near the margin's middle only: few validation rows lie beside it
+    options = np.linspace(-0.1, 0.1, 5)  # near the margin's middle only: few validation rows lie beside it
     correct = [(round(((scores > o) == truth).mean(), 3), -abs(o), o) for o in options]
     threshold = float(max(correct)[2])
     masked = x[test & (np.arange(len(y)) % 2 == 1)] @ w > threshold
