@@ -217,17 +217,16 @@ def split_large(items: DataFrame, most: int) -> DataFrame:
 
 
 def batch(items: DataFrame, config: BatchConfig = BatchConfig(), tokens: str = "regex") -> tuple[DataFrame, DataFrame]:
-    """(chunks, summary): the summary has total_items, processed, failed, total_chunks and the errors of failed items.
+    """(chunks, summary): the summary has total_items, processed, failed and total_chunks, from partial counts.
 
-    Without ``continue_on_error`` the chunks raise at the first failed item. The summary is aggregated by partial counts;
-    only failed items' messages are gathered, by item.
+    Without ``continue_on_error`` the chunks raise at the first failed item; the messages are rows of ``batch_errors``.
     """
     made = pieces(items, config.chunk, tokens=tokens, most=config.max_content_size)
     if not config.continue_on_error:
         made = made.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "item", "error")).cast("string")))
-    total = items.agg(F.count(F.lit(1)).alias("total_items"))
-    done = made.agg(F.count_if(F.col("error").isNull()).alias("total_chunks"), F.count_if(F.col("error").isNotNull()).alias("failed"))
-    summary = total.join(done, F.lit(True)).select("total_items", (F.col("total_items") - F.col("failed")).alias("processed"), "failed", "total_chunks")
+    kinds = items.select(F.lit("item").alias("what")).unionByName(made.select(F.when(F.col("error").isNull(), "chunk").otherwise("failed").alias("what")))
+    of = lambda what: F.count_if(F.col("what") == what)
+    summary = kinds.agg(of("item").alias("total_items"), (of("item") - of("failed")).alias("processed"), of("failed").alias("failed"), of("chunk").alias("total_chunks"))
     return made.filter(F.col("error").isNull()).drop("error"), summary
 
 

@@ -64,7 +64,7 @@ def events_to_items(events: DataFrame) -> DataFrame:
         F.lit(None).cast("timestamp").alias("created_at"), "entities", "file_path")
 
 
-def kafka_source_options(servers: str, topic: str = "code.normalized", group: str = "chunker", per_trigger: int | None = None) -> dict[str, str]:
+def kafka_source_options(servers: str, topic: str = "code.normalized", group: str = "chunkloom", per_trigger: int | None = None) -> dict[str, str]:
     out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "kafka.group.id": group, "kafka.max.poll.interval.ms": "300000",
            "kafka.session.timeout.ms": "30000", "failOnDataLoss": "false"}
     return out | ({"maxOffsetsPerTrigger": str(per_trigger)} if per_trigger else {})

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.storage import cut
+
 BATCH = 50
 Post = Callable[[str, dict, float], dict]
 
@@ -45,7 +47,7 @@ def graph_rows(chunks: DataFrame) -> DataFrame:
 def batched(rows: DataFrame, url: str, envelope: dict, counters: tuple[str, ...], size: int = BATCH, timeout: float = 30, post: Post = http_post) -> DataFrame:
     """Posts rows in batches of ``size`` from their partitions: one row a batch with its counters and errors.
 
-    A failed batch is a row with an error; the others go on. Evaluate the result once (persist it), for each evaluation posts.
+    A failed batch is a row with an error; the others go on. Every evaluation posts, so cut the result before using it twice.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[dict] = []
@@ -78,7 +80,7 @@ class EmbeddingSink:
 
     def __call__(self, chunks: DataFrame) -> int:
         """The number of chunks that the service embedded."""
-        sent = batched(embedding_rows(chunks), f"{self.base_url}/embed/chunks", {}, ("embedded_count",), self.size, self.timeout, self.post)
+        sent = cut(batched(embedding_rows(chunks), f"{self.base_url}/embed/chunks", {}, ("embedded_count",), self.size, self.timeout, self.post))
         return sent.agg(F.coalesce(F.sum("embedded_count"), F.lit(0))).first()[0]
 
     def healthy(self) -> bool:
@@ -99,14 +101,14 @@ class GraphSink:
     def enabled(self) -> bool:
         return bool(self.base_url)
 
-    def __call__(self, chunks: DataFrame) -> dict:
-        """Summed counters, and the errors of failed batches; all zero where the sink is disabled."""
+    def __call__(self, chunks: DataFrame, shown: int = 100) -> dict:
+        """Summed counters, and the first ``shown`` errors; all zero where the sink is disabled."""
         if not self.enabled:
             return dict.fromkeys(self.COUNTERS, 0) | {"errors": []}
         envelope = {"extract_entities": True, "create_cross_links": True}
-        sent = batched(graph_rows(chunks), f"{self.base_url}/api/graph/chunks", envelope, self.COUNTERS, self.size, self.timeout, self.post)
-        row = sent.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in self.COUNTERS], F.flatten(F.collect_list(F.slice("errors", 1, 20))).alias("errors")).first()
-        return row.asDict()
+        sent = cut(batched(graph_rows(chunks), f"{self.base_url}/api/graph/chunks", envelope, self.COUNTERS, self.size, self.timeout, self.post))
+        totals = sent.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in self.COUNTERS]).first()
+        return totals.asDict() | {"errors": [r.e for r in sent.select(F.explode("errors").alias("e")).limit(shown).collect()]}
 
     def healthy(self) -> bool:
         return self.enabled and http_ok(f"{self.base_url}/health")
