@@ -399,6 +399,53 @@ SQL = {
     "event_items": r"""SELECT delivery_id::VARCHAR AS id, source_id, 'code_repo' AS source_kind, 'text/code:' || coalesce(nullif(lower(trim(language)), ''), 'text') AS content_type, normalized_content AS content
         FROM code_normalized_event WHERE normalized_content IS NOT NULL""",
 }
+
+# Symbols: each language's lines with their scope as windows say it, united.
+_FILES = f"""SELECT id AS path, l, CASE WHEN ext = 'rs' THEN 'rust' WHEN ext = 'py' THEN 'python' WHEN ext IN ('js', 'jsx', 'ts', 'tsx') THEN 'js'
+    WHEN contains(c, 'fn ') AND contains(c, '->') THEN 'rust' WHEN contains(c, 'def ') AND contains(c, 'self') THEN 'python' WHEN contains(c, 'function') OR contains(c, '=>') THEN 'js' END AS lang
+    FROM (SELECT d.id, d.l, e.normalized_content AS c, lower(string_split(e.file_path, '.')[-1]) AS ext FROM ({_CODE_LINES}) d JOIN code_normalized_event e ON e.delivery_id::VARCHAR = d.id)"""
+_SYMBOLS = rf"""WITH files AS MATERIALIZED ({_FILES}),
+    rows AS MATERIALIZED (SELECT path, lang, n, t, line, strlen(line) - strlen(regexp_replace(line, '^[{WS}]+', '')) AS indent FROM
+        (SELECT path, lang, line, n, {_TRIMMED} AS t FROM (SELECT path, lang, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS n FROM files WHERE lang IS NOT NULL))),
+    rust AS (SELECT *, regexp_extract(t, '^impl [<\s]*(?:.*? for )?([^<{{\s]+)', 1) AS name FROM rows WHERE lang = 'rust'),
+    rust_scope AS (SELECT *, last_value(CASE WHEN t LIKE 'impl %' AND name <> '' THEN name WHEN t = '}}' THEN '' END IGNORE NULLS) OVER (PARTITION BY path ORDER BY n) AS scope FROM rust),
+    py AS (SELECT *, CASE WHEN t LIKE 'class %' THEN regexp_extract(t, '^class ([^(:\s]+)', 1) ELSE '' END AS name FROM rows WHERE lang = 'python'),
+    py_group AS (SELECT *, count_if(name <> '') OVER (PARTITION BY path ORDER BY n) AS g FROM py),
+    py_scope AS (SELECT *, first_value(name) OVER w AS class, first_value(indent) OVER w AS depth, min(CASE WHEN name = '' AND t <> '' AND t NOT LIKE 'class %' THEN indent END) OVER w AS least
+        FROM py_group WINDOW w AS (PARTITION BY path, g ORDER BY n)),
+    js AS (SELECT *, regexp_extract(t, '^(?:export )?class ([^{{ <]+)', 1) AS name FROM rows WHERE lang = 'js'),
+    js_scope AS (SELECT *, CASE WHEN name <> '' THEN name ELSE coalesce(last_value(CASE WHEN t = '}}' THEN '' WHEN name <> '' THEN name END IGNORE NULLS) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS scope,
+        coalesce(nullif(CASE WHEN regexp_matches(t, '^(?:const|let|var) [^ =:]+.*=>') THEN regexp_extract(t, '^(?:const|let|var) ([^ =:]+)', 1) ELSE '' END, ''),
+            regexp_extract(t, '^(?:export )?(?:async )?function ([^(<\s]+)', 1)) AS f FROM js),
+    found AS (
+        SELECT path, regexp_extract(t, '^(?:pub )?(?:(?:async|const|unsafe) )?fn ([^(<\s]+)', 1) AS name, CASE WHEN coalesce(scope, '') <> '' THEN 'method' ELSE 'function' END AS symbol_type, n AS line, nullif(scope, '') AS parent FROM rust_scope
+        UNION ALL SELECT path, regexp_extract(t, '^(?:pub )?(?:struct|enum|trait|type) ([^<{{(\s]+)', 1), regexp_extract(t, '^(?:pub )?(struct|enum|trait|type) ', 1), n, NULL FROM rust
+        UNION ALL SELECT path, name, 'class', n, NULL FROM py
+        UNION ALL SELECT path, regexp_extract(t, '^(?:async )?def ([^(\s]+)', 1), CASE WHEN g > 0 AND (least IS NULL OR least > depth) THEN 'method' ELSE 'function' END, n, CASE WHEN g > 0 AND (least IS NULL OR least > depth) THEN class END FROM py_scope
+        UNION ALL SELECT path, name, 'class', n, NULL FROM js
+        UNION ALL SELECT path, f, CASE WHEN scope <> '' THEN 'method' ELSE 'function' END, n, nullif(scope, '') FROM js_scope
+        UNION ALL SELECT path, regexp_extract(t, '^(?:export )?(?:interface|type) ([^<{{=\s]+)', 1), 'interface', n, NULL FROM js)
+    SELECT path, name, symbol_type, line::INTEGER AS line, parent FROM found WHERE name <> ''"""
+SQL |= {
+    "code_symbols": _SYMBOLS,
+    "symbol_index": f"SELECT name, count(DISTINCT path) AS n_paths, count(*) AS n_definitions FROM ({_SYMBOLS}) GROUP BY name",
+    "file_symbols": f"SELECT path, count(*)::INTEGER AS n, arg_min(name, (line, name)) AS first FROM ({_SYMBOLS}) GROUP BY path",
+    "nesting_depth": r"""SELECT delivery_id::VARCHAR AS id, list_reduce(list_concat([{'d': 0, 'm': 0}], list_transform(regexp_extract_all(normalized_content, '[{(\[\])}]'), lambda c: {'d': CASE WHEN c IN ('{', '(', '[') THEN 1 ELSE -1 END, 'm': 0})),
+        lambda a, b: {'d': greatest(0, a.d + b.d), 'm': greatest(a.m, a.d + b.d)}).m::INTEGER AS depth FROM code_normalized_event WHERE normalized_content <> ''""",
+    "ring_stats": """SELECT 6 AS num_partitions, 150 AS virtual_nodes, sum(n)::BIGINT AS total_ring_entries, var_pop(n) AS variance, stddev_pop(n) AS std_dev
+        FROM (SELECT i // 150 AS p, count(*) AS n FROM range(900) t(i) GROUP BY 1)""",
+    "circuit_breaker": """WITH RECURSIVE calls AS MATERIALIZED (SELECT user_id::VARCHAR AS service, epoch_us(ts) / 1e6 AS moment, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),
+        walk AS (SELECT service, 0::BIGINT AS i, 'closed' AS state, 0 AS failures, 0 AS retries, 0 AS trials, 0::DOUBLE AS again, true AS allowed FROM (SELECT DISTINCT service FROM calls)
+            UNION ALL SELECT service, i, CASE WHEN NOT let THEN state WHEN ok AND state = 'half_open' AND trials + 1 >= 3 THEN 'closed' WHEN NOT ok AND (state = 'half_open' OR state = 'closed' AND failures + 1 >= 2) THEN 'open' ELSE state END,
+                CASE WHEN NOT let THEN failures WHEN ok THEN CASE WHEN state = 'half_open' AND trials + 1 >= 3 THEN 0 ELSE failures END ELSE failures + 1 END,
+                CASE WHEN NOT let THEN retries WHEN ok THEN CASE WHEN state = 'half_open' AND trials + 1 >= 3 THEN 0 ELSE retries END WHEN state = 'half_open' OR state = 'closed' AND failures + 1 >= 2 THEN retries + 1 ELSE retries END,
+                CASE WHEN let AND ok AND state = 'half_open' THEN trials + 1 ELSE trials END,
+                CASE WHEN let AND NOT ok AND (state = 'half_open' OR state = 'closed' AND failures + 1 >= 2) THEN moment + floor(least(30 * power(2, least(retries, 60)), 300)) ELSE again END, let
+            FROM (SELECT c.service, c.i, c.moment, c.ok, w.failures, w.retries, w.again, CASE WHEN w.state = 'open' AND c.moment >= w.again THEN 0 ELSE w.trials END AS trials,
+                CASE WHEN w.state = 'open' AND c.moment >= w.again THEN 'half_open' ELSE w.state END AS state, w.state = 'closed' OR w.state = 'open' AND c.moment >= w.again OR w.state = 'half_open' AND w.trials < 3 AS let
+                FROM walk w JOIN calls c ON c.service = w.service AND c.i = w.i + 1))
+        SELECT service, state, allowed, count(*) AS n FROM walk WHERE i > 0 GROUP BY ALL""",
+}
 for _name, _head, _row in (("csv_chunks", "'key,name' || chr(10)", "s_suppkey || ',' || s_name"), ("markdown_table_chunks", "'| key | name |' || chr(10) || '| --- | --- |' || chr(10)", "'| ' || s_suppkey || ' | ' || s_name || ' |'")):
     _made = _packed(f"SELECT n_name AS item, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) AS i, {_row} AS s, {_COUNT.format(_row)} AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey",
                     f"(64 - {_COUNT.format(_head)})", "chr(10)")
