@@ -34,7 +34,7 @@ _RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [(kind, tuple(need.split
     ("markdown", "#", r"(?:\A|\n[^\S\n]*\n)#{1,6}[^\S\n]+\S[^\n]*(?=\r?\n[^\S\n]*\r?\n|\r?\n?\Z|\r?\n#{1,6} )", 0),
     ("markdown", "#", r"\A#{1,6} [^\n]{20,}\Z", 0),
     ("markdown", "##", r"(?:^|\s)#{2,6} (?=[^\W\d_])[^\n#]", 0),
-    ("markdown", "=== ---", r"^[^\n|]*\w[^\n|]*\r?\n(?:={3,}|-{3,})[^\S\n]*\r?$", re.M),
+    ("markdown", "=== ---", r"^(?=[^\n|]*\w)[^\n|]+\n(?:={3,}|-{3,})[^\S\n]*\r?$", re.M),
     ("markdown", "``` ~~~", r"^\s{0,3}(?:```|~~~)|```\w*\s", re.M),
     ("markdown", "`", r"(?<![`\\])`[^`\n]*[^`\s\n][^`\n]*`(?!`)", 0),
     ("markdown", "**", r"(?<![*\w\\])\*\*(?=[^\s*])[^*\n]*?[^\s*\\]\*\*(?!\*)", 0),
@@ -54,7 +54,7 @@ _RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [(kind, tuple(need.split
     ("wiki", "{|", r"^\s*\{\|.*$|\{\| ?class=", re.M),
     ("wiki", "[http", r"\[https?://[^\s\]]+(?: [^\]\n]*)?\](?!\()", 0),
     ("wiki", "|http", r"\[[^\[\]|\n]+\|(?:https?|mailto|ftp)[^\s\]]+\]", 0),
-    ("wiki", ". ", r"^h[1-6]\. \S|(?:\A|\s)h[1-6]\. (?=[^\W\d_])", re.M),
+    ("wiki", "h1. h2. h3. h4. h5. h6.", r"(?<![^\s])h[1-6]\. (?=[^\W\d_])", re.M),
     ("wiki", "{", r"\{(?:code|noformat|quote|panel|info|note|warning|tip|toc|anchor|color|expand|section|column|include|excerpt|status|jira)(?::[^{}\n]*)?\}", re.I),
     ("wiki", "||", r"^\s*\|\|[^|\n]+\|\||(?:\A|\s)\|\|[^|\n]{1,60}\|\|[^|\n]{1,60}\|\|", re.M),
     ("wiki", "|", r"^\|[^|\n]+\|[^|\n]+\|[^\n]*\r?\n\|[^|\n]+\|[^|\n]+\|", re.M),
@@ -193,7 +193,8 @@ def _wiki(text: str, kept: _Kept) -> str:
 
 
 def _markdown(text: str, kept: _Kept) -> str:
-    text = re.sub(r"^([^\n|]*\w[^\n|]*)\n(=|-)\2{2,}[^\S\n]*$", lambda m: f"{'#' if m[2] == '=' else '##'} {m[1].strip()}", text, flags=re.M)
+    if "===" in text or "---" in text:
+        text = re.sub(r"^(?=[^\n|]*\w)([^\n|]+)\n(=|-)\2{2,}[^\S\n]*$", lambda m: f"{'#' if m[2] == '=' else '##'} {m[1].strip()}", text, flags=re.M)
     text = re.sub(r"(?<![`\\])`([^`\n]+)`(?!`)", lambda m: kept.hold(m[1]), text)
     text = re.sub(r"^[^\S\n]*\|?(?:[^\S\n]*:?-{3,}:?[^\S\n]*\|)+(?:[^\S\n]*:?-{3,}:?[^\S\n]*\|?)?[^\S\n]*(?:\n|\Z)", "", text, flags=re.M)
     text = re.sub(r"^\|([^\n]+)\|[^\S\n]*$", lambda m: re.sub(r"\s*\|\s*", "\t", m[1].strip()), text, flags=re.M)
