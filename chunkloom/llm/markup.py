@@ -96,15 +96,13 @@ def opened(text: str) -> list[str]:
     return [text]
 
 
-def constructs(text: str | None, all_kinds: bool = True) -> set[str]:
-    """The kinds of markup that the text has at least one construct of; without ``all_kinds`` the first one found."""
+def constructs(text: str | None) -> set[str]:
+    """The kinds of markup that the text has at least one construct of."""
     found: set[str] = set()
     for part in opened(text) if text else []:
         for kind, need, pattern in _RULES:
             if kind not in found and any(x in part for x in need) and pattern.search(part):
                 found.add(kind)
-                if not all_kinds:
-                    return found
     return found
 
 
@@ -259,16 +257,14 @@ def cleaned(text: str | None) -> tuple[str | None, list[str]]:
     return "\n".join(out), sorted(kinds)
 
 
-def clean_texts(items: DataFrame, key: str = "id", text: str = "content", with_text: bool = True) -> DataFrame:
+def clean_texts(items: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """(key, text, kinds) of every row; kinds is an empty array where the text has no markup.
 
-    Without ``with_text`` the text is not built, only its constructs are found. Null texts stay null, repeated rows each
-    give one, other columns are ignored, an empty table gives an empty one.
+    Null texts stay null, repeated rows each give one, other columns are ignored, an empty table gives an empty one.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            made = [cleaned(t) for t in texts] if with_text else [(None, sorted(constructs(t, False))) for t in texts]
+            made = [cleaned(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in made], pa.string()), pa.array([k for _, k in made], pa.list_(pa.string()))], [key, text, "kinds"])
 
     rows = items.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("t"))

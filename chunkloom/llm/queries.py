@@ -52,7 +52,7 @@ def _prose(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items whose content has a construct of a markup language."""
-    return markup.clean_texts(_prose(spark, folder), with_text=False).filter(F.size("kinds") > 0).select("id").distinct()
+    return p6_clean(spark, folder).filter(F.size("kinds") > 0).select("id").distinct()
 
 
 def p6_clean(spark: SparkSession, folder: str) -> DataFrame:

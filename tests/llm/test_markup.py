@@ -52,5 +52,5 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "id string, content string, kinds string")
     got = clean_texts(df).collect()
     assert len(got) == 6 and {r.id: len(r.kinds) for r in got} == {"a": 1, "b": 0, "c": 0, "d": 0, "e": 1} and {r.id: r.content for r in got}["c"] is None
-    assert {r.id for r in clean_texts(df, with_text=False).filter("size(kinds) > 0").collect()} == {"a", "e"}
+    assert {r.id for r in clean_texts(df).filter("size(kinds) > 0").collect()} == {"a", "e"}
     assert clean_texts(df.filter("false")).count() == 0
