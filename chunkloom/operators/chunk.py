@@ -38,7 +38,9 @@ def pieces(items: DataFrame, config: ChunkConfig = ChunkConfig(), chunker: str |
 
     Null and empty contents give no row; repeated items each give their rows; other columns are ignored.
     """
-    given = F.transform("entities", lambda e: F.struct(*[e[k].alias(k) for k in ("entity_type", "name", "start_line", "end_line")])) if "entities" in items.columns else F.array()
+    # zipped fields, not a transform over the structs: so only these fields are read
+    fields = ("entity_type", "name", "start_line", "end_line")
+    given = F.arrays_zip(*[F.col(f"entities.{k}").alias(k) for k in fields]) if "entities" in items.columns else F.array()
     narrow = routed(items, chunker, config).filter(F.octet_length("content") > 0).select(
         F.col("id").alias("item"), "chunker", "content", "content_type", "path", "language", given.cast(_ENTITIES).alias("entities"), *[F.col(f"`{c}`").alias(f"carried_{c}") for c in carry])
 

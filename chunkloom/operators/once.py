@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.operators.skew import HOT_ROWS, with_facts
+from chunkloom.storage import cut
 
 UUID_FORM = r"^(?U)\s*(?:urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})\}?\s*$"
 
@@ -47,7 +48,7 @@ def later_copies(messages: DataFrame, key: Column, order: list[Column], hot_rows
     """
     keyed = _keyed(messages, key, order)
     known = keyed.filter(F.col("__key").isNotNull())
-    return with_facts(known, _repeated(keyed), "__key", "__copies", hot_rows).filter(F.col("__order") > F.col("__first")).select("__row.*")
+    return with_facts(known, cut(_repeated(keyed)), "__key", "__copies", hot_rows).filter(F.col("__order") > F.col("__first")).select("__row.*")
 
 
 def once(messages: DataFrame, key: Column, order: list[Column], stored: DataFrame | None = None,
@@ -62,7 +63,7 @@ def once(messages: DataFrame, key: Column, order: list[Column], stored: DataFram
     if stored is not None:
         same = stored.select(*[F.col(f"`{c}`") for c in messages.columns])
         keyed = _keyed(same, key, [F.lit(0), *order], __new=F.lit(False)).unionByName(keyed)
-    repeated = _repeated(keyed).select("__key", "__copies")
+    repeated = cut(_repeated(keyed).select("__key", "__copies"))  # light, and used four times
     hot = repeated.filter(F.col("__copies") > hot_rows)
     known = keyed.filter(F.col("__key").isNotNull())
     tagged = known.join(F.broadcast(hot.select("__key", F.lit(True).alias("__hot"))), "__key", "left")

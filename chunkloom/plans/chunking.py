@@ -203,8 +203,9 @@ def file_imports(spark: SparkSession, folder: str) -> DataFrame:
 def enrich_prefix(spark: SparkSession, folder: str) -> DataFrame:
     """Prefixes of delivered files from their path, language, repository and entities."""
     e = table(spark, folder, "code_normalized_event")
-    definitions = F.transform(F.coalesce("entities", F.array()), lambda x: F.struct(x["name"].alias("name"), x["entity_type"].alias("entity_type"), F.lit(None).cast("string").alias("signature")))
-    names = F.filter(F.transform(F.coalesce("entities", F.array()), lambda x: x["name"]), lambda n: n.isNotNull())
+    named = F.coalesce(F.arrays_zip(F.col("entities.name").alias("name"), F.col("entities.entity_type").alias("entity_type")), F.array())
+    definitions = F.transform(named, lambda x: F.struct(x["name"].alias("name"), x["entity_type"].alias("entity_type"), F.lit(None).cast("string").alias("signature")))
+    names = F.filter(F.coalesce(F.col("entities.name"), F.array()), lambda n: n.isNotNull())
     context = F.struct(F.col("file_path"), F.col("metadata")["repo"].alias("repository"), F.lit(None).cast("string").alias("branch"), F.col("language"), F.lit("").alias("scope"),
                        definitions.alias("definitions"), names.alias("dependencies"), F.col("metadata")["branch"].alias("documentation"))
     return enrich.enriched(e.select("delivery_id", F.lit("x").alias("content"), context.alias("context"))).select("delivery_id", "prefix", "enriched_content")

@@ -61,7 +61,9 @@ def events_to_items(events: DataFrame) -> DataFrame:
     return events.filter(F.col("normalized_content").isNotNull()).select(
         F.col("event_id").alias("id"), "source_id", F.lit("code_repo").alias("source_kind"), F.concat(F.lit("text/code:"), F.coalesce(known, F.lit("text"))).alias("content_type"),
         F.col("normalized_content").alias("content"), F.to_json(F.struct(F.col("file_path").alias("path"), known.alias("language"))).alias("metadata"),
-        F.lit(None).cast("timestamp").alias("created_at"), "entities", "file_path")
+        F.lit(None).cast("timestamp").alias("created_at"),
+        # the entities' own texts are not read: their lines are
+        F.arrays_zip(*[F.col(f"entities.{k}").alias(k) for k in ("entity_type", "name", "start_line", "end_line")]).alias("entities"), "file_path")
 
 
 def kafka_source_options(servers: str, topic: str = "code.normalized", group: str = "chunkloom", per_trigger: int | None = None) -> dict[str, str]:
