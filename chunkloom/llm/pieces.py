@@ -162,8 +162,9 @@ def entity_pieces(events: DataFrame, most: int = ENTITY_BYTES, overlap: int = OV
                             found.append(("entity", key, pos, data, most, overlap))
             yield _emit(found, with_text)
 
-    spans = F.transform("entities", lambda e: F.struct(e["start_line"].alias("s"), e["end_line"].alias("e")))
-    narrow = events.filter((F.octet_length("normalized_content") > most) & (F.size("entities") > 0)).select(
+    # zipped fields, so that the entities' own texts are not read
+    spans = F.arrays_zip(F.col("entities.start_line").alias("s"), F.col("entities.end_line").alias("e"))
+    narrow = events.filter((F.octet_length("normalized_content") > most) & (F.size("entities.start_line") > 0)).select(
         F.col("delivery_id").cast("string"), "normalized_content", spans.alias("spans"))
     return narrow.mapInArrow(run, _OUT)
 
