@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from chunkloom.functions.text import lines, merge_short, split_sentences, trimme
 from chunkloom.functions.tokens import count_tokens, tile_tokens
 from chunkloom.operators import breaker, chunk, enrich, jobs, ring, route, symbols
 from chunkloom.sources import files, sinks
-from chunkloom.storage import table
+from chunkloom.storage import checkpoint_dir, table
+from chunkloom.streaming import events
 
 WS = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}"
 SIZE = 64
@@ -281,11 +284,27 @@ def event_items(spark: SparkSession, folder: str) -> DataFrame:
     return _code(spark, folder).select("id", "source_id", "source_kind", "content_type", "content")
 
 
+def stream_event_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The delivered events as a stream: chunked by entities, in a file sink with a checkpoint, then read back."""
+    root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{folder}/code_normalized_event.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")  # a pattern, for a table may be one file
+    made = events.event_chunks(source.withColumn("event_id", F.col("delivery_id").cast("string")), ChunkConfig(128, 30))
+    made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{root}/out").select("event_id", "chunk_id", "chunk_index", "token_count", "metadata.start_line", "metadata.end_line")
+
+
+def batch_event_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows by a batch."""
+    given = table(spark, folder, "code_normalized_event").withColumn("event_id", F.col("delivery_id").cast("string"))
+    return events.event_chunks(given, ChunkConfig(128, 30)).select("event_id", "chunk_id", "chunk_index", "token_count", "metadata.start_line", "metadata.end_line")
+
+
 QUERIES = {f.__name__: f for f in (
     chunk_items, chunk_rows, route_items, item_fields, detect_language, chunkers_by_name, token_counts, token_windows, sentence_chunks, sentences, merged_sentences, recursive_chunks,
     document_chunks, heading_sections, chat_chunks, ticket_chunks, csv_chunks, markdown_table_chunks, code_line_chunks, code_entity_chunks, code_gaps, agentic_chunks, agentic_boundaries,
     content_analysis, nesting_depth, code_symbols, python_definitions, symbol_index, file_symbols, file_imports, enrich_prefix, large_item_split, batch_summary, chunk_totals, profiles_sweep,
-    graph_payload, embed_payload, sink_batches, job_counts, job_cleanup, ring_stats, ring_partitions, circuit_breaker, event_items)}
+    graph_payload, embed_payload, sink_batches, job_counts, job_cleanup, ring_stats, ring_partitions, circuit_breaker, event_items, stream_event_chunks, batch_event_chunks)}
 
 _CHUNKER = """CASE WHEN content_type LIKE 'text/code:%' OR content_type LIKE '%x-source%' THEN 'code' WHEN content_type LIKE '%markdown%' THEN 'document'
     WHEN content_type LIKE '%json%' AND content_type LIKE '%chat%' THEN 'chat' WHEN content_type LIKE '%csv%' OR content_type LIKE '%table%' THEN 'table'

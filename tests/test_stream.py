@@ -22,3 +22,10 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, out)) == sorted(map(tuple, batch)) and len(out) > 6
     assert json.loads(out[0].value)["total_chunks"] >= 1 and {r.partition for r in out} <= set(range(6))
     assert sorted(r.raw for r in spark.read.json(str(tmp_path / "dead")).collect()) == ["broken", "{}"]
+
+
+def test_stream_query_equals_batch_query(spark, data):
+    from chunkloom.plans import chunking
+
+    stream, batch = (sorted(map(tuple, q(spark, data).collect())) for q in (chunking.stream_event_chunks, chunking.batch_event_chunks))
+    assert stream == batch and stream
