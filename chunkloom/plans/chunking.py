@@ -466,6 +466,15 @@ SQL |= {
                 FROM walk w JOIN calls c ON c.service = w.service AND c.i = w.i + 1))
         SELECT service, state, allowed, count(*) AS n FROM walk WHERE i > 0 GROUP BY ALL""",
 }
+
+# Bytes as hexadecimal pairs: the longest prefix of whole pairs that ends as wanted.
+_CUT = r"""CASE WHEN length({0}) <= 4000 THEN {0} WHEN regexp_matches(left({0}, 4000), '^(?:..)*0A0A') THEN regexp_extract(left({0}, 4000), '^((?:..)*0A0A)', 1)
+    WHEN regexp_matches(left({0}, 4000), '^(?:..)*0A') THEN regexp_extract(left({0}, 4000), '^((?:..)*0A)', 1)
+    WHEN substring({0}, 4001, 1) IN ('8', '9', 'A', 'B') THEN regexp_replace(left({0}, 4000), '[C-F].(?:[89AB].){{0,2}}$', '') ELSE left({0}, 4000) END"""
+SQL["large_item_split"] = f"""WITH RECURSIVE src AS MATERIALIZED (SELECT id AS item, hex(encode(any_value(content))) AS h FROM source_item WHERE content <> '' GROUP BY id),
+    walk AS (SELECT item, 0 AS piece_no, 0::BIGINT AS start_offset, {_CUT.format('h')} AS piece, h AS rest FROM src
+        UNION ALL SELECT item, piece_no + 1, start_offset + length(piece) // 2, {_CUT.format('r')}, r FROM (SELECT *, substring(rest, length(piece) + 1) AS r FROM walk) WHERE r <> '')
+    SELECT item, piece_no::INTEGER AS piece_no, start_offset, decode(unhex(piece)) AS content FROM walk"""
 for _name, _head, _row in (("csv_chunks", "'key,name' || chr(10)", "s_suppkey || ',' || s_name"), ("markdown_table_chunks", "'| key | name |' || chr(10) || '| --- | --- |' || chr(10)", "'| ' || s_suppkey || ' | ' || s_name || ' |'")):
     _made = _packed(f"SELECT n_name AS item, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) AS i, {_row} AS s, {_COUNT.format(_row)} AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey",
                     f"(64 - {_COUNT.format(_head)})", "chr(10)")
