@@ -189,7 +189,7 @@ def line_gaps(items: DataFrame, least: int = 10) -> DataFrame:
     from chunkloom.functions.text import lines
 
     base = items.filter((F.octet_length("content") > 0)).repartition("id").select("id", "entities", F.posexplode(lines(F.col("content"))).alias("n", "line"))
-    covered = F.exists(F.coalesce("entities", F.array()), lambda e: (F.col("n") + 1).between(F.greatest(e["start_line"], F.lit(1)), e["end_line"]))
+    covered = F.exists(F.coalesce("entities", F.array()), lambda e: e["start_line"].isNotNull() & (F.col("n") + 1).between(F.greatest(e["start_line"], F.lit(1)), e["end_line"]))
     free = base.withColumn("covered", F.coalesce(covered, F.lit(False)))
     by_line = Window.partitionBy("id").orderBy("n")
     runs = free.withColumn("run", F.sum(F.col("covered").cast("int")).over(by_line)).filter(~F.col("covered"))

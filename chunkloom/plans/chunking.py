@@ -370,7 +370,7 @@ SQL = {
                 SELECT walk.id, chunk_index, n, p, CASE WHEN b - least(3, b - a) <= a THEN b ELSE b - least(3, b - a) END AS s FROM walk JOIN f ON f.id = walk.id) WHERE s < n)
         SELECT id AS item, chunk_index::INTEGER AS chunk_index, (a + 1)::INTEGER AS line_start, b::INTEGER AS line_end FROM walk""",
     "code_gaps": f"""WITH rows AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS n, entities FROM ({_CODE_LINES})),
-        free AS (SELECT id, line, n, coalesce(list_bool_or(list_transform(entities, lambda e: coalesce(n BETWEEN greatest(e.start_line, 1) AND e.end_line, false))), false) AS covered FROM rows),
+        free AS (SELECT id, line, n, coalesce(list_bool_or(list_transform(entities, lambda e: coalesce(e.start_line IS NOT NULL AND n BETWEEN greatest(e.start_line, 1) AND e.end_line, false))), false) AS covered FROM rows),
         runs AS (SELECT *, sum(covered::INTEGER) OVER (PARTITION BY id ORDER BY n) AS run FROM free)
         SELECT id AS item, min(n)::INTEGER AS line_start, max(n)::INTEGER AS line_end, sum({_COUNT.format('line')})::INTEGER AS token_count FROM runs WHERE NOT covered GROUP BY id, run HAVING sum({_COUNT.format('line')}) > 10""",
     "agentic_boundaries": rf"""SELECT id, kind, count(*) AS n, max(k)::INTEGER AS last FROM (SELECT id, k, CASE WHEN t = '' THEN 'EmptyLine' WHEN regexp_matches(t, '^#') THEN 'Heading'
@@ -475,6 +475,27 @@ SQL["large_item_split"] = f"""WITH RECURSIVE src AS MATERIALIZED (SELECT id AS i
     walk AS (SELECT item, 0 AS piece_no, 0::BIGINT AS start_offset, {_CUT.format('h')} AS piece, h AS rest FROM src
         UNION ALL SELECT item, piece_no + 1, start_offset + length(piece) // 2, {_CUT.format('r')}, r FROM (SELECT *, substring(rest, length(piece) + 1) AS r FROM walk) WHERE r <> '')
     SELECT item, piece_no::INTEGER AS piece_no, start_offset, decode(unhex(piece)) AS content FROM walk"""
+
+# Code by entities: what fits, what is cut by lines, the gaps, and files without entities, numbered in that order.
+_PREFIX = f"list_concat([0], list_transform(range(1, len({{0}}) + 1), lambda k: list_sum(list_transform({{0}}[1:k], lambda x: {_COUNT.format('x')}))::BIGINT))"
+_REACH = "coalesce(list_min(list_filter(range({0} + 1, n + 1), lambda e: p[e + 1] - p[{0} + 1] >= 128)), n)"
+SQL["code_entity_chunks"] = f"""WITH RECURSIVE f AS MATERIALIZED (SELECT id, l, entities FROM ({_CODE_LINES}) WHERE len(l) > 0),
+    ent AS (SELECT id, ord, s, t, name, type, l[greatest(0, s - 1) + 1 : least(t, len(l))] AS own FROM (SELECT id, l, u.i AS ord, entities[u.i].start_line AS s, entities[u.i].end_line AS t, entities[u.i].name AS name,
+        entities[u.i].entity_type AS type FROM f, UNNEST(range(1, len(entities) + 1)) AS u(i)) WHERE s IS NOT NULL AND t IS NOT NULL AND greatest(0, s - 1) < least(t, len(l))),
+    sized AS (SELECT *, list_sum(list_transform(own, lambda x: {_COUNT.format('x')})) AS total FROM ent),
+    cut AS (SELECT id, ord, s, name, type, CASE WHEN own[-1] = '' THEN own[:-2] ELSE own END AS own FROM sized WHERE total > 128
+        UNION ALL SELECT id, 0, 1, NULL, NULL, l FROM f WHERE coalesce(len(entities), 0) = 0),
+    todo AS MATERIALIZED (SELECT id, ord, s, name, type, len(own) AS n, {_PREFIX.format('own')} AS p FROM cut),
+    walk AS (SELECT id, ord, 0 AS sub, 0::BIGINT AS x, {_REACH.format('0')} AS y FROM todo
+        UNION ALL SELECT id, ord, sub + 1, z, {_REACH.format('z')} FROM (SELECT walk.id, walk.ord, sub, n, p, CASE WHEN y - least(3, y - x) <= x THEN y ELSE y - least(3, y - x) END AS z
+            FROM walk JOIN todo ON todo.id = walk.id AND todo.ord = walk.ord) WHERE z < n),
+    rows AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS n, entities FROM f WHERE len(entities) > 0),
+    free AS (SELECT id, line, n, coalesce(list_bool_or(list_transform(entities, lambda e: coalesce(e.start_line IS NOT NULL AND n BETWEEN greatest(e.start_line, 1) AND e.end_line, false))), false) AS covered FROM rows),
+    runs AS (SELECT *, sum(covered::INTEGER) OVER (PARTITION BY id ORDER BY n) AS run FROM free),
+    made AS (SELECT id, 0 AS late, ord, 0 AS sub, s AS line_start, t AS line_end, name AS symbol_name, type AS meta_type, total AS token_count FROM sized WHERE total <= 128
+        UNION ALL SELECT w.id, 0, w.ord, sub, s + x, s + y - 1, name, type, p[y + 1] - p[x + 1] FROM walk w JOIN todo ON todo.id = w.id AND todo.ord = w.ord
+        UNION ALL SELECT id, 1, min(n), 0, min(n), max(n), NULL, NULL, sum({_COUNT.format('line')}) FROM runs WHERE NOT covered GROUP BY id, run HAVING sum({_COUNT.format('line')}) > 10)
+    SELECT id AS item, (row_number() OVER (PARTITION BY id ORDER BY late, ord, sub) - 1)::INTEGER AS chunk_index, line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, symbol_name, meta_type, token_count::INTEGER AS token_count FROM made"""
 for _name, _head, _row in (("csv_chunks", "'key,name' || chr(10)", "s_suppkey || ',' || s_name"), ("markdown_table_chunks", "'| key | name |' || chr(10) || '| --- | --- |' || chr(10)", "'| ' || s_suppkey || ' | ' || s_name || ' |'")):
     _made = _packed(f"SELECT n_name AS item, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) AS i, {_row} AS s, {_COUNT.format(_row)} AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey",
                     f"(64 - {_COUNT.format(_head)})", "chr(10)")
