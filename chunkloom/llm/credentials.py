@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK = "REDACTED"
-_HINT = re.compile(r"pass|pwd|pw\b|secret|token|key|cred|auth|bearer|hmac|jwt|identified|-----begin|eyj|\bk\b|:[^\s/@\"']{4,}@")
+_HINT = re.compile(r"pass|pwd|pw\b|secret|token|key|cred|auth|bearer|hmac|jwt|identified|-----begin|eyj|\bk\b|:[^\s/@\"']{4,200}@")
 _LONG = re.compile(r"[A-Za-z0-9+/]{40}|\b[A-Za-z0-9]{2,4}[_\-.][A-Za-z0-9_\-]{18}")
 _LOWER = {x: x + 32 for x in range(65, 91)}
 # Last words of names whose values grant access, by how strictly the value is looked at.
@@ -32,7 +32,7 @@ _OPEN_KEYS = {"public", "host", "primary", "foreign", "cache", "sort", "partitio
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _STRING = r"""(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"""
 _PAIR = re.compile(
-    rf"""(?P<name>(?<![\w$])[$@]?[A-Za-z_][\w$.\-]*)(?P<close>["'`]?\]?)\s*(?::\s*(?:const\s+)?[A-Za-z_][\w:&<>\[\]*|? ]*(?=\s+=\s))?"""
+    rf"""(?P<name>(?<![\w$])[$@]?[A-Za-z_][\w$.\-]{{0,80}})(?P<close>["'`]?\]?)\s*(?::\s*(?:const\s+)?[A-Za-z_][\w:&<>\[\]*|? ]{{0,60}}(?=\s+=\s))?"""
     rf"""\s*(?::=|=>|={{1,3}}|:(?!:)|,)\s*(?:new\s+String\(|b(?=["'])|r(?=["'])|[fu](?=["']))?(?:(?P<lit>{_STRING})|(?P<bare>[^\s"'`,;:<>(){{}}\[\]][^\s"'`;<>(){{}}]*))""", re.X)
 _LINE_VALUE = re.compile(r"^\s*(?:export\s+|ENV\s+|-\s+|#\s*|//\s*)?(?P<name>[A-Za-z_][\w.\-]*)\s*[:=]\s*(?P<bare>[^\s\"'`].*?)\s*$")
 _XML = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*)>(?P<bare>[^<>\n]+)</(?P=name)>|key=\"(?P<key>[^\"]+)\"\s+value=(?P<lit>\"[^\"\n]*\")")
@@ -40,7 +40,7 @@ _COMMAND = re.compile(rf"(?:\bpassword|\bidentified\s+by|--(?:password|token|sec
 _BEARER = re.compile(r"\b(?:bearer|basic)\s+(?P<bare>[^\s\"'`,;<>{}()]{6,})", re.I)
 _USER = re.compile(r"(?:\s-u|--user)[\s=]+[\"']?[\w.\-]+:(?P<bare>[^\s\"']+)")
 _MORE = re.compile(r"[\"'`]\s*[+.]\s*(?P<q>[\"'`])(?P<lit>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)")
-_URL = re.compile(r"\b[a-z][a-z0-9+.\-]*://(?P<user>[^\s:/@\"'`]*):(?P<bare>[^\s@/\"'`]+)@(?=[\w\[])", re.I)
+_URL = re.compile(r"\b[a-z][a-z0-9+.\-]{0,20}://(?P<user>[^\s:/@\"'`]{0,100}):(?P<bare>[^\s@/\"'`]{1,400})@(?=[\w\[])", re.I)
 _QUERY = re.compile(r"[?&](?P<name>[\w\-]+)=(?P<bare>[^\s&\"'`#]+)")
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
 _PREFIXED = re.compile(r"(?<![\w\-./+])(?:[a-z]{2,4}\d?[_\-](?:(?:live|test|sk|pk|pat)[_\-])?|[A-Z]{2,4}\.)[A-Za-z0-9]{10,}(?:[_\-][A-Za-z0-9]+)*(?![\w\-/])")

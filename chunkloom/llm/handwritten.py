@@ -25,6 +25,8 @@ from chunkloom.storage import cut
 
 #: At most so many rows are labelled and collected for training; about a fifth of the repositories validate.
 SAMPLE_ROWS = 2_500
+#: Longer texts are scored, but not collected for training.
+SAMPLE_BYTES = 50_000
 BODY, EDGE, PATH = 1 << 12, 1 << 11, 1 << 11
 SIZE = BODY + EDGE + PATH + 4
 EDGE_TOP, EDGE_END = 14, 4
@@ -218,7 +220,7 @@ def _copied(files: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 def sample(files: DataFrame, flags: DataFrame, key: str, text: str, path: str, repository: Column, limit: int = SAMPLE_ROWS) -> list[tuple]:
     """At most ``limit`` rows, the same for the same table: those of the least hashes of their keys."""
-    chosen = files.select(F.col(f"`{key}`").alias("k"), repository.alias("repo"), F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text")).filter(F.length("text") > 0)
+    chosen = files.select(F.col(f"`{key}`").alias("k"), repository.alias("repo"), F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text")).filter(F.octet_length("text").between(1, SAMPLE_BYTES))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(limit)
     rows = chosen.join(flags, "k", "left").select("k", "repo", "path", "text", F.coalesce("copied", F.lit(False)).alias("copied")).collect()
     return [(r.repo, r.path, r.text, r.copied) for r in sorted(rows, key=lambda r: r.k)]

@@ -24,7 +24,7 @@ _TAGS = ("a|abbr|address|article|aside|audio|b|base|blockquote|body|br|button|ca
          "textarea|tfoot|th|thead|time|title|tr|tt|u|ul|var|video|ref|nowiki|math|syntaxhighlight|gallery|includeonly|noinclude|onlyinclude")
 _ATTRIBUTES = r"(?:\s+[a-z_:][\w:.\-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)+"
 #: A bare opening tag right after a word is a type's parameter, unless the element is one that stands in the flow.
-_TAG = re.compile(rf"</(?:{_TAGS})\s*>|<(?:{_TAGS}){_ATTRIBUTES}\s*/?>|(?:(?<![A-Za-z0-9_])|(?=<(?:br|hr|p|li|b|i|u|em|sub|sup|ref|img)\b))<(?:{_TAGS})\s*/?>|<!--.*?-->|<!doctype\s[^>]*>", re.I | re.S)
+_TAG = re.compile(rf"</(?:{_TAGS})\s*>|<(?:{_TAGS}){_ATTRIBUTES}\s*/?>|(?:(?<![A-Za-z0-9_])|(?=<(?:br|hr|p|li|b|i|u|em|sub|sup|ref|img)\b))<(?:{_TAGS})\s*/?>|<!doctype\s[^>]*>", re.I)
 _ENTITY = re.compile(r"&(?:#\d{2,6}|#x[0-9a-f]{2,5}|(?:lt|gt|amp|quot|apos|nbsp|ndash|mdash|hellip|copy|reg|trade|euro|times|laquo|raquo|[lr][sd]quo|bull|middot|deg|[aeiouAEIOU](?:uml|acute|grave|circ)|szlig|ntilde|ccedil));", re.I)
 
 #: (kind, characters one of which must be there, pattern)
@@ -63,7 +63,7 @@ _RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [(kind, tuple(need.split
     ("wiki", "#REDIRECT __", r"^#REDIRECT\b|__(?:NO)?TOC__|__NOEDITSECTION__", re.M),
     ("latex", "\\", r"\\(?:begin|end)\{[a-zA-Z]+\*?\}|\\(?:documentclass|usepackage|(?:sub)*section|paragraph|chapter|part|title|author|caption|label|ref|eqref|cite[a-z]*|footnote|textbf|textit|texttt|emph|underline|frac|sqrt|mathbf|mathrm|mathcal|href|url|includegraphics|text)\*?(?:\[[^\]\n]*\])?\{", 0),
     ("latex", "\\", r"\\(?:alpha|beta|gamma|delta|epsilon|lambda|mu|pi|rho|sigma|tau|phi|psi|omega|theta|sum|int|prod|infty|partial|nabla|cdot|times|leq|geq|neq|approx|rightarrow|leftarrow|item|maketitle|hline|ldots|left|right|quad|limits)(?![A-Za-z\\])(?=[\s_^{}$()+\-=,.\[]|$)", 0),
-    ("latex", "\\", r"\\\((?=[^)\n]*[\\^_=+\-*/ ])[^\n]+?\\\)|\\\[[^\n]*?\\\]", 0),
+    ("latex", "\\", r"\\\((?=[^)\n]{0,2000}[\\^_=+\-*/ ])[^\n]{1,2000}?\\\)|\\\[[^\n]{0,2000}?\\\]", 0),
     ("latex", "$$", r"\$\$(?=[^\s$]|\s*\S)[^$]+\$\$", 0),
     ("latex", "$", r"(?<![\w$\\])\$(?=[^\s$\d])(?=[^$\n]*[\\^_{])[^$\n]+\$(?![\w$])", 0),
 )]
@@ -100,6 +100,8 @@ def constructs(text: str | None) -> set[str]:
     """The kinds of markup that the text has at least one construct of."""
     found: set[str] = set()
     for part in opened(text) if text else []:
+        if 0 <= part.find("<!--") < part.rfind("-->"):
+            found.add("html")
         for kind, need, pattern in _RULES:
             if kind not in found and any(x in part for x in need) and pattern.search(part):
                 found.add(kind)
@@ -107,8 +109,19 @@ def constructs(text: str | None) -> set[str]:
 
 
 _BLOCKS = re.compile(r"<(/?)(p|div|section|article|main|header|footer|tr|table|ul|ol|dl|dd|dt|blockquote|form|figure|figcaption|body|html|title|thead|tbody)\b[^>]*>", re.I)
-_DROP = re.compile(r"<!--.*?-->|<(script|style|head|nav|noscript|svg|iframe|object|template)\b[^>]*>.*?</\1\s*>", re.I | re.S)
-_PRE = re.compile(r"<pre\b[^>]*>(.*?)</pre\s*>|<syntaxhighlight\b[^>]*>(.*?)</syntaxhighlight\s*>|<source\b[^>]*>(.*?)</source\s*>", re.I | re.S)
+_DROPPED = ("script", "style", "head", "nav", "noscript", "svg", "iframe", "object", "template")
+
+
+def _pairs(opener: str, closer: str, made: Callable[[re.Match], str] | str, text: str) -> str:
+    """Replaces ``opener`` group 1 ``closer``. Only the text up to the last closer is looked at, where every opener finds one, so the time is linear."""
+    last = None
+    for last in re.finditer(closer, text, re.I):
+        pass
+    if last is None:
+        return text
+    return re.sub(f"{opener}(.*?){closer}", made, text[:last.end()], flags=re.S | re.I) + text[last.end():]
+
+
 _FENCE = re.compile(r"^[^\S\n]*(```|~~~)[^\n]*\n(.*?)^[^\S\n]*\1[^\S\n]*$", re.S | re.M)
 
 
@@ -136,15 +149,16 @@ class _Kept:
 
 
 def _html(text: str, kept: _Kept) -> str:
-    text = _DROP.sub("\n", text)
-
-    def pre(m: re.Match) -> str:
-        return kept.code(html.unescape(_TAG.sub("", next(x for x in m.groups() if x is not None))))
-
-    text = _PRE.sub(pre, text)
-    text = re.sub(r"<math\b[^>]*>(.*?)</math\s*>", lambda m: kept.hold(f"$${html.unescape(m[1]).strip()}$$"), text, flags=re.I | re.S)
-    text = re.sub(r"<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref\s*>", "", text, flags=re.I | re.S)
-    text = re.sub(r"<h([1-6])\b[^>]*>(.*?)</h\1\s*>", lambda m: f"\n\n{'#' * int(m[1])} {' '.join(_TAG.sub('', m[2]).split())}\n\n", text, flags=re.I | re.S)
+    text = _pairs("<!--", "-->", "\n", text)
+    for tag in _DROPPED:
+        if f"<{tag}" in text.lower():
+            text = _pairs(rf"<{tag}\b[^>]*>", rf"</{tag}\s*>", "\n", text)
+    for tag in ("pre", "syntaxhighlight", "source"):
+        text = _pairs(rf"<{tag}\b[^>]*>", rf"</{tag}\s*>", lambda m: kept.code(html.unescape(_TAG.sub("", m[1]))), text)
+    text = _pairs(r"<math\b[^>]*>", r"</math\s*>", lambda m: kept.hold(f"$${html.unescape(m[1]).strip()}$$"), text)
+    text = _pairs(r"<ref\b[^>/]*>", r"</ref\s*>", "", re.sub(r"<ref\b[^>]*/>", "", text, flags=re.I))
+    for level in "123456":
+        text = _pairs(rf"<h{level}\b[^>]*>", rf"</h{level}\s*>", lambda m, n=int(level): f"\n\n{'#' * n} {' '.join(_TAG.sub('', m[1]).split())}\n\n", text)
     text = re.sub(r"<li\b[^>]*>\s*", "\n- ", text, flags=re.I)
     text = re.sub(r"</t[dh]\s*>\s*<t[dh]\b[^>]*>", "\t", text, flags=re.I)
     text = re.sub(r"<(?:br|hr)\b[^>]*>", "\n", text, flags=re.I)
@@ -154,10 +168,12 @@ def _html(text: str, kept: _Kept) -> str:
 
 def _latex(text: str, kept: _Kept) -> str:
     text = re.sub(r"(?<!\\)%[^\n]*", "", text) if r"\begin{document}" in text else text
-    text = re.sub(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]]*\])?(.*?)\\end\{\1\}", lambda m: kept.code(m[2]), text, flags=re.S)
-    text = re.sub(r"\\begin\{(equation|align|gather|displaymath|math|eqnarray)\*?\}(.*?)\\end\{\1\*?\}", lambda m: "\n" + kept.hold(f"$${m[2].strip()}$$") + "\n", text, flags=re.S)
-    text = re.sub(r"\\\[(.*?)\\\]", lambda m: kept.hold(f"$${m[1].strip()}$$"), text, flags=re.S)
-    text = re.sub(r"\\\((.*?)\\\)", lambda m: kept.hold(f"${m[1].strip()}$"), text, flags=re.S)
+    for name in ("verbatim", "lstlisting", "minted"):
+        text = _pairs(rf"\\begin\{{{name}\}}(?:\[[^\]\n]*\])?", rf"\\end\{{{name}\}}", lambda m: kept.code(m[1]), text)
+    for name in ("equation", "align", "gather", "displaymath", "math", "eqnarray"):
+        text = _pairs(rf"\\begin\{{{name}\*?\}}", rf"\\end\{{{name}\*?\}}", lambda m: "\n" + kept.hold(f"$${m[1].strip()}$$") + "\n", text)
+    text = _pairs(r"\\\[", r"\\\]", lambda m: kept.hold(f"$${m[1].strip()}$$"), text)
+    text = _pairs(r"\\\(", r"\\\)", lambda m: kept.hold(f"${m[1].strip()}$"), text)
     text = re.sub(r"\\(?:documentclass|usepackage|label|cite[a-z]*|ref|eqref|includegraphics|bibliography\w*)\*?(?:\[[^\]]*\])?\{[^{}]*\}|\\(?:maketitle|hline|noindent|centering|tableofcontents)\b", "", text)
     levels = {"title": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
     text = re.sub(r"\\(title|chapter|(?:sub)*section|paragraph)\*?\{([^{}]*)\}", lambda m: f"\n\n{'#' * levels.get(m[1], 3)} {m[2].strip()}\n\n", text)
@@ -171,7 +187,8 @@ def _latex(text: str, kept: _Kept) -> str:
 
 
 def _wiki(text: str, kept: _Kept) -> str:
-    text = re.sub(r"\{(code|noformat)(?::[^{}]*)?\}(.*?)\{\1\}", lambda m: kept.code(m[2]) if "\n" in m[2] else m[2], text, flags=re.S | re.I)
+    for name in ("code", "noformat"):
+        text = _pairs(rf"\{{{name}(?::[^{{}}]*)?\}}", rf"\{{{name}\}}", lambda m: kept.code(m[1]) if "\n" in m[1] else m[1], text)
     text = re.sub(r"\{(?:quote|panel|info|note|warning|tip|toc|anchor|color|expand|section|column|include|excerpt|status|jira)(?::[^{}\n]*)?\}", "", text, flags=re.I)
     if re.search(r"^(?:={2,6}[^=\n]+={2,6}\s*$|h[1-6]\. )", text, re.M):
         text = re.sub(r"^#+ ", "1. ", re.sub(r"^\*+ ", "- ", text, flags=re.M), flags=re.M)

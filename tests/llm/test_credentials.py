@@ -59,3 +59,12 @@ def test_rows(spark):
     assert sorted((r.delivery_id, r.line_no) for r in found_lines(df, "delivery_id").collect()) == [(1, 1), (1, 1), (1, 2), (1, 2)]
     got = redacted_texts(df, "delivery_id").collect()
     assert len(got) == 5 and {r.n_credentials for r in got} == {0, 2} and found_lines(df.filter("false"), "delivery_id").count() == 0
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    for unit in ("ab-cd-", "a:b ", ".row{margin:13px;color:#946c0e;width:94%}", "password = ", '{"a":"b",', "a://b:c", "x"):
+        began = time.time()
+        credentials(unit * (150_000 // len(unit)))
+        assert time.time() - began < 5, unit

@@ -54,3 +54,12 @@ def test_rows(spark):
     assert len(got) == 6 and {r.id: len(r.kinds) for r in got} == {"a": 1, "b": 0, "c": 0, "d": 0, "e": 1} and {r.id: r.content for r in got}["c"] is None
     assert {r.id for r in clean_texts(df).filter("size(kinds) > 0").collect()} == {"a", "e"}
     assert clean_texts(df.filter("false")).count() == 0
+
+
+def test_unclosed_markup_takes_linear_time():
+    import time
+
+    for unit in ("<nav><script>", "<!-- ", "$ $$ \\( ", "{{[[", "<pre> ", "\\begin{verbatim}", "* ** _ __ ~~ ", "''a "):
+        began = time.time()
+        cleaned(unit * (150_000 // len(unit)))
+        assert time.time() - began < 5, unit
