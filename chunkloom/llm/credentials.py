@@ -20,9 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK = "REDACTED"
-_HINT = re.compile(r"pass|pwd|pw\b|secret|token|key|cred|auth|bearer|hmac|jwt|identified|-----begin|eyj|\bk\b|:[^\s/@\"']{4,200}@")
-_LONG = re.compile(r"[A-Za-z0-9+/]{40}|\b[A-Za-z0-9]{2,4}[_\-.][A-Za-z0-9_\-]{18}")
-_LOWER = {x: x + 32 for x in range(65, 91)}
 # Last words of names whose values grant access, by how strictly the value is looked at.
 _PASSWORDS = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passwort", "userpass", "dbpass"}
 _SECRETS = {"secret", "token", "apikey", "credential", "credentials", "auth", "bearer", "hmac", "jwt", "authtoken", "secretkey", "accesskey", "authorization", "secrets", "session"}
@@ -30,6 +27,12 @@ _KEYS = {"key", "keys"}
 #: Words before "key" that make it no secret.
 _OPEN_KEYS = {"public", "host", "primary", "foreign", "cache", "sort", "partition", "group", "row", "map", "sort", "unique", "index", "routing", "idempotency", "object", "pub"}
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+#: What may stand between the letters of a name without being one of its words.
+_GAP = r"[_$\-\x80-\U0010ffff]*"
+#: In lower case, a superset of what every rule for a line needs; each choice begins with its own letter, for speed.
+_HINT = re.compile("|".join([
+    r"pass|pwd|secret|token|key|cred|auth|bearer|hmac|jwt|session|identified\s|eyj|basic\s|-u[\s=]|--user[\s=]|://[^\s:/@\"'`]*:[^\s@/\"'`]{4,}@|k(?![a-z0-9])(?<![a-z0-9]k)",
+    *(rf"{w[0]}(?={_GAP}{w[1]}){_GAP.join(w)[1:]}(?![a-z0-9])" for w in sorted(_PASSWORDS | _SECRETS))]))
 _STRING = r"""(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"""
 _PAIR = re.compile(
     rf"""(?P<name>(?<![\w$])[$@]?[A-Za-z_][\w$.\-]{{0,80}})(?P<close>["'`]?\]?)\s*(?::\s*(?:const\s+)?[A-Za-z_][\w:&<>\[\]*|? ]{{0,60}}(?=\s+=\s))?"""
@@ -150,20 +153,17 @@ def credentials(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return []
     found: list[tuple[int, int]] = []
-    lower = text.lower()
-    if len(lower) != len(text):
-        lower = text.translate(_LOWER)
-    for pattern, where in ((_HINT, lower), (_LONG, text)):
-        done = 0
-        for hint in pattern.finditer(where):
-            if hint.start() < done:
-                continue
-            begin = text.rfind("\n", 0, hint.start()) + 1
-            end = text.find("\n", hint.start())
-            end = len(text) if end < 0 else end
-            done = end + 1
-            if pattern is _HINT or not _HINT.search(lower, begin, end):
-                found += [(begin + a, begin + b) for a, b in _in_line(text[begin:end])]
+    lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # ASCII only: offsets stay
+    done = 0
+    for hint in _HINT.finditer(lower):
+        if hint.start() < done:
+            continue
+        begin = text.rfind("\n", 0, hint.start()) + 1
+        end = text.find("\n", hint.start())
+        end = len(text) if end < 0 else end
+        done = end + 1
+        found += [(begin + a, begin + b) for a, b in _in_line(text[begin:end])]
+    found += _anywhere(text)
     for m in _BLOCK.finditer(text):
         if body := _BODY.match(text, m.end()):
             stop = _END.search(text, body.end())
@@ -188,6 +188,14 @@ def _inside(m: re.Match) -> tuple[int, int, bool]:
     return m.start("bare"), m.end("bare"), False
 
 
+def _joined(line: str, first: tuple[int, int]) -> list[tuple[int, int]]:
+    """The contents of a literal and of those that are joined to it."""
+    parts = [first]
+    while more := _MORE.match(line, parts[-1][1]):
+        parts.append(more.span("lit"))
+    return parts
+
+
 def _in_line(line: str) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     if "-----BEGIN" in line and _BLOCK.search(line):
@@ -200,8 +208,9 @@ def _in_line(line: str) -> list[tuple[int, int]]:
             found.append(m.span("bare"))
     found += [m.span() for m in _JWT.finditer(line)]
     for m in _BEARER.finditer(line):
-        if _granting("secret", m["bare"], True):
-            found.append(m.span("bare"))
+        parts = _joined(line, m.span("bare"))
+        if _granting("secret", "".join(line[x:y] for x, y in parts), True):
+            found += parts
     for m in _COMMAND.finditer(line):
         a, b, quoted = _inside(m)
         value = line[a:b]
@@ -225,19 +234,23 @@ def _in_line(line: str) -> list[tuple[int, int]]:
         value = line[a:b]
         if "://" in value or m["bare"] and value.endswith("(") or line[b:b + 1] == "(":
             continue
-        parts = [(a, b)]
-        while quoted and (more := _MORE.match(line, parts[-1][1])):
-            parts.append(more.span("lit"))
+        parts = _joined(line, (a, b)) if quoted else [(a, b)]
         if quoted or "," not in line[m.end("name"):a]:
             if _granting(kind, "".join(line[x:y] for x, y in parts), quoted or m["name"].startswith("_")):
                 found += parts
     if (m := _LINE_VALUE.match(line)) and _kind(m["name"]) == "password" and "://" not in m["bare"] and not re.search(r"[(){}\[\];=]", m["bare"]):
         if _granting("password", m["bare"], False):
             found.append(m.span("bare"))
-    for m in _PREFIXED.finditer(line):
+    return found
+
+
+def _anywhere(text: str) -> list[tuple[int, int]]:
+    """Tokens that need no name or word beside them; none spans lines."""
+    found: list[tuple[int, int]] = []
+    for m in _PREFIXED.finditer(text):
         if _random(m[0]) and sum(c.isdigit() for c in m[0]) and any(c.isupper() for c in m[0][4:]) and not _PLACEHOLDER.search(m[0]):
             found.append(m.span())
-    for m in _BASE64.finditer(line):
+    for m in _BASE64.finditer(text):
         if _hidden(m[0]):
             found.append(m.span())
     return found

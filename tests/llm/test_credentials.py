@@ -68,3 +68,19 @@ def test_long_lines_take_linear_time():
         began = time.time()
         credentials(unit * (150_000 // len(unit)))
         assert time.time() - began < 5, unit
+
+
+def test_every_rule_acts_without_another_hint():
+    import base64
+
+    from chunkloom.llm.credentials import _anywhere, _in_line
+
+    hidden = base64.b64encode(b"ab_Q7xK2mV9pL4wZt8R").decode()
+    lines = ["curl -s -u svc:Spj7Rxf9oeNAKD https://h.example/status", "curl --user=svc:UxYoZaDE6NvCcR https://h.example", "const header: string = 'Basic dHJvanVuem86RzhHNGNvTGI5NEJ6';",
+             'SESSION = "Q7xK2mV9pL4wZt8R"', "_k = 'Q7xK2mV9pL4wZt8R'", "p_w = 'Tundra-velvet-70'", "j_w_t: 'Q7xK2mV9pL4wZt8R'", "x = 'ab_Q7xK2mV9pL4w'", f"x = '{hidden}'", f"u = amqp://svc:{'Q7xK2mV9pL' * 25}@h/x"]
+    assert len(hidden) < 40
+    for line in lines:
+        assert _in_line(line) or _anywhere(line), line
+        assert {x[0] for x in credentials("x = 1\n" + line + "\ny = 2")} == {2}, line
+        assert credentials(redacted(line)) == [], line
+    assert redacted('var header = "Basic cG90YXJqdW4" + "6TnNHWEdEcENZTXVK";') == 'var header = "Basic REDACTED" + "REDACTED";'
