@@ -51,6 +51,7 @@ _BASE64 = re.compile(r"(?<![\w+/=\-])[A-Za-z0-9+/]{24,}={0,2}(?![\w+/=])")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"(?:(?:\\[rn])|[\s\"'+#/*|,;<>\-]|&#?\w+;)*(?:[A-Z][\w\-]*: [^\n\\]*(?:\\n|\n)[\s#/*]*)*(?P<body>[A-Za-z0-9+/=]{16,})")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_INK = re.compile(r"[^\n]")
 _PLACEHOLDER = re.compile(
     r"\$\{|\$\(|\{\{|\}\}|<[^>]*>?$|^%|%\(|%s|^\$[A-Za-z_]|^__\w+__$|^[*xX.•#?\-_]+$|^\.{3}|\.{3}$|replace|your[_\- ]|insert[_\- ]|change[_\- ]?me|example|placeholder|todo|"
     r"redacted|^(?:none|null|nil|true|false|undefined|string|str|text|empty|test|dummy|secret|password|token|key)$|^process\.env|^os\.|^env[.(]|getenv|^vault[:./]|^kv/|^arn:|^projects/|^file:|^ref\+|^op://|^ssm:|^!|^@|^&", re.I)
@@ -153,6 +154,10 @@ def credentials(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return []
     found: list[tuple[int, int]] = []
+    blocks, whole = _blocks(text), text
+    found += [(a, b) for a, b, _ in blocks]
+    if blocks:
+        text = _without(text, blocks)
     lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # ASCII only: offsets stay
     done = 0
     for hint in _HINT.finditer(lower):
@@ -164,14 +169,10 @@ def credentials(text: str | None) -> list[tuple[int, int, int]]:
         done = end + 1
         found += [(begin + a, begin + b) for a, b in _in_line(text[begin:end])]
     found += _anywhere(text)
-    for m in _BLOCK.finditer(text):
-        if body := _BODY.match(text, m.end()):
-            stop = _END.search(text, body.end())
-            found.append((m.start(), stop.start() if stop and stop.start() - m.end() < 20_000 else body.end()))
     if not found:
         return []
     starts = [0]
-    for m in re.finditer("\n", text):
+    for m in re.finditer("\n", whole):
         starts.append(m.end())
     out: list[tuple[int, int, int]] = []
     last = -1
@@ -182,6 +183,25 @@ def credentials(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
+def _blocks(text: str) -> list[tuple[int, int, int]]:
+    """(start, end of what is redacted, end with the closing line) of every key block that has a body."""
+    out: list[tuple[int, int, int]] = []
+    for m in _BLOCK.finditer(text):
+        if (not out or m.start() >= out[-1][2]) and (body := _BODY.match(text, m.end())):
+            stop = _END.search(text, body.end())
+            out.append((m.start(), stop.start(), stop.end()) if stop and stop.start() - m.end() < 20_000 else (m.start(), body.end(), body.end()))
+    return out
+
+
+def _without(text: str, blocks: list[tuple[int, int, int]]) -> str:
+    """The text with stars for the blocks, so that what stands around them on their lines is looked at alone."""
+    out, at = [], 0
+    for a, _, b in blocks:
+        out += [text[at:a], _INK.sub("*", text[a:b])]
+        at = b
+    return "".join(out) + text[at:]
+
+
 def _inside(m: re.Match) -> tuple[int, int, bool]:
     if m["lit"] is not None:
         return m.start("lit") + 1, m.end("lit") - 1, True
@@ -198,8 +218,6 @@ def _joined(line: str, first: tuple[int, int]) -> list[tuple[int, int]]:
 
 def _in_line(line: str) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
-    if "-----BEGIN" in line and _BLOCK.search(line):
-        return found  # the block is found as a whole
     for m in _URL.finditer(line):
         if _granting("password", m["bare"], True):
             found.append(m.span("bare"))
