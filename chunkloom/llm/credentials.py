@@ -50,6 +50,10 @@ _PREFIXED = re.compile(r"(?<![\w\-./+])(?:[a-z]{2,4}\d?[_\-](?:(?:live|test|sk|p
 _BASE64 = re.compile(r"(?<![\w+/=\-])[A-Za-z0-9+/]{24,}={0,2}(?![\w+/=])")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"(?:(?:\\[rn])|[\s\"'+#/*|,;<>\-]|&#?\w+;)*(?:[A-Z][\w\-]*: [^\n\\]*(?:\\n|\n)[\s#/*]*)*(?P<body>[A-Za-z0-9+/=]{16,})")
+#: The next line of a block without an end: joined to the one before by a line end (written out or not), with nothing but joiners after it.
+_NEXT = re.compile(r"(?:[^\S\n]|[\"'`+#/*|,;<>\-]|&#?\w+;)*(?:\\r)?(?:\\n|\n)(?:\\[rn]|[\s\"'`+#/*|,;<>\-]|&#?\w+;)*(?P<body>[A-Za-z0-9+/=]+)(?=[^\S\n]*(?:[\"'`\\<&]|$|\n))")
+_RUN = re.compile(r"[A-Za-z0-9+/=]{16,}")
+_JOINER = re.compile(r"\\[rn]|[\s\"'`+#/*|,;<>\-]|&#?\w+;")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _INK = re.compile(r"[^\n]")
 _PLACEHOLDER = re.compile(
@@ -184,15 +188,40 @@ def credentials(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def _blocks(text: str) -> list[tuple[int, int, int]]:
-    """(start, end of what is redacted, end with the closing line) of every key block that has a body."""
+    """(start, end of what is redacted, end with the closing line) of every key block that has a body.
+
+    A block ends at the next closing line, however far, if no other head comes first and what lies between holds no more
+    other text than key text, joiners not counted. Otherwise (a cut block) it ends with its last line of key text.
+    """
+    heads = list(_BLOCK.finditer(text))
+    ends = list(_END.finditer(text)) if heads else []
     out: list[tuple[int, int, int]] = []
-    for m in _BLOCK.finditer(text):
-        if (not out or m.start() >= out[-1][2]) and (body := _BODY.match(text, m.end())):
-            stop = _END.search(text, body.end())
-            out.append((m.start(), stop.start(), stop.end()) if stop and stop.start() - m.end() < 20_000 else (m.start(), body.end(), body.end()))
+    at = 0
+    for n, m in enumerate(heads):
+        if out and m.start() < out[-1][2] or not (body := _BODY.match(text, m.end())):
+            continue
+        while at < len(ends) and ends[at].start() < body.end():
+            at += 1
+        stop = ends[at] if at < len(ends) and (n + 1 == len(heads) or ends[at].start() < heads[n + 1].start()) else None
+        last = body.end()
+        while (more := _NEXT.match(text, last)) and _key_text(more["body"]):
+            last = more.end()
+        if stop:
+            between = text[last:stop.start()]
+            other = _RUN.sub(lambda r: "" if _key_text(r[0]) else r[0], between)
+            if len(_JOINER.sub("", other)) <= len(between) - len(other) + len(body["body"]):
+                out.append((m.start(), stop.start(), stop.end()))
+                continue
+        out.append((m.start(), last, last))
     return out
 
 
+def _key_text(run: str) -> bool:
+    """A run that no word, name or number is: long, padded, or of both cases and digits; short ones of both cases at least."""
+    kinds = sum(bool(re.search(p, run)) for p in ("[A-Z]", "[a-z]", r"\d"))
+    return len(run) >= 40 or run.startswith("=") or run.endswith("=") or kinds == 3 or len(run) < 16 and kinds == 2 and not re.fullmatch(r"[A-Z]?[a-z]+|[A-Za-z]+\d+", run)
+
+
 def _without(text: str, blocks: list[tuple[int, int, int]]) -> str:
     """The text with stars for the blocks, so that what stands around them on their lines is looked at alone."""
     out, at = [], 0
