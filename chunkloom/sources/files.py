@@ -48,14 +48,17 @@ def documents_to_items(documents: DataFrame, kind: Column, content_type: Column)
 
 
 def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
-    """(event struct, raw, other columns): what is no event has a null event and can go to a dead-letter sink."""
+    """(event struct, raw, other columns): what is no event has a null event and can go to a dead-letter sink.
+
+    An event has a source and an identifier or content: one with content but without an identifier is an event as well.
+    """
     parsed = F.from_json(F.col(value).cast("string"), EVENT)
     others = [F.col(f"`{c}`") for c in messages.columns if c != value]
-    return messages.select(*others, F.when(parsed["event_id"].isNotNull() & parsed["source_id"].isNotNull(), parsed).alias("event"), F.col(value).cast("string").alias("raw"))
+    return messages.select(*others, F.when(F.coalesce(parsed["event_id"], parsed["normalized_content"]).isNotNull() & parsed["source_id"].isNotNull(), parsed).alias("event"), F.col(value).cast("string").alias("raw"))
 
 
-def events_to_items(events: DataFrame) -> DataFrame:
-    """Events (event_id, source_id, file_path, language, normalized_content, entities, ...) as code items with entities."""
+def events_to_items(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Events (event_id, source_id, file_path, language, normalized_content, entities, ...) as code items with entities and the ``carry`` columns."""
     lang = F.lower(F.trim(F.coalesce("language", F.lit(""))))
     known = F.when(lang != "", lang)
     return events.filter(F.col("normalized_content").isNotNull()).select(
@@ -63,7 +66,7 @@ def events_to_items(events: DataFrame) -> DataFrame:
         F.col("normalized_content").alias("content"), F.to_json(F.struct(F.col("file_path").alias("path"), known.alias("language"))).alias("metadata"),
         F.lit(None).cast("timestamp").alias("created_at"),
         # the entities' own texts are not read: their lines are
-        F.arrays_zip(*[F.col(f"entities.{k}").alias(k) for k in ("entity_type", "name", "start_line", "end_line")]).alias("entities"), "file_path")
+        F.arrays_zip(*[F.col(f"entities.{k}").alias(k) for k in ("entity_type", "name", "start_line", "end_line")]).alias("entities"), "file_path", *carry)
 
 
 def kafka_source_options(servers: str, topic: str = "code.normalized", group: str = "chunkloom", per_trigger: int | None = None) -> dict[str, str]:

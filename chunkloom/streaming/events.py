@@ -15,33 +15,44 @@ from chunkloom.sources.files import decode_events, events_to_items
 
 
 def event_chunks(events: DataFrame, config: ChunkConfig = ChunkConfig(), profile: str = "default") -> DataFrame:
-    """Outbound rows without ``total_chunks``, the same for a batch and a stream. Narrow."""
-    items = events_to_items(events)
-    made = pieces(items, config, "code").filter(F.col("error").isNull())
+    """Outbound rows without ``total_chunks``, the same for a batch and a stream. Narrow.
+
+    With a column ``event_key`` chunk ids are made from it instead of ``event_id``, and it is kept for ``outbound``.
+    """
+    own = tuple(c for c in ("event_key",) if c in events.columns)
+    items = events_to_items(events, own)
+    made = pieces(items, config, "code", carry=own).filter(F.col("error").isNull())
     return made.select(
-        F.col("item").alias("event_id"), "path", chunk_id(F.col("item"), F.col("chunk_index"), F.col("chunker")).alias("chunk_id"), "chunk_index", "content", "token_count",
+        *own, F.col("item").alias("event_id"), "path", chunk_id(F.col(own[0] if own else "item"), F.col("chunk_index"), F.col("chunker")).alias("chunk_id"), "chunk_index", "content", "token_count",
         F.struct("language", F.col("meta_type").alias("entity_type"), F.col("symbol_name").alias("entity_name"), F.col("line_start").alias("start_line"),
                  F.col("line_end").alias("end_line"), F.lit(profile).alias("profile")).alias("metadata"))
 
 
 def outbound(made: DataFrame, partitions: int = 6) -> DataFrame:
     """(key, value, partition) for a broker: chunks of a finite batch with their item's total, placed by the ring."""
-    total = made.groupBy("event_id").agg(F.count(F.lit(1)).cast("int").alias("total_chunks"))
+    key, n = ("event_key", F.countDistinct("chunk_index")) if "event_key" in made.columns else ("event_id", F.count(F.lit(1)))
+    total = made.groupBy(key).agg(n.cast("int").alias("total_chunks"))
     value = F.to_json(F.struct("event_id", F.col("path").alias("file_path"), "chunk_id", "chunk_index", "total_chunks", "content", "token_count", "metadata"))
-    return assigned(made.join(total, "event_id").select(F.col("chunk_id").alias("key"), value.alias("value")), partitions)
+    return assigned(made.join(total, key).select(F.col("chunk_id").alias("key"), value.alias("value")), partitions)
 
 
 def run(spark: SparkSession, messages: DataFrame, sink, checkpoint: str, dead_letters: str | None = None, config: ChunkConfig = ChunkConfig(),
         watermark: str = "1 day", once_only: bool = True, trigger: dict | None = None, partitions: int = 6) -> StreamingQuery:
     """Runs the pipeline over a stream of JSON messages (value, and received_at for the watermark).
 
-    Events are kept once within the watermark; each micro-batch goes to ``sink(batch, epoch)``, which must be idempotent by
+    Events are kept once within the watermark, those with a null or blank identifier all pass as events of their own; each micro-batch goes to ``sink(batch, epoch)``, which must be idempotent by
     chunk_id, as ids are the same when a batch is repeated. Messages that are no events go to ``dead_letters``.
     """
     decoded = _decoded(messages)
-    events = decoded.filter("event IS NOT NULL").select("received_at", "event.*")
+    key = uuid_key(F.col("event.event_id"))
+    own = F.concat(F.lit("message:"), F.md5(F.concat_ws("\x1f", F.col("received_at").cast("string"), "raw")))
+    key = uuid_key(F.col("event.event_id"))
+    own = F.concat(F.lit("message:"), F.md5(F.concat_ws("\x1f", F.col("received_at").cast("string"), "raw")))
+    events = decoded.filter("event IS NOT NULL").select("received_at", "event.*", F.when(key.isNull(), own).otherwise(F.col("event.event_id")).alias("event_key"), F.hex(key).alias("__key"))
     if once_only:
-        events = events.withColumn("__key", F.hex(uuid_key(F.col("event_id")))).withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
+        # null keys would be equal to each other; a union of two branches would read the source twice
+        events = events.withColumn("__key", F.coalesce("__key", F.concat(F.lit("own:"), F.expr("uuid()")))).withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(["__key"])
+    events = events.drop("__key")
 
     def write(batch: DataFrame, epoch: int) -> None:
         made = event_chunks(batch, config).persist()

@@ -29,3 +29,24 @@ def test_stream_query_equals_batch_query(spark, data):
 
     stream, batch = (sorted(map(tuple, q(spark, data).collect())) for q in (chunking.stream_event_chunks, chunking.batch_event_chunks))
     assert stream == batch and stream
+
+
+def test_events_without_an_identifier_all_pass(spark, tmp_path):
+    source, out = tmp_path / "in", []
+    source.mkdir()
+    ids = [None, "", "  ", None, "", "  ", "00000000000000000000000000000001", "{00000000-0000-0000-0000-000000000001}"]
+    lines = [json.dumps({"event_id": e, "source_id": "s", "file_path": f"f{i}.py", "language": "python", "normalized_content": f"def f{i}():\n    return {i}\n" * 9, "entities": [],
+                         "metadata": {}, "timestamp": None}) for i, e in enumerate(ids)]
+    lines.append(lines[1])
+    (source / "one.txt").write_text("\n".join(lines[:4]) + "\n")
+    (source / "two.txt").write_text("\n".join([*lines[4:], '{"source_id": "s"}']) + "\n")
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(source))
+    query = events.run(spark, stream, lambda df, epoch: out.extend(df.collect()), str(tmp_path / "cp"), config=ChunkConfig(20, 10))
+    query.awaitTermination()
+    made = [json.loads(r.value) for r in out]
+    each = [sum(m["file_path"] == f"f{i}.py" for m in made) for i in range(8)]
+    n = each[0]
+    assert n > 1 and each[:6] == [n, 2 * n, n, n, n, n] and sorted(each[6:]) == [0, n] and {m["total_chunks"] for m in made} == {n}
+    assert {m.get("event_id") for m in made if m["file_path"] in ("f0.py", "f1.py", "f2.py")} == {None, "", "  "}
+    assert len({m["chunk_id"] for m in made}) in (7 * n, 8 * n)  # equal messages of one trigger may share their ids
+    assert sum(p["numInputRows"] for p in query.recentProgress) == len(lines) + 1  # the source is read once
