@@ -1,10 +1,10 @@
-"""Credentials in code and configuration: found lexically and redacted in place.
+"""Credentials in code and configuration: found on lexical tokens and redacted in place.
 
-Lines that hold a hint (a credential word, a URL with user data, a key block's head, a long random run) are cut into
-names, operators and literals. A literal that is assigned or passed to a credential-named identifier is a credential
-unless it is a placeholder, a reference or a label; the same holds for passwords in URLs, tokens in headers and command
-lines, signed tokens, key blocks, and for base64 that decodes to one of them. Redaction replaces the contents of the
-literal only: its delimiters, escapes and line ends stay. All is narrow, one pass over the text.
+The text is cut into names and literals by the lexer. A literal that is assigned to, keyed by or passed to a
+credential-named identifier is a credential unless it is a placeholder, a reference or a label; so are unquoted values of
+settings, passwords in URLs, headers and command lines, signed tokens, key blocks of any length, and base64 that decodes to
+one of them. Literals that hold credential words are scanned again as text of their own. Redaction replaces the contents
+of the literal only: its delimiters, escapes and line ends stay. All is narrow, one pass over the text, in linear time.
 """
 
 from __future__ import annotations
@@ -12,42 +12,66 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.llm import lexer
+
 MASK = "REDACTED"
 # Last words of names whose values grant access, by how strictly the value is looked at.
-_PASSWORDS = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passwort", "userpass", "dbpass"}
-_SECRETS = {"secret", "token", "apikey", "credential", "credentials", "auth", "bearer", "hmac", "jwt", "authtoken", "secretkey", "accesskey", "authorization", "secrets", "session"}
+_PASSWORDS = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passwort", "userpass", "dbpass", "pgpassword"}
+_SECRETS = {"secret", "token", "apikey", "credential", "credentials", "auth", "bearer", "hmac", "jwt", "authtoken",
+            "secretkey", "accesskey", "authorization", "secrets", "session"}
 _KEYS = {"key", "keys"}
 #: Words before "key" that make it no secret.
-_OPEN_KEYS = {"public", "host", "primary", "foreign", "cache", "sort", "partition", "group", "row", "map", "sort", "unique", "index", "routing", "idempotency", "object", "pub"}
+_OPEN_KEYS = {"public", "host", "primary", "foreign", "cache", "sort", "partition", "group", "row", "map", "unique", "index", "routing", "idempotency", "object", "pub"}
+#: Last words of calls that take an account and then what proves it.
+_LOGINS = {"connect", "login", "logon", "signin", "authenticate", "auth", "bind", "credentials", "credential"}
+#: First words of calls that look a name up, check or describe it instead of taking a value.
+_LOOKUPS = {"get", "getenv", "env", "read", "fetch", "load", "lookup", "find", "has", "is", "check", "require", "log", "print", "echo", "resolve", "render", "parse", "decode", "environ"}
+#: First words of calls that take the value itself.
+_SETTERS = {"set", "with", "use", "put", "update", "change", "reset", "assign"}
+#: Options of command line clients that take a password, attached or after a blank.
+_CLIENTS = {"mysql": "-p", "mysqldump": "-p", "mysqladmin": "-p", "mysqlimport": "-p", "mariadb": "-p", "sshpass": "-p", "redis-cli": "-a", "mongo": "-p", "mongosh": "-p",
+            "mongodump": "-p", "mongorestore": "-p", "ldapsearch": "-w", "ldapmodify": "-w", "ldapadd": "-w", "docker": "-p"}
+#: Settings words that stand where a password would.
+_SETTINGS = {"required", "optional", "hidden", "prompt", "plain", "default", "disabled", "enabled", "input", "field", "value", "invalid", "missing", "unset", "basic", "digest", "warn", "fail", "failed"}
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: What may stand between the letters of a name without being one of its words.
 _GAP = r"[_$\-\x80-\U0010ffff]*"
-#: In lower case, a superset of what every rule for a line needs; each choice begins with its own letter, for speed.
+#: In lower case, a superset of what every rule needs; each choice begins with its own letter, for speed.
 _HINT = re.compile("|".join([
-    r"pass|pwd|secret|token|key|cred|auth|bearer|hmac|jwt|session|identified\s|eyj|basic\s|-u[\s=]|--user[\s=]|://[^\s:/@\"'`]*:[^\s@/\"'`]{4,}@|k(?![a-z0-9])(?<![a-z0-9]k)",
+    r"pass|pwd|secret|token|key|cred|auth|bearer|hmac|jwt|session|identified\s|eyj|basic\s|-u[\s=]|--user[\s=]|://|connect|login|logon|signin|bind|mysql|mariadb|redis-cli|mongo|ldap|docker"
+    r"|k(?![a-z0-9])(?<![a-z0-9]k)",
     *(rf"{w[0]}(?={_GAP}{w[1]}){_GAP.join(w)[1:]}(?![a-z0-9])" for w in sorted(_PASSWORDS | _SECRETS))]))
-_STRING = r"""(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"""
-_PAIR = re.compile(
-    rf"""(?P<name>(?<![\w$])[$@]?[A-Za-z_][\w$.\-]{{0,80}})(?P<close>["'`]?\]?)\s*(?::\s*(?:const\s+)?[A-Za-z_][\w:&<>\[\]*|? ]{{0,60}}(?=\s+=\s))?"""
-    rf"""\s*(?::=|=>|={{1,3}}|:(?!:)|,)\s*(?:new\s+String\(|b(?=["'])|r(?=["'])|[fu](?=["']))?(?:(?P<lit>{_STRING})|(?P<bare>[^\s"'`,;:<>(){{}}\[\]][^\s"'`;<>(){{}}]*))""", re.X)
-_LINE_VALUE = re.compile(r"^\s*(?:export\s+|ENV\s+|-\s+|#\s*|//\s*)?(?P<name>[A-Za-z_][\w.\-]*)\s*[:=]\s*(?P<bare>[^\s\"'`].*?)\s*$")
-_XML = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*)>(?P<bare>[^<>\n]+)</(?P=name)>|key=\"(?P<key>[^\"]+)\"\s+value=(?P<lit>\"[^\"\n]*\")")
-_COMMAND = re.compile(rf"(?:\bpassword|\bidentified\s+by|--(?:password|token|secret|api-key|passwd|pass))[\s=]+(?:(?P<lit>{_STRING})|(?P<bare>[^\s\"'`;,]+))", re.I)
-_BEARER = re.compile(r"\b(?:bearer|basic)\s+(?P<bare>[^\s\"'`,;<>{}()]{6,})", re.I)
-_USER = re.compile(r"(?:\s-u|--user)[\s=]+[\"']?[\w.\-]+:(?P<bare>[^\s\"']+)")
-_MORE = re.compile(r"[\"'`]\s*[+.]\s*(?P<q>[\"'`])(?P<lit>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)")
-_URL = re.compile(r"\b[a-z][a-z0-9+.\-]{0,20}://(?P<user>[^\s:/@\"'`]{0,100}):(?P<bare>[^\s@/\"'`]{1,400})@(?=[\w\[])", re.I)
-_QUERY = re.compile(r"[?&](?P<name>[\w\-]+)=(?P<bare>[^\s&\"'`#]+)")
-_JWT = re.compile(r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
-_PREFIXED = re.compile(r"(?<![\w\-./+])(?:[a-z]{2,4}\d?[_\-](?:(?:live|test|sk|pk|pat)[_\-])?|[A-Z]{2,4}\.)[A-Za-z0-9]{10,}(?:[_\-][A-Za-z0-9]+)*(?![\w\-/])")
-_BASE64 = re.compile(r"(?<![\w+/=\-])[A-Za-z0-9+/]{24,}={0,2}(?![\w+/=])")
+#: From a name to its value: closing marks, a declared type, the operator.
+_ASSIGN = re.compile(
+    r"""(?:\\?["'`])?+\]?+(?:\[\w*+\])?+\s*+(?:(?::\s*+(?:const\s++)?(?!\w++\s*+:)[^\W\d](?:[\w\[\]*&|?\x20]|::|<(?:[^<>=\n]|<[^<>=\n]*+>)*+>)*+(?<=\s)(?==\s)|[a-z][\w<>\[\]]*+\s*+(?=:?=[^=>])))?+"""
+    r"""(?P<op>:=|=>|[|?+]{0,2}={1,3}|->|:(?!:)|,|\bvalue\s*+=)\s*+(?P<open>\(\s*+)*+""")
+_WRAPPER = re.compile(r"(?:new\s++)?(?P<callee>[^\W\d][\w.:]*+)!?\(\s*+(?=[bBrRuUfFL@]{0,2}[\"'`])")
+_CALL = re.compile(r"!?\s*+\(\s*+")
+_NEXT_ARGUMENT = re.compile(r"\s*+,\s*+")
+_BARE = re.compile(r"[^\s\"'`,;:<>(){}\[\]][^\s\"'`;<>(){}]*+")
+_IN_QUERY = re.compile(r"[^\s&\"'`#]++")
+_REST = re.compile(r"[^\s\"'`][^\n]*")
+_LINE_HEAD = re.compile(r"[^\S\n]*+(?:(?:export|ENV|set)[^\S\n]++|-[^\S\n]++|#[^\S\n]*+|//[^\S\n]*+)?")
+_XML_VALUE = re.compile(r">(?P<bare>[^<>\n]++)</")
+_AFTER_BLANK = re.compile(r"[^\S\n]++(?![=:])|=(?!=)")
+_BLANKS = re.compile(r"\s++")
+_IDENTIFIED = re.compile(r"identified\s++by\s++", re.I)
+_WORD_VALUE = re.compile(r"[^\s\"'`,;<>{}()]++")
+_OPTION_VALUE = re.compile(r"[^\s\"'`;,]++")
+_USER = re.compile(r"(?:(?<=\s)-u|--user)[\s=]++[\"']?[\w.\-]++:(?P<bare>[^\s\"']++)")
+_MORE = re.compile(r"(?:\\?[\"'`])\s*+[+.]\s*+(?=[\"'`])")
+_URL = re.compile(r"://(?P<user>[^\s:/@\"'`]*+):(?P<bare>[^\s@/\"'`]++)@(?=[\w\[])")
+_JWT = re.compile(r"\beyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+")
+_PREFIXED = re.compile(r"(?<![\w\-./+])(?:[a-z]{2,4}\d?[_\-](?:(?:live|test|sk|pk|pat)[_\-])?|[A-Z]{2,4}\.)[A-Za-z0-9]{10,}+(?:[_\-][A-Za-z0-9]++)*+(?![\w\-/])")
+_BASE64 = re.compile(r"(?<![\w+/=\-])[A-Za-z0-9+/]{24,}+={0,2}(?![\w+/=])")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"(?:(?:\\[rn])|[\s\"'+#/*|,;<>\-]|&#?\w+;)*(?:[A-Z][\w\-]*: [^\n\\]*(?:\\n|\n)[\s#/*]*)*(?P<body>[A-Za-z0-9+/=]{16,})")
 #: The next line of a block without an end: joined to the one before by a line end (written out or not), with nothing but joiners after it.
@@ -56,9 +80,12 @@ _RUN = re.compile(r"[A-Za-z0-9+/=]{16,}")
 _JOINER = re.compile(r"\\[rn]|[\s\"'`+#/*|,;<>\-]|&#?\w+;")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _INK = re.compile(r"[^\n]")
+#: An escape that stands for a delimiter or a blank stays; one that spells a character is masked with the rest.
+_KEPT_ESCAPE = re.compile(r"\\[\\nrtbfv0\"'`$/\n]|\n")
 _PLACEHOLDER = re.compile(
-    r"\$\{|\$\(|\{\{|\}\}|<[^>]*>?$|^%|%\(|%s|^\$[A-Za-z_]|^__\w+__$|^[*xX.•#?\-_]+$|^\.{3}|\.{3}$|replace|your[_\- ]|insert[_\- ]|change[_\- ]?me|example|placeholder|todo|"
-    r"redacted|^(?:none|null|nil|true|false|undefined|string|str|text|empty|test|dummy|secret|password|token|key)$|^process\.env|^os\.|^env[.(]|getenv|^vault[:./]|^kv/|^arn:|^projects/|^file:|^ref\+|^op://|^ssm:|^!|^@|^&", re.I)
+    r"\$\{|\$\(|\{\{|\}\}|<[^>]*>?$|^%\w+%$|%\(|%s|^%[dv]$|^\$[A-Za-z_]|^__\w+__$|^[*xX.•#?\-_]+$|^\.{3}|\.{3}$|(?<![a-z])(?:replace|your[_\- ]|insert[_\- ]|example|placeholder|todo)|change[_\- ]?(?:me|it)|"
+    r"redacted|^(?:none|null|nil|true|false|undefined|string|str|text|empty|test|dummy|secret|password|passwd|pass|pwd|token|key)$|^process\.env|^os\.|^env[.(]|getenv|^vault[:./]|^kv/|^arn:|^projects/|^file:|"
+    r"^ref\+|^op://|^ssm:|^![a-z]+(?:\s|$)|^[@&*][A-Za-z_][a-z_./]*$", re.I)
 _LABEL = re.compile(r"passw|kennwort|contrase|mot de passe|senha|\bpaste\b|\benter\b|token here|your |vergessen|forgot|пароль|密码|パスワード|\bapi key\b|\bkey is\b|\s.*[?:…]$", re.I)
 
 
@@ -66,9 +93,10 @@ def _words(name: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(name)]
 
 
+@lru_cache(maxsize=1 << 16)
 def _kind(name: str) -> str:
-    """password, secret or the empty text, by a name's words."""
-    words = _words(name.rsplit(".", 1)[-1]) or [""]
+    """password, secret, random or the empty text, by a name's words."""
+    words = _words(re.split(r"\.|->|::", name)[-1]) or [""]
     joined, last = "".join(words), words[-1]
     if last in _PASSWORDS or joined in _PASSWORDS:
         return "password"
@@ -81,6 +109,13 @@ def _kind(name: str) -> str:
     return "random" if joined == "k" else ""
 
 
+@lru_cache(maxsize=1 << 16)
+def _role(name: str) -> tuple[str, bool, bool, bool]:
+    """(kind, takes an account and its proof, looks names up, takes a value) of a name."""
+    words = _words(re.split(r"\.|->|::", name)[-1]) or [""]
+    return _kind(name), words[-1] in _LOGINS, words[0] in _LOOKUPS, words[0] in _SETTERS
+
+
 def _random(value: str) -> bool:
     """A run without blanks in which letters and digits or the cases are mixed as no word or path has them."""
     if len(value) < 12 or re.search(r"\s", value):
@@ -93,6 +128,10 @@ def _random(value: str) -> bool:
     return digits >= 1 and switches >= max(3, len(core) // 8) or switches >= max(5, len(core) // 5)
 
 
+def _hexadecimal(value: str) -> bool:
+    return len(value) >= 16 and len(value) % 2 == 0 and bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)) and len(set(value)) >= 4
+
+
 def _mixed(value: str) -> bool:
     """A short password: letters and digits with changes of case, or with marks that no name holds."""
     if len(value) < 8 or re.search(r"\s|://", value) or not re.search(r"[A-Za-z]", value):
@@ -107,6 +146,10 @@ def _mixed(value: str) -> bool:
     return switches >= 4 and cases
 
 
+def _strong(value: str) -> bool:
+    return _random(value) or _mixed(value) or _hexadecimal(value)
+
+
 def _plain(value: str) -> bool:
     """Identifiers, dotted names, paths and calls, as they stand unquoted in code."""
     return bool(re.fullmatch(r"[A-Za-z_$][\w$]*(?:(?:\.|::|->|\?\.)[A-Za-z_$][\w$]*)*[;,]?", value)) and not _random(value) and not _mixed(value)
@@ -122,9 +165,11 @@ def _granting(kind: str, value: str, quoted: bool) -> bool:
             return False
         if "://" in value or value.startswith("/") and value.count("/") > 1:
             return False
-        if value.isalpha() and len(words) == 1:
-            return _random(value) or sum(a.isupper() != b.isupper() for a, b in zip(value, value[1:])) >= 3
-        return quoted or not _plain(value)
+        if quoted:
+            return value.lower() not in _SETTINGS
+        if value.isalpha():  # unquoted, it may be a name; the words of names are longer
+            return len(value) >= 8 and len(value) < 3 * len(_WORD.findall(value))
+        return not _plain(value)
     if kind in ("secret", "random"):
         if re.match(r"ssh-|ecdsa-|sha\d+[:\-]|md5:|data:", value) or re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", value, re.I):
             return False
@@ -133,14 +178,11 @@ def _granting(kind: str, value: str, quoted: bool) -> bool:
         phrase = value.split()
         if quoted and len(phrase) >= 4 and all(w.isalpha() and w.islower() and len(w) > 3 for w in phrase):
             return kind == "secret" and not _LABEL.search(value)
-        return _random(value) or kind == "secret" and _mixed(value) and (quoted or bool(re.search(r"[^\w.\-+*/%&]$|^[A-Z][a-z]+-", value)))
+        return (_random(value) or kind == "secret" and _hexadecimal(value)
+                or kind == "secret" and _mixed(value) and (quoted or bool(re.search(r"[^\w.\-+*/%&]$|^[A-Z][a-z]+-", value))))
     return False
 
 
-def _signed(value: str) -> bool:
-    return bool(_JWT.search(value))
-
-
 def _hidden(value: str) -> bool:
     """Base64 of a URL with a password, or of a token."""
     try:
@@ -150,39 +192,206 @@ def _hidden(value: str) -> bool:
     if not plain.isprintable():
         return False
     m = _URL.search(plain)
-    return bool(m and _granting("password", m["bare"], True) or _signed(plain) or (p := _PREFIXED.fullmatch(plain)) and _random(p[0]))
+    return bool(m and _granting("password", m["bare"], True) or _JWT.search(plain) or (p := _PREFIXED.fullmatch(plain)) and _random(p[0]))
+
+
+Parts = list[tuple[int, int]]  # one value: its literal and those that are joined to it
+
+
+class _Scan:
+    """One text on its way through the rules; ``found`` gets one entry a value."""
+
+    def __init__(self, text: str, hints: list[int]) -> None:
+        self.text, self.hints = text, hints
+        self.found: list[Parts] = []
+        self.head = (-1, -1)  # the last line's begin and the end of what may stand before a setting's name
+
+    def run(self, begin: int, end: int) -> None:
+        for kind, a, b in lexer.tokens(self.text, begin, end):
+            n = bisect_left(self.hints, a)
+            hinted = n < len(self.hints) and self.hints[n] < b
+            if not hinted and not (n and self.text[a:b] in ("k", "_k", "$k")):
+                continue
+            if kind == "name":
+                self.named(self.text[a:b], a, b, end)
+                continue
+            held = self.text[a:b] if b - a < 200 else ""
+            if held and lexer.TOKEN.fullmatch(held) and _kind(held):
+                self.named(held, a, b, end)
+            self.run(a, b)
+
+    def named(self, name: str, a: int, b: int, end: int) -> None:
+        kind, takes_account, looks_up, sets = _role(name)
+        if kind:
+            self.assigned(kind, name, a, b, end)
+            if not looks_up:
+                self.called(kind, sets, b, end)
+            self.spoken(kind, name, a, b, end)
+        if takes_account:
+            self.account(b, end)
+        lower = name.lower()
+        if lower in _CLIENTS:
+            self.client(_CLIENTS[lower], b, end)
+        elif lower in ("bearer", "basic"):
+            self.header(b, end)
+        elif lower == "identified" and (m := _IDENTIFIED.match(self.text, a, end)):
+            self.take("password", m.end(), end, _OPTION_VALUE)
+
+    def value(self, at: int, end: int) -> tuple[Parts, str, bool] | None:
+        """(parts, joined contents, is a format string) of the literal here and of those joined to it."""
+        if not (lit := lexer.literal(self.text, at, end)):
+            return None
+        parts, prefix = [lit[:2]], lit[3]
+        while more := _MORE.match(self.text, parts[-1][1], end):
+            if not (lit := lexer.literal(self.text, more.end(), end)):
+                break
+            parts.append(lit[:2])
+        contents = "".join(self.text[x:y] for x, y in parts).replace("\\\n", "")
+        return parts, contents, "f" in prefix.lower() and "{" in contents or prefix.startswith("$") and "{" in contents
+
+    def assigned(self, kind: str, name: str, a: int, b: int, end: int) -> None:
+        text = self.text
+        if text[a - 1:a] == "<" and (m := _XML_VALUE.match(text, b, end)):
+            if "://" not in m["bare"] and _granting(kind, m["bare"], True):
+                self.found.append([m.span("bare")])
+            return
+        if text[a - 1:a] in ("?", "&") and text[b:b + 1] == "=":
+            if (m := _IN_QUERY.match(text, b + 1, end)) and _granting("secret", m[0], True):
+                self.found.append([m.span()])
+            return
+        if not (m := _ASSIGN.match(text, b, end)):
+            return
+        at, listed = m.end(), m["op"] == ","
+        wrapper = _WRAPPER.match(text, at, end)
+        if wrapper:
+            at = wrapper.end()
+        if got := self.value(at, end):
+            parts, contents, formatted = got
+            called = text[parts[-1][1] + 1:parts[-1][1] + 2] == "("
+            if formatted or called or "://" in contents or listed and contents.isalpha():
+                return
+            if wrapper and wrapper["callee"] != "String" and (_role(wrapper["callee"])[2] or not _strong(contents)):
+                return
+            if _granting(kind, contents, True):
+                self.found.append(parts)
+            return
+        if wrapper or listed or "\n" in text[b:at] or m["open"]:
+            return
+        bare = _BARE.match(text, at, end)
+        if bare:
+            stop = bare.end() - (len(bare[0]) - len(bare[0].rstrip(",")))
+            value = text[at:stop]
+            if "://" not in value and text[bare.end():bare.end() + 1] != "(" and _granting(kind, value, name.startswith("_")):
+                self.found.append([(at, stop)])
+                return
+        if kind == "password" and m["op"] in ("=", ":") and self.begins_line(a):
+            rest = _REST.match(text, at, end)
+            if rest:
+                value = rest[0].rstrip()
+                if "://" not in value and not re.search(r"[(){}\[\];=]", value) and _granting("password", value, False):
+                    self.found.append([(at, at + len(value))])
+
+    def begins_line(self, a: int) -> bool:
+        if not self.head[0] <= a <= self.head[1]:
+            begin = self.text.rfind("\n", max(0, self.head[0]), a) + 1
+            self.head = (begin, _LINE_HEAD.match(self.text, begin).end())
+        return self.head[1] == a or self.head[1] + 1 == a and self.text[a - 1] in "\"'"
+
+    def called(self, kind: str, sets: bool, b: int, end: int) -> None:
+        """Literals passed to an identifier: ``set_password("...")``, also after other literal arguments."""
+        m = _CALL.match(self.text, b, end)
+        at = m.end() if m else -1
+        while at >= 0 and (got := self.value(at, end)):
+            parts, contents, formatted = got
+            if not formatted and "://" not in contents and (sets or _strong(contents)) and _granting(kind, contents, True):
+                self.found.append(parts)
+            closed = parts[-1][1] + (len(self.text[parts[-1][1]:parts[-1][1] + 3]) - len(self.text[parts[-1][1]:parts[-1][1] + 3].lstrip("\\\"'`")))
+            more = _NEXT_ARGUMENT.match(self.text, closed, end)
+            at = more.end() if more else -1
+
+    def account(self, b: int, end: int) -> None:
+        """A call with an account's name and then its password or key."""
+        m = _CALL.match(self.text, b, end)
+        if not m or not (first := self.value(m.end(), end)) or not re.fullmatch(r"[\w.@+\\\-]+", first[1]):
+            return
+        more = _NEXT_ARGUMENT.match(self.text, first[0][-1][1] + 1, end)
+        if more and (got := self.value(more.end(), end)) and not got[2] and "://" not in got[1] and _strong(got[1]) and _granting("password", got[1], True):
+            self.found.append(got[0])
+
+    def spoken(self, kind: str, name: str, a: int, b: int, end: int) -> None:
+        """A value after a blank: in SQL, in options and in records of words."""
+        if name.lower().endswith("password") or self.text[max(0, a - 2):a] == "--":
+            if (m := _AFTER_BLANK.match(self.text, b, end)) and (m[0] != "=" or self.text[max(0, a - 2):a] == "--"):
+                self.take("password", m.end(), end, _OPTION_VALUE)
+
+    def take(self, kind: str, at: int, end: int, bare: re.Pattern) -> None:
+        if got := self.value(at, end):
+            if not got[2] and "://" not in got[1] and _granting(kind, got[1], True):
+                self.found.append(got[0])
+        elif (m := bare.match(self.text, at, end)) and "://" not in m[0] and "(" not in m[0] and m[0][0] not in "=:" and _granting(kind, m[0], False):
+            self.found.append([m.span()])
+
+    def header(self, b: int, end: int) -> None:
+        """What follows Bearer or Basic, and the literals joined to it."""
+        blank = _BLANKS.match(self.text, b, end)
+        m = _WORD_VALUE.match(self.text, blank.end(), end) if blank else None
+        if not m or len(m[0]) < 6:
+            return
+        parts, whole = [m.span()], len(self.text)
+        while more := _MORE.match(self.text, parts[-1][1], whole):
+            if not (lit := lexer.literal(self.text, more.end(), whole)):
+                break
+            parts.append(lit[:2])
+        if _granting("secret", "".join(self.text[x:y] for x, y in parts), True):
+            self.found.append(parts)
+
+    def client(self, option: str, b: int, end: int) -> None:
+        """The password option of a client of databases, directories or hosts, on the client's line."""
+        stop = self.text.find("\n", b, end)
+        stop = end if stop < 0 else stop
+        at = b
+        while (at := self.text.find(f" {option}", at, stop)) >= 0:
+            at += 1 + len(option)
+            m = _BLANKS.match(self.text, at, stop)
+            got = self.value(m.end() if m else at, stop)
+            word = _OPTION_VALUE.match(self.text, m.end() if m else at, stop)
+            if got and _granting("password", got[1], True):
+                self.found.append(got[0])
+            elif not got and word and not re.match(r"[\d./:]+$", word[0]) and word[0][0] not in "-=" and _strong(word[0]) and _granting("password", word[0], True):
+                self.found.append([word.span()])
 
 
 def credentials(text: str | None) -> list[tuple[int, int, int]]:
-    """(line from 1, start, end) of the contents of every credential, ordered and without overlaps; none in null and empty texts."""
+    """(line from 1, start, end) of the contents of every credential, ordered and without overlaps; none in null and empty texts.
+
+    Literals joined to one value have the line on which the value begins.
+    """
     if not text:
         return []
-    found: list[tuple[int, int]] = []
     blocks, whole = _blocks(text), text
-    found += [(a, b) for a, b, _ in blocks]
+    values: list[Parts] = [[(a, b)] for a, b, _ in blocks]
     if blocks:
         text = _without(text, blocks)
     lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # ASCII only: offsets stay
-    done = 0
-    for hint in _HINT.finditer(lower):
-        if hint.start() < done:
-            continue
-        begin = text.rfind("\n", 0, hint.start()) + 1
-        end = text.find("\n", hint.start())
-        end = len(text) if end < 0 else end
-        done = end + 1
-        found += [(begin + a, begin + b) for a, b in _in_line(text[begin:end])]
-    found += _anywhere(text)
-    if not found:
+    hints = [m.start() for m in _HINT.finditer(lower)]
+    if hints:
+        scan = _Scan(text, hints)
+        scan.run(0, len(text))
+        values += scan.found
+        values += [[m.span("bare")] for m in _URL.finditer(text) if _granting("password", m["bare"], True)]
+        values += [[m.span()] for m in _JWT.finditer(text)]
+        values += [[m.span("bare")] for m in _USER.finditer(text) if _granting("password", m["bare"], True)]
+    values += _anywhere(text)
+    if not values:
         return []
     starts = [0]
     for m in re.finditer("\n", whole):
         starts.append(m.end())
     out: list[tuple[int, int, int]] = []
     last = -1
-    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
-        if a >= last:
-            out.append((bisect_right(starts, a), a, b))
+    for a, b, head in sorted(((a, b, parts[0][0]) for parts in values for a, b in parts), key=lambda s: (s[0], -s[1])):
+        if a >= last and b > a:
+            out.append((bisect_right(starts, head), a, b))
             last = b
     return out
 
@@ -231,84 +440,26 @@ def _without(text: str, blocks: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _inside(m: re.Match) -> tuple[int, int, bool]:
-    if m["lit"] is not None:
-        return m.start("lit") + 1, m.end("lit") - 1, True
-    return m.start("bare"), m.end("bare"), False
-
-
-def _joined(line: str, first: tuple[int, int]) -> list[tuple[int, int]]:
-    """The contents of a literal and of those that are joined to it."""
-    parts = [first]
-    while more := _MORE.match(line, parts[-1][1]):
-        parts.append(more.span("lit"))
-    return parts
-
-
-def _in_line(line: str) -> list[tuple[int, int]]:
-    found: list[tuple[int, int]] = []
-    for m in _URL.finditer(line):
-        if _granting("password", m["bare"], True):
-            found.append(m.span("bare"))
-    for m in _QUERY.finditer(line):
-        if _kind(m["name"]) and _granting("secret", m["bare"], True):
-            found.append(m.span("bare"))
-    found += [m.span() for m in _JWT.finditer(line)]
-    for m in _BEARER.finditer(line):
-        parts = _joined(line, m.span("bare"))
-        if _granting("secret", "".join(line[x:y] for x, y in parts), True):
-            found += parts
-    for m in _COMMAND.finditer(line):
-        a, b, quoted = _inside(m)
-        value = line[a:b]
-        if "://" not in value and not (not quoted and value[:1] in "=:(") and _granting("password", value, quoted):
-            found.append((a, b))
-    for m in _XML.finditer(line):
-        kind = _kind(m["name"] or m["key"])
-        a, b, _ = _inside(m)
-        if kind and "://" not in line[a:b] and _granting(kind, line[a:b], True):
-            found.append((a, b))
-    for m in _USER.finditer(line):
-        if _granting("password", m["bare"], True):
-            found.append(m.span("bare"))
-    at = 0
-    while m := _PAIR.search(line, at):
-        kind = _kind(m["name"])
-        at = m.end("name") if not kind or m["lit"] is None else m.start("lit")
-        if not kind:
-            continue
-        a, b, quoted = _inside(m)
-        value = line[a:b]
-        if "://" in value or m["bare"] and value.endswith("(") or line[b:b + 1] == "(":
-            continue
-        parts = _joined(line, (a, b)) if quoted else [(a, b)]
-        if quoted or "," not in line[m.end("name"):a]:
-            if _granting(kind, "".join(line[x:y] for x, y in parts), quoted or m["name"].startswith("_")):
-                found += parts
-    if (m := _LINE_VALUE.match(line)) and _kind(m["name"]) == "password" and "://" not in m["bare"] and not re.search(r"[(){}\[\];=]", m["bare"]):
-        if _granting("password", m["bare"], False):
-            found.append(m.span("bare"))
-    return found
-
-
-def _anywhere(text: str) -> list[tuple[int, int]]:
+def _anywhere(text: str) -> list[Parts]:
     """Tokens that need no name or word beside them; none spans lines."""
-    found: list[tuple[int, int]] = []
+    found: list[Parts] = []
     for m in _PREFIXED.finditer(text):
         if _random(m[0]) and sum(c.isdigit() for c in m[0]) and any(c.isupper() for c in m[0][4:]) and not _PLACEHOLDER.search(m[0]):
-            found.append(m.span())
+            found.append([m.span()])
     for m in _BASE64.finditer(text):
         if _hidden(m[0]):
-            found.append(m.span())
+            found.append([m.span()])
     return found
 
 
 def _masked(span: str) -> str:
-    """Key blocks keep their head, escapes and line structure; other contents become the mask."""
+    """Key blocks keep their head, escapes and line structure; of other contents the first run becomes the mask, and escapes and line ends stay."""
     if span.startswith("-----BEGIN"):
         head = _BLOCK.match(span).end()
         return span[:head] + re.sub(r"(\\.)|[A-Za-z0-9+/=]", lambda m: m[1] or "X", span[head:])
-    return MASK
+    runs, kept = _KEPT_ESCAPE.split(span), [*_KEPT_ESCAPE.findall(span), ""]
+    first = next((i for i, run in enumerate(runs) if run), 0)
+    return "".join((MASK if i == first else "X" if run else "") + escape for i, (run, escape) in enumerate(zip(runs, kept)))
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, int]] | None = None) -> str | None:
@@ -344,7 +495,8 @@ def redacted_texts(files: DataFrame, key: str, text: str = "normalized_content")
         for batch in batches:
             texts = batch.column(1).to_pylist()
             spans = [credentials(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(redacted, texts, spans), pa.string()), pa.array(map(len, spans), pa.int32())], [key, text, "n_credentials"])
+            made = pa.array(map(redacted, texts, spans), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made, pa.array(map(len, spans), pa.int32())], [key, text, "n_credentials"])
 
     rows = files.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("t"))
     return rows.mapInArrow(run, f"`{key}` {rows.dtypes[0][1]}, `{text}` string, n_credentials int")

@@ -73,14 +73,12 @@ def test_long_lines_take_linear_time():
 def test_every_rule_acts_without_another_hint():
     import base64
 
-    from chunkloom.llm.credentials import _anywhere, _in_line
-
     hidden = base64.b64encode(b"ab_Q7xK2mV9pL4wZt8R").decode()
     lines = ["curl -s -u svc:Spj7Rxf9oeNAKD https://h.example/status", "curl --user=svc:UxYoZaDE6NvCcR https://h.example", "const header: string = 'Basic dHJvanVuem86RzhHNGNvTGI5NEJ6';",
              'SESSION = "Q7xK2mV9pL4wZt8R"', "_k = 'Q7xK2mV9pL4wZt8R'", "p_w = 'Tundra-velvet-70'", "j_w_t: 'Q7xK2mV9pL4wZt8R'", "x = 'ab_Q7xK2mV9pL4w'", f"x = '{hidden}'", f"u = amqp://svc:{'Q7xK2mV9pL' * 25}@h/x"]
     assert len(hidden) < 40
     for line in lines:
-        assert _in_line(line) or _anywhere(line), line
+        assert {x[0] for x in credentials(line)} == {1}, line
         assert {x[0] for x in credentials("x = 1\n" + line + "\ny = 2")} == {2}, line
         assert credentials(redacted(line)) == [], line
     assert redacted('var header = "Basic cG90YXJqdW4" + "6TnNHWEdEcENZTXVK";') == 'var header = "Basic REDACTED" + "REDACTED";'
@@ -117,3 +115,44 @@ def test_long_and_cut_key_blocks_are_redacted_whole():
         began = time.time()
         credentials(text)
         assert time.time() - began < 5
+
+
+def test_literals_of_all_kinds_are_tied_to_names():
+    value = "Tundra-velvet-70"
+    forms = ['set_password("%s")', 'db.setPassword("%s");', 'password = (\n  """%s"""\n)', "const password =\n  `%s`;", '{"password":\n   "%s"}', "cat <<EOF\npassword=%s\nEOF\n", '"""\n[db]\npassword = %s\n"""',
+             'x = "{\\"password\\": \\"%s\\"}"', 'if (password == "%s") {', 'fn(password="%s")', 'auth("svc", "%s")', 'password = SecretStr("%s")', 'char password[] = "%s";', 'var password string = "%s"',
+             "docker login -u me -p %s", "PGPASSWORD=%s psql", 'const password: Map<string, LongerLonger> = "%s"', "password=b'%s'", 'password = String::from("%s");', "<password>%s</password>", "mysql -u root -p%s app",
+             "x" * 200 + '_password = "%s"', "val password: " + "Long" * 50 + ' = "%s"', "# don't: password = '%s'", 'u = "amqp://' + "u" * 200 + ':%s@h/x"']
+    for form in forms:
+        text = "a = 1\n" + form % value + "\nb = 2"
+        assert redacted(text) == text.replace(value, "REDACTED"), form
+    for word in ("letmein", "Summer", "correcthorsebatterystaple", "!iLWST6ef*pA", "%6TKAxJ3TFiM"):
+        assert redacted(f'password = "{word}"') == 'password = "REDACTED"'
+    assert redacted('secret = "deadbeefdeadbeefcafedeadbeefcafe"') == 'secret = "REDACTED"'
+    for clean in ('password = config.get("db.password")', 'get_password("DB_PASSWORD")', "mysql -u root -p app", 'password = f"{user}-{salt}9Xz#"', 'labels = ["token", "keyword"]', "password=\nsize=4096x", 'connect("localhost", "database")'):
+        assert credentials(clean) == [], clean
+
+
+def test_escapes_and_line_ends_in_a_literal_stay():
+    assert redacted(r'password = "a\"b\n9Xz#Q"') == r'password = "REDACTED\"X\nX"'
+    assert redacted('password = "abc\\\ndef9Xz#Q"') == 'password = "REDACTED\\\nX"'
+    assert redacted(r'password = "\u0041bc9Xz#Q"') == 'password = "REDACTED"'
+
+
+def test_a_value_of_several_literals_begins_on_one_line():
+    assert {x[0] for x in credentials('token = "vx0b-VUaegEAtvh5" +\n    "2n8hmAhE2MjAvBop"')} == {1}
+
+
+def test_a_megabyte_of_anything_takes_linear_time():
+    import random
+    import time
+
+    rng = random.Random(5)
+    body = "\n".join("".join(rng.choices("ABCDEFabcdef0123456789+/", k=64)) for _ in range(16_000))
+    text = "k = 1\n-----BEGIN RSA PRIVATE KEY-----\n" + body + "\n-----END RSA PRIVATE KEY-----\nrest = 2\n"
+    out = redacted(text)
+    assert not any(x in out for x in body.split("\n")) and out.endswith("KEY-----\nrest = 2\n")
+    for unit in ('password = "', "password: '", "`password", '\\"password', "cat <<EOF\npassword", '"""password', "password, ", "password(", "a.password.", "://password:", "password: a b ", "mysql -p", "--password ", "<password>"):
+        began = time.time()
+        credentials(unit * (1_000_000 // len(unit)))
+        assert time.time() - began < 20, unit
