@@ -39,7 +39,7 @@ _RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [(kind, tuple(need.split
     ("markdown", "`", r"(?<![`\\])`[^`\n]*[^`\s\n][^`\n]*`(?!`)", 0),
     ("markdown", "**", r"(?<![*\w\\])\*\*(?=[^\s*])[^*\n]*?[^\s*\\]\*\*(?!\*)", 0),
     ("markdown", "__", r"(?<![\w_\\])__(?=[^\W_])[^_\n]*?(?:_[^_\n]+)*?[^\s_]__(?![\w_])", 0),
-    ("markdown", "*", r"(?<![*\w\\/.()=+])\*(?=[^\s*/+.)])[^*\n=]{0,300}?[^\s*\\(]\*(?![*\w])", 0),
+    ("markdown", "*", r"(?<![*\w\\/.()=+])\*(?=[^\s*/+.)])[^*\n=]*[^\s*\\(\n=]\*(?![*\w])", 0),
     ("markdown", "_", r"(?<![\w_\\/`'\"{(\[=.])_(?=[^\W_])[^_\n]*?\s[^_\n]*?[^\s_]_(?![\w_])", 0),
     ("markdown", "~~", r"~~(?=\S)[^~\n]+?~~", 0),
     ("markdown", "](", r"!?\[[^\[\]\n]*\]\((?:https?:|mailto:|[./#]|[\w\-%]+[./#])[^\s()]*(?: \"[^\"]*\")?\)", 0),
@@ -47,7 +47,7 @@ _RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [(kind, tuple(need.split
     ("markdown", "--- :--", r"\|?[^\S\n]*:?-{3,}:?\s*\|(?:\s*:?-{3,}:?\s*\|?)+", re.M),
     ("markdown", "[", r"^\s*[-*+] \[[ xX]\] ", re.M),
     ("markdown", ">", r"(?:\A|\n[^\S\n]*\n)(?:>[^\S\n]*[-*#>`|]|>\s*\*\*)", 0),
-    ("wiki", "==", r"^={2,6}[^\S\n]*[^=\s][^=\n]*={2,6}[^\S\n]*\r?$|(?:^|\s)={2,6} [^=\n]{1,200}? ={2,6}(?=\s|$)", re.M),
+    ("wiki", "==", r"^={2,6}[^\S\n]*[^=\s][^=\n]*={2,6}[^\S\n]*\r?$|(?:^|\s)={2,6} [^=\n]++(?<=[^=\n] )={2,6}(?=\s|$)", re.M),
     ("wiki", "''", r"'{2,5}(?=[^'\s])[^'\n]+(?:'[^'\n]+)*?'{2,5}", 0),
     ("wiki", "[[", r"\[\[(?=[^\[\]\s])[^\[\]\n]+\]\]|\[\[(?:File|Image|Datei|Category):", 0),
     ("wiki", "{{", r"\{\{(?=[^{}\s])[^{}]+\}\}", 0),
@@ -56,14 +56,14 @@ _RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [(kind, tuple(need.split
     ("wiki", "|http", r"\[[^\[\]|\n]+\|(?:https?|mailto|ftp)[^\s\]]+\]", 0),
     ("wiki", "h1. h2. h3. h4. h5. h6.", r"(?<![^\s])h[1-6]\. (?=[^\W\d_])", re.M),
     ("wiki", "{", r"\{(?:code|noformat|quote|panel|info|note|warning|tip|toc|anchor|color|expand|section|column|include|excerpt|status|jira)(?::[^{}\n]*)?\}", re.I),
-    ("wiki", "||", r"^\s*\|\|[^|\n]+\|\||(?:\A|\s)\|\|[^|\n]{1,60}\|\|[^|\n]{1,60}\|\|", re.M),
+    ("wiki", "||", r"^\s*\|\|[^|\n]+\|\||(?:\A|\s)\|\|[^|\n]++\|\|[^|\n]++\|\|", re.M),
     ("wiki", "|", r"^\|[^|\n]+\|[^|\n]+\|[^\n]*\r?\n\|[^|\n]+\|[^|\n]+\|", re.M),
     ("wiki", "* #", r"^(?:[*#]{2,}|[*#][:*#]+) \S", re.M),
     ("wiki", "bq.", r"^bq\. \S", re.M),
     ("wiki", "#REDIRECT __", r"^#REDIRECT\b|__(?:NO)?TOC__|__NOEDITSECTION__", re.M),
     ("latex", "\\", r"\\(?:begin|end)\{[a-zA-Z]+\*?\}|\\(?:documentclass|usepackage|(?:sub)*section|paragraph|chapter|part|title|author|caption|label|ref|eqref|cite[a-z]*|footnote|textbf|textit|texttt|emph|underline|frac|sqrt|mathbf|mathrm|mathcal|href|url|includegraphics|text)\*?(?:\[[^\]\n]*\])?\{", 0),
     ("latex", "\\", r"\\(?:alpha|beta|gamma|delta|epsilon|lambda|mu|pi|rho|sigma|tau|phi|psi|omega|theta|sum|int|prod|infty|partial|nabla|cdot|times|leq|geq|neq|approx|rightarrow|leftarrow|item|maketitle|hline|ldots|left|right|quad|limits)(?![A-Za-z\\])(?=[\s_^{}$()+\-=,.\[]|$)", 0),
-    ("latex", "\\", r"\\\((?=[^)\n]{0,2000}[\\^_=+\-*/ ])[^\n]{1,2000}?\\\)|\\\[[^\n]{0,2000}?\\\]", 0),
+    ("latex", "\\", r"\\\((?!\\\))[^\n\\]*+(?:\\(?![()])[^\n\\]*+)*+\\\)|\\\[[^\n\\]*+(?:\\(?![\[\]])[^\n\\]*+)*+\\\]", 0),
     ("latex", "$$", r"\$\$(?=[^\s$]|\s*\S)[^$]+\$\$", 0),
     ("latex", "$", r"(?<![\w$\\])\$(?=[^\s$\d])(?=[^$\n]*[\\^_{])[^$\n]+\$(?![\w$])", 0),
 )]

@@ -63,3 +63,15 @@ def test_unclosed_markup_takes_linear_time():
         began = time.time()
         cleaned(unit * (150_000 // len(unit)))
         assert time.time() - began < 5, unit
+
+
+def test_constructs_of_any_length_are_found():
+    import time
+
+    assert "latex" in constructs("so \\( " + "x + y " * 700 + "\\) holds") and "latex" in constructs("so \\[ " + "x^2 + " * 700 + "\\] holds")
+    assert "markdown" in constructs("a *" + "word " * 70 + "end* b") and "wiki" in constructs("text == " + "word " * 50 + "== text")
+    assert "wiki" in constructs("||" + "a" * 100 + "||" + "b" * 100 + "||")
+    for unit in ("\\( ", "\\[ ", " *x", " == a", " ||a", "\\(\\[", "* a", "**a", "__a", "==", "~~a", "$a", "{{a", "[[a", "![a](", "`a\n"):
+        began = time.time()
+        constructs(unit * (1_000_000 // len(unit)))
+        assert time.time() - began < 20, unit
