@@ -108,7 +108,13 @@ def constructs(text: str | None) -> set[str]:
     return found
 
 
-_BLOCKS = re.compile(r"<(/?)(p|div|section|article|main|header|footer|tr|table|ul|ol|dl|dd|dt|blockquote|form|figure|figcaption|body|html|title|thead|tbody)\b[^>]*>", re.I)
+_BLOCKS = re.compile(r"(?:</?(?:p|div|section|article|main|header|footer|tr|table|ul|ol|dl|dd|dt|blockquote|form|figure|figcaption|body|html|title|thead|tbody)\b[^>]*>[^\S\n]*\n?[^\S\n]*)+", re.I)
+#: What only whole pages have: their parts, beside the text, are what the line blocks leave out.
+_PAGE = re.compile(r"<(?:html|body|main|article|nav|header|footer|aside|div)\b", re.I)
+#: Elements of a page whose words weigh as little as those of links.
+_ASIDE = ("footer", "aside", "form", "button", "select")
+LINK, LINK_END = "\x04", "\x05"
+_MARKS = re.compile(f"[{LINK}{LINK_END}]")
 _DROPPED = ("script", "style", "head", "nav", "noscript", "svg", "iframe", "object", "template")
 
 
@@ -158,10 +164,14 @@ def _html(text: str, kept: _Kept) -> str:
     text = _pairs(r"<math\b[^>]*>", r"</math\s*>", lambda m: kept.hold(f"$${html.unescape(m[1]).strip()}$$"), text)
     text = _pairs(r"<ref\b[^>/]*>", r"</ref\s*>", "", re.sub(r"<ref\b[^>]*/>", "", text, flags=re.I))
     for level in "123456":
-        text = _pairs(rf"<h{level}\b[^>]*>", rf"</h{level}\s*>", lambda m, n=int(level): f"\n\n{'#' * n} {' '.join(_TAG.sub('', m[1]).split())}\n\n", text)
+        text = _pairs(rf"<h{level}\b[^>]*>", rf"</h{level}\s*>", lambda m, n=int(level): f"\n{'#' * n} {' '.join(_TAG.sub('', m[1]).split())}\n", text)
     text = re.sub(r"<li\b[^>]*>\s*", "\n- ", text, flags=re.I)
     text = re.sub(r"</t[dh]\s*>\s*<t[dh]\b[^>]*>", "\t", text, flags=re.I)
     text = re.sub(r"<(?:br|hr)\b[^>]*>", "\n", text, flags=re.I)
+    if _PAGE.search(text):  # the words of links are told apart from those of the text, for the line blocks
+        text = re.sub(r"<a\b[^>]*>", LINK, re.sub(r"</a\s*>", LINK_END, text, flags=re.I), flags=re.I)
+        for tag in _ASIDE:
+            text = _pairs(rf"<{tag}\b[^>]*>", rf"</{tag}\s*>", lambda m: f"\n{LINK}{_MARKS.sub('', m[1])}{LINK_END}\n", text)
     text = _BLOCKS.sub("\n", text)
     return html.unescape(_TAG.sub("", text))
 
@@ -176,7 +186,7 @@ def _latex(text: str, kept: _Kept) -> str:
     text = _pairs(r"\\\(", r"\\\)", lambda m: kept.hold(f"${m[1].strip()}$"), text)
     text = re.sub(r"\\(?:documentclass|usepackage|label|cite[a-z]*|ref|eqref|includegraphics|bibliography\w*)\*?(?:\[[^\]]*\])?\{[^{}]*\}|\\(?:maketitle|hline|noindent|centering|tableofcontents)\b", "", text)
     levels = {"title": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
-    text = re.sub(r"\\(title|chapter|(?:sub)*section|paragraph)\*?\{([^{}]*)\}", lambda m: f"\n\n{'#' * levels.get(m[1], 3)} {m[2].strip()}\n\n", text)
+    text = re.sub(r"\\(title|chapter|(?:sub)*section|paragraph)\*?\{([^{}]*)\}", lambda m: f"\n{'#' * levels.get(m[1], 3)} {m[2].strip()}\n", text)
     text = re.sub(r"\\begin\{(?:tabular|array)\}\{[^{}]*\}(.*?)\\end\{(?:tabular|array)\}",
                   lambda m: "\n" + re.sub(r"\s*\\\\\s*", "\n", re.sub(r"\s*(?<!\\)&\s*", "\t", m[1])).strip() + "\n", text, flags=re.S)
     text = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", "\n", text)
@@ -220,10 +230,13 @@ def _markdown(text: str, kept: _Kept) -> str:
     return text
 
 
+_CONTROLS = {2: None, 3: None, 4: None, 5: None}
+
+
 def stripped(text: str, kinds: set[str]) -> list[str]:
-    """Lines of the text without its markup; kept structure is written as an outline."""
+    """Lines of the text without its markup, blank ones included; kept structure is written as an outline, links of pages are marked."""
     kept = _Kept()
-    text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\x02", "").replace("\x03", "")
+    text = text.replace("\r\n", "\n").replace("\r", "\n").translate(_CONTROLS)
     if "html" in kinds and _ESCAPED.search(text):
         text = _ESCAPED.sub(lambda m: html.unescape(html.unescape(m[0])), text)
     text = _FENCE.sub(lambda m: kept.code(m[2]), text)
@@ -232,37 +245,63 @@ def stripped(text: str, kinds: set[str]) -> list[str]:
     for kind, step in steps:
         if kind in kinds:
             text = step(text, kept)
-    return re.sub(r"\n{3,}", "\n\n", kept.back(text)).strip("\n").split("\n")
+    return kept.back(text).strip("\n").split("\n")
 
 
-def main_lines(lines: list[str], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """Line-block distribution: from each surge of the windows' text length up to where it dives to nothing, ends trimmed.
+_STRUCTURE = re.compile(r"\s*(?:#{1,6} |- |\d+\. |```|\$\$|>|\w+(?:\([^()]*\))?\s*=\s*[^\s=])|[^\t]*\t")
 
-    Structure lines weigh as a surge, so that headings, items, code and formulas of the main text stay.
-    """
-    def weight(line: str) -> int:
-        bare = "".join(line.split())
-        return max(len(bare), surge) if bare and re.match(r"\s*(?:#{1,6} |- |```|\$\$|>)|[^\t]*\t", line) else len(bare)
 
-    lengths, inside = [], False
+def _weights(lines: list[str], surge: int) -> list[int]:
+    """Each line's text length without blanks and without the words of links; structure lines (formulas too) weigh as a surge."""
+    out, fenced, linked = [], False, False
     for line in lines:
         if line.startswith("```"):
-            inside = not inside
-        lengths.append(max(weight(line), surge) if inside else weight(line))
-    total = [sum(lengths[i:i + window]) for i in range(len(lines))]
+            fenced = not fenced
+            out.append(surge)
+            continue
+        own: list[str] = []
+        for part in re.split(f"([{LINK}{LINK_END}])", line):
+            if part in (LINK, LINK_END):
+                linked = part == LINK
+            elif not linked:
+                own.append(part)
+        bare = "".join("".join(own).split())
+        size = len(bare) + sum(c >= "\u2e80" for c in bare)  # ideographs and kana weigh double
+        worded = re.search(r"\w", bare)
+        out.append(max(size, surge) if fenced or worded and _STRUCTURE.match(_MARKS.sub("", line)) else size if worded else 0)
+    return out
+
+
+def main_lines(lines: list[str], page: bool = False, window: int = WINDOW, surge: int = SURGE) -> list[str]:
+    """Line-block distribution: the lines from each surge of the windows' text length to the dive after it.
+
+    ``total[i]`` is the text length of the ``window`` lines that begin at line i. A stretch begins where it reaches
+    ``surge`` at a line with text and ends before the first window without any text. On a page, where navigation and
+    imprints stand close to the text, it is narrowed to its full windows: what stands before the first line at which such
+    a window ends, or after the last one at which one begins, goes as well. Blank lines count, so they must not have been squeezed. If no window
+    reaches ``surge``, all lines stay.
+    """
+    weights = _weights(lines, surge)
+    total = [sum(weights[i:i + window]) for i in range(len(lines))]
     keep = [False] * len(lines)
     i = 0
     while i < len(lines):
-        if total[i] >= surge and lengths[i]:
-            end = i
-            while end < len(lines) and total[end] > 0:
-                end += 1
-            for k in range(i, min(end, len(lines))):
-                keep[k] = True
-            i = end
-        i += 1
-    out = [line for line, k in zip(lines, keep) if k]
-    return out if any(x.strip() for x in out) else lines
+        if total[i] < surge or not weights[i]:
+            i += 1
+            continue
+        end = i
+        while end < len(lines) and total[end] > 0:
+            end += 1
+        first, last = i, end
+        if page:
+            while first < last and (sum(weights[max(0, first - window + 1):first + 1]) < surge or not weights[first]):
+                first += 1
+            while last > first and (total[last - 1] < surge or not weights[last - 1]):
+                last -= 1
+        keep[first:last] = [True] * (last - first)
+        i = end + 1
+    out = [_MARKS.sub("", line) for line, k in zip(lines, keep) if k]
+    return out if any(x.strip() for x in out) else [_MARKS.sub("", line) for line in lines]
 
 
 def cleaned(text: str | None) -> tuple[str | None, list[str]]:
@@ -270,8 +309,12 @@ def cleaned(text: str | None) -> tuple[str | None, list[str]]:
     kinds = constructs(text)
     if not kinds:
         return text, []
-    out = [line.rstrip() for part in opened(text) for line in (main_lines(stripped(part, kinds)) if part.strip() else [])]
-    return "\n".join(out), sorted(kinds)
+    out: list[str] = []
+    for part in opened(text):
+        if part.strip():
+            page = "html" in kinds and bool(_PAGE.search(html.unescape(part)))
+            out += [line.rstrip() for line in main_lines(stripped(part, kinds), page)]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n"), sorted(kinds)
 
 
 def clean_texts(items: DataFrame, key: str = "id", text: str = "content") -> DataFrame:

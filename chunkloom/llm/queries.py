@@ -46,18 +46,15 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.redacted_texts(table(spark, folder, "code_normalized_event"), "delivery_id")
 
 
-def _prose(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "source_item").filter(~F.col("source_kind").isin("chat", "code_repo"))
-
-
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Items whose content has a construct of a markup language."""
-    return p6_clean(spark, folder).filter(F.size("kinds") > 0).select("id").distinct()
+    """Items, but for chats and code, whose content has a construct of a markup language."""
+    items = table(spark, folder, "source_item").filter(~F.col("source_kind").isin("chat", "code_repo"))
+    return markup.clean_texts(items).filter(F.size("kinds") > 0).select("id").distinct()
 
 
 def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Clean text of every item."""
-    return markup.clean_texts(_prose(spark, folder))
+    return markup.clean_texts(table(spark, folder, "source_item"))
 
 
 def _counted(spark: SparkSession, folder: str) -> list[DataFrame]:

@@ -43,10 +43,32 @@ def test_structure_stays():
 
 def test_line_blocks():
     body = ["A long line of the main text stands here.", "And a second line that is as long."]
-    assert main_lines(["Home", "", "", "", *body, "", "", "", "End"]) == [*body, ""] or main_lines(["Home", "", "", "", *body, "", "", "", "End"])[:2] == body
+    assert main_lines(["Home", "", "", "", *body, "", "", "", "End"]) == body
+    assert main_lines([*body, "", "short", "", "", "", "", *body]) == [*body, "", "short", *body]
+    assert main_lines([*body, "Imprint"], page=True) == body and main_lines([*body, "Imprint"]) == [*body, "Imprint"]
     assert main_lines(["x"]) == ["x"] and main_lines([]) == []
 
 
+def test_navigation_login_and_footer_of_a_page_go():
+    page = """<html><body>
+<div id="top"><a href="/">Home</a> | <a href="/news">All the latest news of today</a> | <a href="/about">About this company</a></div>
+<div class="login">Log in: <input name="user"> <input name="pw"></div>
+<ul><li><a href="/a">First long entry of a menu</a></li><li><a href="/b">Second long entry of a menu</a></li></ul>
+<article><h1>The title</h1>
+<p>The first paragraph of the article has <a href="/x">a link</a> and many words.</p>
+<p>Short.</p>
+<ul><li>apples</li><li>pears</li></ul>
+<p>The last paragraph of the article has many words too.</p></article>
+<ul><li><a href="/c">Related story about something</a></li><li><a href="/d">Another related story</a></li></ul>
+<div class="foot">(c) 2024 Acme <a href="/imprint">Imprint and privacy notice</a></div>
+<footer>All rights reserved, and a long sentence about how nothing of this may be used.</footer>
+</body></html>"""
+    text, kinds = cleaned(page)
+    assert kinds == ["html"] and text.startswith("# The title") and text.endswith("has many words too.")
+    assert "has a link and many" in text and "Short." in text and "- apples\n- pears" in text
+    assert not any(x in text for x in ("Home", "latest", "Log in", "menu", "Related", "Acme", "Imprint", "rights"))
+
+
 def test_rows(spark):
     rows = [("a", "<p>x</p>", "t"), ("b", "plain", "t"), ("c", None, None), ("d", "", "t"), ("a", "<p>x</p>", "t"), ("e", "<p>" + "long " * 50_000 + "</p>", "t")]
     df = spark.createDataFrame(rows, "id string, content string, kinds string")
