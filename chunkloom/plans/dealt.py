@@ -20,9 +20,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_once(spark: SparkSession, folder: str) -> DataFrame:
-    """One delivery of each event."""
-    events = table(spark, folder, "code_normalized_event").select("delivery_id", "event_id", "file_path", "timestamp")
-    return once.once(events, once.uuid_key(F.col("event_id")), [F.col("delivery_id")])
+    """One delivery of each event, whole rows; nested columns are written as text."""
+    events = table(spark, folder, "code_normalized_event")
+    kept = once.once(events, once.uuid_key(F.col("event_id")), [F.col("delivery_id")])
+    entities = F.array_join(F.transform("entities", lambda e: F.concat_ws("|", e["entity_type"], e["name"], e["start_line"].cast("string"), e["end_line"].cast("string"), e["content"])), "\n")
+    metadata = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "\n")
+    return kept.select("delivery_id", "batch_id", "event_id", "source_id", "file_path", "language", "normalized_content", "timestamp",
+                       F.unix_micros("received_at").alias("received_us"), entities.alias("entities"), metadata.alias("metadata"))
 
 
 def p1_new(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +71,9 @@ _KEYED = rf"""SELECT *, CASE WHEN trim(event_id, ' ' || chr(9) || chr(10) || chr
 SQL = {
     "p1_found": f"""SELECT delivery_id FROM (SELECT delivery_id, k, min(delivery_id) OVER (PARTITION BY k) AS first
         FROM ({_KEYED})) WHERE k IS NOT NULL AND delivery_id > first""",
-    "p1_once": f"""SELECT delivery_id, event_id, file_path, "timestamp" FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY delivery_id) AS rn
+    "p1_once": f"""SELECT delivery_id, batch_id, event_id, source_id, file_path, language, normalized_content, "timestamp", epoch_us(received_at) AS received_us,
+        array_to_string(list_transform(entities, lambda e: concat_ws('|', e.entity_type, e.name, e.start_line, e.end_line, e.content)), chr(10)) AS entities,
+        array_to_string(list_sort(list_transform(map_entries(metadata), lambda e: concat_ws('=', e.key, e.value))), chr(10)) AS metadata FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY delivery_id) AS rn
         FROM ({_KEYED})) WHERE k IS NULL OR rn = 1""",
     "p1_new": f"""SELECT delivery_id FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY received_at >= TIMESTAMP '2024-07-01', delivery_id) AS rn
         FROM ({_KEYED})) WHERE received_at >= TIMESTAMP '2024-07-01' AND (k IS NULL OR rn = 1)""",

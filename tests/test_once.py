@@ -40,10 +40,10 @@ def rows_of(seed, n=400):
 
 
 def test_later_copies_against_brute_force(spark):
-    for hot_rows in (20, 10**6):
+    for few in (3, 10**6):
         rows = rows_of(1)
         df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-        got = once.later_copies(df, once.uuid_key(F.col("event_id")), [F.col("delivery_id")], hot_rows)
+        got = once.later_copies(df, once.uuid_key(F.col("event_id")), [F.col("delivery_id")], few, 20)
         assert got.columns == ["delivery_id", "event_id", "__key", "k"]
         assert {r.delivery_id for r in got.collect()} == brute(rows)
 
@@ -51,8 +51,8 @@ def test_later_copies_against_brute_force(spark):
 def test_once_keeps_one_of_each(spark):
     rows = rows_of(2)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    for hot_rows in (20, 10**6):
-        kept = {r.delivery_id for r in once.once(df, once.uuid_key(F.col("event_id")), [F.col("delivery_id")], hot_rows=hot_rows).collect()}
+    for few in (3, 10**6):
+        kept = {r.delivery_id for r in once.once(df, once.uuid_key(F.col("event_id")), [F.col("delivery_id")], few=few).collect()}
         assert kept == {r[0] for r in rows} - brute(rows)
 
 
@@ -74,3 +74,23 @@ def test_ties_and_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert once.once(none, key, [F.col("delivery_id")]).count() == 0
     assert once.once(none, key, [F.col("delivery_id")], stored=same).count() == 0
+
+
+def test_whole_rows_stay_in_place(spark, tmp_path):
+    rows = [(d, e, "payload" * 20, k) for d, e, _, k in rows_of(4)]
+    path = str(tmp_path / "messages")
+    spark.createDataFrame(rows, SCHEMA).withColumnRenamed("__key", "body").repartition(4).write.parquet(path)
+    kept = once.once(spark.read.parquet(path), once.uuid_key(F.col("event_id")), [F.col("delivery_id")])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and plan.count("FileScan") == 1 and "body" in plan
+    assert {r.delivery_id for r in kept.collect()} == {r[0] for r in rows} - brute(rows)
+
+
+def test_rows_equal_in_key_and_order_give_one(spark):
+    u, v = str(uuid.UUID(int=7)), str(uuid.UUID(int=8))
+    rows = [(1, u, "a", 1)] * 5 + [(2, u, "b", 1), (3, v, "c", 1), (4, None, "d", 1), (4, None, "d", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for few in (0, 10):
+        assert sorted(r.delivery_id for r in once.once(df, once.uuid_key(F.col("event_id")), [F.col("delivery_id")], few=few).collect()) == [1, 3, 4, 4]
+        stored = spark.createDataFrame([(9, u, "z", 1)], SCHEMA)
+        assert sorted(r.delivery_id for r in once.once(df, once.uuid_key(F.col("event_id")), [F.col("delivery_id")], stored=stored, few=few).collect()) == [3, 4, 4]
