@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,12 +12,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests) a local one."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a session that runs in one process (tests) gets a folder in its warehouse; on a cluster, whose machines
+    do not share such a folder, that is an error.
+    """
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    named = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chunkloom-checkpoint-")
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     context.setCheckpointDir(named)
     return named
 
