@@ -1,11 +1,12 @@
 """One form for texts that look the same.
 
-The text is exploded to positioned code points (an ASCII run that no other character follows stays one item, being its
-own form), a broadcast join maps each to its canonical decomposition with width forms, joined letters, blanks, invisible
-characters and look-alike letters resolved, and the text is put together again. Combining sequences are then exploded
-once more, their marks ordered by combining class, recomposed and set back. The mapping is bounded by Unicode.
+The text is exploded to positioned code points (a run of characters that nothing maps stays one item), a broadcast join
+maps each to its canonical decomposition with width forms, joined letters, blanks, invisible characters and look-alike
+letters resolved, and the text is put together again. Where marks or conjoining letters stand in it, combining sequences
+are exploded once more, their marks ordered by combining class, recomposed and set back. The mapping is bounded by Unicode.
 
-Letter case, missing accents, superscripts and forms of quotes and dashes stay as they are.
+Letter case, missing accents, superscripts, styled letters (bold, script and the like) and forms of quotes and dashes stay
+as they are: they look different.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.operators.skew import with_facts
+from chunkloom.operators.skew import HOT_ROWS, with_facts
 from chunkloom.storage import cut
 
 # Letters of other scripts and the Latin letters that look like them.
@@ -26,13 +27,21 @@ LOOK_ALIKES = {
     "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J", "µ": "μ", "Օ": "O", "օ": "o", "ս": "u", "հ": "h",
+    "ɑ": "a", "ɡ": "g",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z",
+    "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X", "ⲭ": "x",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
 # Ranges of characters without any look of their own.
 INVISIBLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
              (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xE0000, 0xE007F), (0xE0100, 0xE01EF))
 # Blanks that look like the space.
 BLANKS = ((0xA0, 0xA0), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F))
-ITEM = r"[\x00-\x7F]+(?![^\x00-\x7F])|[\s\S]"
+#: Ranges of characters that nothing maps and that are no marks: ASCII, ideographs and their stops, letters of Cyrillic.
+INERT = r"\x00-\x7F\x{3001}-\x{3029}\x{4E00}-\x{9FFF}\x{0431}-\x{0434}\x{0436}-\x{0438}\x{043A}-\x{043D}\x{0442}\x{0444}\x{0446}-\x{044F}"
+ITEM = rf"[{INERT}]+|[\s\S]"
 
 
 def _within(cp: int, ranges: tuple) -> bool:
@@ -47,7 +56,7 @@ def _letters(ch: str) -> str:
     plain = "".join(chr(int(x, 16)) for x in rest.split())
     if kind in ("<wide>", "<narrow>") and unicodedata.category(plain)[0] in "LNM":
         return plain
-    joined = 0xFB00 <= ord(ch) <= 0xFB4F or ord(ch) in (0x132, 0x133, 0x1C4, 0x1C5, 0x1C6, 0x1C7, 0x1C8, 0x1C9, 0x1CA, 0x1CB, 0x1CC, 0x1F1, 0x1F2, 0x1F3)
+    joined = 0xFB00 <= ord(ch) <= 0xFB4F or 0x2160 <= ord(ch) <= 0x217F and len(plain) == 1 or ord(ch) in (0x132, 0x133, 0x1C4, 0x1C5, 0x1C6, 0x1C7, 0x1C8, 0x1C9, 0x1CA, 0x1CB, 0x1CC, 0x1F1, 0x1F2, 0x1F3)
     if kind == "<compat>" and joined or kind in ("<initial>", "<medial>", "<final>", "<isolated>"):
         return plain
     return ch
@@ -148,16 +157,21 @@ def _compose(ordered: Column, starter: Column, composites: Column) -> Column:
 
 
 def unified(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, form) of every row whose text is not null; ``key`` must be unique.
+    """(key, form) of every row; ``key`` must be unique. A null text has a null form.
 
     An empty text has the empty form, as has one of invisible characters only. Other columns are ignored. Only texts
     with other than ASCII characters are shuffled, once, by their key; all later steps keep that partitioning.
     """
-    spark = texts.sparkSession
-    rows = texts.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter(F.col("t").isNotNull())
-    other = F.col("t").rlike(r"[^\x00-\x7F]")
-    items = rows.filter(other).repartition("k").select(
-        "k", F.posexplode(F.concat(F.regexp_extract_all("t", F.lit(ITEM), F.lit(0)), F.array(F.lit("")))).alias("pos", "item"))
+    rows = texts.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    other = F.coalesce(F.col("t").rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return rows.filter(~other).select("k", F.col("t").alias("form")).unionByName(_mapped(rows.filter(other))).withColumnRenamed("k", key)
+
+
+def _mapped(rows: DataFrame) -> DataFrame:
+    """(k, form) of (k, t) by exploding, mapping, ordering and composing."""
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, as AQE would join tasks by their bytes, which are few for the work
+    items = rows.repartition(tasks, "k").select("k", F.posexplode(F.concat(F.regexp_extract_all("t", F.lit(ITEM), F.lit(0)), F.array(F.lit("")))).alias("pos", "item"))
     plain = F.coalesce("plain", "item")
     mapped = items.join(F.broadcast(_mapping(spark)), "item", "left").groupBy("k").agg(
         F.array_sort(F.collect_list(F.struct("pos", plain.alias("p")))).alias("parts"))
@@ -165,7 +179,9 @@ def unified(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     # each row holds a sequence and the text before it, so that what is exploded stays in proportion to the text
     # (by groups of one pattern: a split would compile the pattern anew for every row)
     both = F.lit(rf"([\s\S]*?)({sequence_pattern()}|\z)")
-    parts = F.arrays_zip(F.regexp_extract_all("t", both, F.lit(1)).alias("before"), F.regexp_extract_all("t", both, F.lit(2)).alias("seq"))
+    whole = F.arrays_zip(F.array("t").alias("before"), F.array(F.lit("")).alias("seq"))
+    cut_up = F.arrays_zip(F.regexp_extract_all("t", both, F.lit(1)).alias("before"), F.regexp_extract_all("t", both, F.lit(2)).alias("seq"))
+    parts = F.when(F.col("t").rlike(r"[\p{M}\x{1100}-\x{11FF}]"), cut_up).otherwise(whole)
     sequences = decomposed.select("k", F.posexplode(parts).alias("i", "x")).select("k", "i", F.col("x.before").alias("before"), F.col("x.seq").alias("seq"))
     bare = F.col("seq").rlike("^" + _mark_class())
     marks = sequences.select("k", "i", "before", F.when(bare, "").otherwise(F.substring("seq", 1, 1)).alias("starter"),
@@ -176,24 +192,67 @@ def unified(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     composed = ordered.join(F.broadcast(_starters(spark)), "starter", "left").select(
         "k", "i", F.concat("before", F.when(F.col("starter").isNull(), "").otherwise(_compose(F.col("marks"), F.col("starter"), F.col("composites")))).alias("c"))
     rebuilt = composed.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("cs"))
-    form = F.array_join(F.col("cs.c"), "")
-    return rows.filter(~other).select("k", F.col("t").alias("form")).unionByName(rebuilt.select("k", form.alias("form"))).withColumnRenamed("k", key)
+    return rebuilt.select("k", F.array_join(F.col("cs.c"), "").alias("form"))
+
+
+#: Rows of one text, or texts of one form, that a task takes at most before they are spread over several.
+SPREAD = 10_000
+
+
+def _keyed(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, string, form) as hashes, of rows with a text. An ASCII text is its own form; only others go through the mapping."""
+    rows = texts.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter(F.length("t") > 0)
+    other = F.col("t").rlike(r"[^\x00-\x7F]")
+    plain = rows.filter(~other).select("k", F.md5("t").alias("string")).withColumn("form", F.col("string"))
+    forms = _mapped(rows.filter(other)).select("k", F.md5("form").alias("form"))
+    return plain.unionByName(rows.filter(other).select("k", F.md5("t").alias("string")).join(forms, "k"))
+
 
+def _members(keyed: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(string, form, copies, strings, rows) of the texts whose form another text has as well, and (k, ...) of their rows."""
+    strings = keyed.groupBy("string").agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("copies"))
+    shared = strings.groupBy("form").agg(F.count(F.lit(1)).alias("strings"), F.sum("copies").alias("rows")).filter("strings > 1")
+    alike = cut(with_facts(strings, shared, "form", "strings", hot_rows))
+    return alike, with_facts(keyed.select("k", "string"), alike, "string", "copies", hot_rows)
 
-def same_look(forms: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def look_classes(texts: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(key, look, links) of every row with a text: the class of its form, and how many rows look the same but differ as strings.
+
+    Linear in the rows whatever the sizes of classes: counts are aggregated by text, then by form.
+    """
+    keyed = cut(_keyed(texts, key, text))
+    _, members = _members(keyed, hot_rows)
+    linked = cut(members.select("k", "form", (F.col("rows") - F.col("copies")).alias("links")))
+    alone = keyed.join(linked.select("k"), "k", "left_anti").select("k", "form", F.lit(0).cast("bigint").alias("links"))
+    return linked.unionByName(alone).select(F.col("k").alias(key), F.col("form").alias("look"), "links")
+
+
+def same_look(texts: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS, spread: int = SPREAD) -> DataFrame:
     """All pairs (key_a < key_b) of rows whose texts differ as strings but have one form; null and empty texts are in none.
 
-    Only forms that more than one string has matter, which map-side minima and maxima of hashes tell; any number of exact
-    copies of one text is thus left aside. Strings of a form are paired as classes, each standing once, and only then
-    expanded to their rows, so the work stays in proportion to the pairs. These are the result and are never capped.
+    Only forms that more than one string has matter; any number of exact copies of one text is thus left aside. Strings of
+    a form are paired as classes, each standing once, and only then expanded to their rows, so the work stays in proportion
+    to the pairs. These are the result and are never capped. The strings of a popular form and the rows of a popular string
+    are spread over tasks in groups of at most ``spread``, which the other side meets in all of them.
     """
-    strings = texts.select(F.col(f"`{key}`").alias("k"), F.md5(F.col(f"`{text}`")).alias("string"), F.length(F.col(f"`{text}`")).alias("n")).filter("n > 0")
-    keyed = cut(forms.select(F.col(f"`{key}`").alias("k"), F.md5("form").alias("form")).join(strings.drop("n"), "k"))
-    shared = keyed.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.min("string").alias("a"), F.max("string").alias("b")).filter("a <> b").select("form", "n")
-    members = cut(with_facts(keyed, shared, "form", "n").select("k", "form", "string"))
-    classes = members.groupBy("string").agg(F.first("form").alias("form"))
-    a, b = (classes.select("form", F.col("string").alias(f"string_{x}")) for x in "ab")
-    pairs = a.join(b, "form").filter("string_a < string_b").select("string_a", "string_b")
-    left = pairs.join(members.select(F.col("string").alias("string_a"), F.col("k").alias("ka")), "string_a").select("ka", "string_b")
-    both = left.join(members.select(F.col("string").alias("string_b"), F.col("k").alias("kb")), "string_b")
+    keyed = cut(_keyed(texts, key, text))
+    alike, members = _members(keyed, hot_rows)
+    members = cut(members)
+
+    def groups(size: Column) -> Column:
+        return F.ceil(size / spread).cast("int")
+
+    def group(value: Column, size: Column) -> Column:
+        return F.pmod(F.xxhash64(value), groups(size)).cast("int")
+
+    def all_groups(size: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), groups(size) - 1))
+
+    a = alike.select("form", F.col("string").alias("string_a"), F.col("copies").alias("copies_a"), group(F.col("string"), F.col("strings")).alias("g"))
+    b = alike.select("form", F.col("string").alias("string_b"), F.col("copies").alias("copies_b"), all_groups(F.col("strings")).alias("g"))
+    pairs = a.join(b, ["form", "g"]).filter("string_a < string_b").drop("form", "g")
+    rows = members.select("k", "string", group(F.col("k"), F.col("copies")).alias("g"))
+    left = pairs.withColumn("g", all_groups(F.col("copies_a"))).join(rows.withColumnsRenamed({"string": "string_a", "k": "ka"}), ["string_a", "g"])
+    both = left.select("ka", "string_b", "copies_b").withColumn("g", all_groups(F.col("copies_b"))).join(rows.withColumnsRenamed({"string": "string_b", "k": "kb"}), ["string_b", "g"])
     return both.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"))

@@ -83,8 +83,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that look the same but differ as strings."""
-    documents = table(spark, folder, "documents")
-    return lookalike.same_look(lookalike.unified(documents), documents)
+    return lookalike.same_look(table(spark, folder, "documents"))
+
+
+def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with a text: its class, and how many documents look the same but differ as strings."""
+    return lookalike.look_classes(table(spark, folder, "documents"))
 
 
 def p10_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +98,7 @@ def p10_text(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_handwritten": p2_handwritten, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_estimated": p7_estimated,
-    "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_text": p10_text,
+    "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_classes": p10_classes, "p10_text": p10_text,
 }
 
 _SPANS = """SELECT delivery_id, u.i - 1 AS pos, e.start_line AS a, e.end_line AS b, string_split(regexp_replace(normalized_content, '\\n$', ''), chr(10)) AS lines
