@@ -6,8 +6,12 @@ remains, a Viterbi walk over each source's records in their order chooses the ch
 ``SWITCH``, going back in time up to ``BACKWARD``. A candidate that is dearer than another of its value by more than two
 full transitions can't lie on a cheapest path and is dropped; records left with one candidate split the path exactly.
 
-The walk streams over (source, block) runs in sorted partitions and holds only the open records between two decided
-ones. A hot source is spread over its blocks, each of which starts without history.
+A source's records lie in blocks, so that a hot source is spread over tasks, and the walk is exact over the whole source all
+the same: every block is first summed up as the cheapest cost from each candidate of its first record to each of its last
+one (products of these tables are associative); a walk over the blocks' tables then chooses the candidates at the ends of
+every block, and between these the records are walked block by block. What lies between two decided records of a block is
+walked at once; only the ends of blocks take these further steps, and only if an open record stands at one. Only the open
+records between two decided ones are held.
 """
 
 from __future__ import annotations
@@ -22,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.storage import cut
+
 OFF_RULE, SWITCH, BACKWARD = 1000.0, 1.0, 4.0
 CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z$"
 BARE_FROM, BARE_TO = 1_640_995_200_000_000, 1_798_761_600_000_000  # 2022 up to 2027, in microseconds
 UNITS = {"s": 1_000_000, "ms": 1_000, "us": 1, "ns": 0}
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
+FEW_BLOCKS = 500_000  # the ends of so many blocks are broadcast, some 30 MB; more are joined by shuffling
 EPOCH = datetime(1970, 1, 1)
 CANDIDATES = "array<struct<form:string,utc_us:bigint,cost:double>>"
 
@@ -226,64 +233,224 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], lists], ["source", "block", "place", "key", "candidates"])
 
 
-def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by source, block and place: key and the instant chosen."""
-    run, last, keys, out = None, None, [], []
-    open_: list[list[tuple[str, int, float]]] = []
-    waiting: list = []
-
-    def settle(after: list | None) -> None:
-        path = ([last] if last else []) + open_ + ([after] if after else [])
-        picks = viterbi(path)[1 if last else 0:]
-        for key, found, pick in zip(waiting, open_, picks):
-            keys.append(key)
-            out.append(found[pick][1])
-        open_.clear()
-        waiting.clear()
+Found = list[tuple[str, int, float]]
 
-    def batch_out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(out, pa.int64())], ["key", "utc_us"])
-        keys.clear()
-        out.clear()
-        return made
 
+def _array(records: list[Found | None]) -> pa.Array:
+    kind = pa.list_(pa.struct([("form", pa.string()), ("utc_us", pa.int64()), ("cost", pa.float64())]))
+    return pa.array([None if r is None else [{"form": f, "utc_us": us, "cost": c} for f, us, c in r] for r in records], kind)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, str, Found, tuple]]:
+    """((source, block), key, candidates, further columns) of rows sorted by source, block and place."""
     for batch in batches:
         sources, blocks, names = (batch.column(i).to_pylist() for i in (0, 1, 3))
+        more = [batch.column(i).to_pylist() for i in range(5, batch.num_columns)]
         lists = batch.column(4)
         ends, flat = lists.offsets.to_pylist(), lists.values
         forms, instants, costs = (flat.field(i).to_pylist() for i in range(3))
         for i, name in enumerate(names):
-            at = sources[i], blocks[i]
-            if at != run:
-                settle(None)
-                run, last = at, None
             found = [(forms[k], instants[k], costs[k]) for k in range(ends[i], ends[i + 1])]
-            if len(found) == 1:
-                if open_:
-                    settle(found)
-                keys.append(name)
-                out.append(found[0][1])
-                last = found
-            else:
-                open_.append(found)
-                waiting.append(name)
-        yield batch_out()
-    settle(None)
+            yield (sources[i], blocks[i]), name, found, tuple(column[i] for column in more)
+
+
+def extended(table: list[list[float]], last: Found, found: Found) -> list[list[float]]:
+    """The cost table from a first record to ``last``, carried on to the record after it."""
+    steps = [[step(x, y) + y[2] for y in found] for x in last]
+    return [[min(row[i] + steps[i][j] for i in range(len(last))) for j in range(len(found))] for row in table]
+
+
+def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, block, first, last, table) of every block."""
+    rows: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        flat = [[x for line in r[4] for x in line] for r in rows]
+        out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), _array([r[2] for r in rows]),
+                                          _array([r[3] for r in rows]), pa.array(flat, pa.list_(pa.float64()))], ["source", "block", "first", "last", "table"])
+        rows.clear()
+        return out
+
+    run, first, last, table = None, [], [], []
+    for at, _, found, _ in _runs(batches):
+        if at != run:
+            if run is not None:
+                rows.append((*run, first, last, table))
+                if len(rows) >= 1000:
+                    yield made()
+            run, first = at, found
+            table = [[x[2] if i == k else float("inf") for k in range(len(found))] for i, x in enumerate(found)]
+        elif len(found) == 1 == len(last):
+            cost = step(last[0], found[0]) + found[0][2]
+            for row in table:
+                row[0] += cost
+        else:
+            table = extended(table, last, found)
+        last = found
+    if run is not None:
+        rows.append((*run, first, last, table))
+    yield made()
+
+
+def ends_of_blocks(blocks: list[tuple[Found, Found, list[list[float]]]]) -> list[tuple[int, int]]:
+    """The places chosen in each block's first and last record, over the (first, last, table) of a source's blocks in order."""
+    costs, back = None, []
+    for n, (first, last, table) in enumerate(blocks):
+        if costs is None:
+            entry, links = [0.0] * len(first), [0] * len(first)
+        else:
+            before = blocks[n - 1][1]
+            links = [min(range(len(before)), key=lambda i: costs[i] + step(before[i], y)) for y in first]
+            entry = [costs[i] + step(before[i], y) for i, y in zip(links, first)]
+        through = [min(range(len(first)), key=lambda i: entry[i] + table[i][j]) for j in range(len(last))]
+        costs = [entry[i] + table[i][j] for j, i in enumerate(through)]
+        back.append((links, through))
+    out: list[tuple[int, int]] = []
+    end = min(range(len(costs)), key=costs.__getitem__) if costs else 0
+    for links, through in reversed(back):
+        out.append((through[end], end))
+        end = links[through[end]]
+    return out[::-1]
+
+
+def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, block, first_pick, last_pick) over blocks sorted by source and block."""
+    source, names, held = None, [], []
+
+    def made() -> pa.RecordBatch:
+        picks = ends_of_blocks(held)
+        out = pa.RecordBatch.from_arrays([pa.array([source] * len(names), pa.string()), pa.array(names, pa.int64()), pa.array([a for a, _ in picks], pa.int32()),
+                                          pa.array([b for _, b in picks], pa.int32())], ["source", "block", "first_pick", "last_pick"])
+        return out
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["source"] != source and names:
+                if len(names) > 1:  # a lone block has no neighbours to agree with
+                    yield made()
+                names.clear()
+                held.clear()
+            source = row["source"]
+            first, last = ([(x["form"], x["utc_us"], x["cost"]) for x in row[c]] for c in ("first", "last"))
+            table = [row["table"][i:i + len(last)] for i in range(0, len(row["table"]), len(last))]
+            names.append(row["block"])
+            held.append((first, last, table))
+    if len(names) > 1:
+        yield made()
+
+
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decides what lies between the first and the last decided record of every block, over rows sorted by source, block and place.
+
+    Gives (source, block, place, key, utc_us, candidates): records that are decided have utc_us; the ends of a block, that
+    is its open records before the first and after the last decided one and these two, have candidates.
+    """
+    made: list[tuple] = []
+    open_: list[tuple[int, str, Found]] = []
+    run, last, first = None, None, True  # last: (place, key, candidates) of the last decided record, without a place if it was given already
+
+    def batch_out() -> pa.RecordBatch:
+        columns = list(zip(*made)) or [()] * 6
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        out = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), _array(columns[5])], ["source", "block", "place", "key", "utc_us", "candidates"])
+        made.clear()
+        return out
+
+    def finish() -> None:
+        if last and last[0] is not None:
+            made.append((*run, last[0], last[1], last[2][0][1], last[2]))
+        made.extend((*run, place, key, None, found) for place, key, found in open_)
+
+    for at, name, found, (place,) in _runs(batches):
+        if at != run:
+            finish()
+            open_.clear()
+            run, last, first = at, None, True
+        if len(found) > 1:
+            open_.append((place, name, found))
+            continue
+        if first:  # the block's first decided record, with the open ones before it
+            made.extend((*run, p, k, None, f) for p, k, f in open_)
+            made.append((*run, place, name, found[0][1], found))
+        else:
+            for (p, k, f), pick in zip(open_, viterbi([last[2], *(f for _, _, f in open_), found])[1:] if open_ else ()):
+                made.append((*run, p, k, f[pick][1], None))
+            if last[0] is not None:
+                made.append((*run, last[0], last[1], last[2][0][1], None))
+        open_.clear()
+        last, first = (None if first else place, name, found), False
+        if len(made) >= 10_000:
+            yield batch_out()
+    finish()
+    yield batch_out()
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, utc_us) of the open records, over the ends of blocks sorted by source, block and place, with the picks at a block's ends where it has neighbours."""
+    keys, out = [], []
+    block: list[tuple[str, Found, bool]] = []
+    run, end_pick = None, None
+
+    def finish() -> None:
+        if not block:
+            return
+        key, found, is_open = block[-1]
+        if end_pick is not None and len(found) > 1:
+            block[-1] = key, [found[end_pick]], is_open
+        for (key, found, is_open), pick in zip(block, viterbi([f for _, f, _ in block])):
+            if is_open:
+                keys.append(key)
+                out.append(found[pick][1])
+        block.clear()
+
+    def batch_out() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(out, pa.int64())], ["key", "utc_us"])
+        keys.clear()
+        out.clear()
+        return made
+
+    for at, name, found, (is_open, first_pick, last_pick) in _runs(batches):
+        if at != run:
+            finish()
+            run, end_pick = at, last_pick
+            if first_pick is not None:
+                found = [found[first_pick]]
+        block.append((name, found, is_open))
+        if len(keys) >= 10_000:
+            yield batch_out()
+    finish()
     yield batch_out()
 
 
 def normalised(records: DataFrame) -> DataFrame:
     """(key, utc_us) of every record that denotes an instant.
 
-    ``records``: source string, block string, place (orderable), key string, text string, zone string, date_order
-    string; other columns are ignored. Null, empty and meaningless texts give no row; repeated keys give a row each;
-    an unknown zone counts as UTC, an unknown order leaves the choice to the walk; an empty table gives an empty one.
+    ``records``: source string, block bigint, place (orderable), key string, text string, zone string, date_order
+    string; other columns are ignored. Blocks of a source follow each other in their order, and so do the places in a block;
+    where the blocks are cut changes nothing in the choice. A null source is one
+    source. Null, empty and meaningless texts give no row; repeated keys give a row
+    each; an unknown zone counts as UTC, an unknown order leaves the choice to the walk; an empty table gives an empty one.
     """
-    narrow = records.select("source", "block", F.col("place").cast("bigint").alias("place"), "key", "text", "zone", "date_order")
+    narrow = records.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.col("block").cast("bigint"), F.lit(0)).alias("block"), F.col("place").cast("bigint").alias("place"), "key", "text", "zone", "date_order")
     found = narrow.filter(F.col("text").isNotNull()).mapInArrow(
-        _candidates, f"source string, block string, place bigint, key string, candidates {CANDIDATES}")
-    sorted_ = found.filter(F.size("candidates") > 0).repartition("source", "block").sortWithinPartitions("source", "block", "place", "key")
-    return sorted_.mapInArrow(_choose, "key string, utc_us bigint")
+        _candidates, f"source string, block bigint, place bigint, key string, candidates {CANDIDATES}")
+    rows = found.filter(F.size("candidates") > 0).repartition("source", "block").sortWithinPartitions("source", "block", "place", "key")
+    inside = cut(rows.select("source", "block", "place", "key", "candidates", F.col("place").alias("at")).mapInArrow(
+        _inside, f"source string, block bigint, place bigint, key string, utc_us bigint, candidates {CANDIDATES}"))
+    decided = inside.filter("utc_us IS NOT NULL").select("key", "utc_us")
+    if inside.filter("utc_us IS NULL").isEmpty():
+        return decided
+    ends = inside.filter("candidates IS NOT NULL").select("source", "block", "place", "key", "candidates", F.col("utc_us").isNull().alias("open"))
+    return decided.unionByName(_walked(ends))
+
+
+def _walked(ends: DataFrame) -> DataFrame:
+    """(key, utc_us) of the open records among the ends of blocks, by the walk over the whole source."""
+    rows = cut(ends.repartition("source", "block").sortWithinPartitions("source", "block", "place", "key"))
+    sums = rows.mapInArrow(_sum_up, f"source string, block bigint, first {CANDIDATES}, last {CANDIDATES}, table array<double>")
+    picks = cut(sums.repartition("source").sortWithinPartitions("source", "block").mapInArrow(_join_blocks, "source string, block bigint, first_pick int, last_pick int"))
+    tied = rows.join(F.broadcast(picks) if picks.count() <= FEW_BLOCKS else picks, ["source", "block"], "left")
+    return tied.sortWithinPartitions("source", "block", "place", "key").mapInArrow(_choose, "key string, utc_us bigint")
 
 
 def already_canonical(text: Column) -> Column:

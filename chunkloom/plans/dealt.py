@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chunkloom.operators import instants, once
 from chunkloom.storage import table
 
-#: Deliveries of a block; a source's rows are walked block by block.
+#: Deliveries of a block, by which a source's rows are spread over tasks.
 EVENT_BLOCK = 65_536
 SPLIT = "\x1f"
 
@@ -41,17 +41,17 @@ def written_instants(spark: SparkSession, folder: str) -> DataFrame:
     """All written timestamps of the three tables, ready for the walk."""
     accounts = table(spark, folder, "source_account").select("source_id", F.col("time_zone").alias("zone"), "date_order")
     events = table(spark, folder, "code_normalized_event").select(
-        "source_id", F.lit("event").alias("kind"), F.expr(f"cast(delivery_id div {EVENT_BLOCK} as string)").alias("block"),
+        "source_id", F.lit("event").alias("kind"), F.expr(f"delivery_id div {EVENT_BLOCK}").alias("block"),
         F.col("delivery_id").alias("place"), F.col("delivery_id").cast("string").alias("record"), F.lit(0).alias("pos"), F.col("timestamp").alias("text"))
     items = table(spark, folder, "source_item").select(
-        "source_id", F.lit("item").alias("kind"), F.date_format("synced_at", "yyyy-MM").alias("block"),
+        "source_id", F.lit("item").alias("kind"), F.expr("cast(unix_date(cast(synced_at AS date)) AS bigint)").alias("block"),
         F.unix_micros("synced_at").alias("place"), F.col("id").alias("record"), F.lit(0).alias("pos"), F.col("created_at").alias("text"))
     messages = table(spark, folder, "chat_thread").select(
-        "source_id", F.lit("message").alias("kind"), F.col("thread_id").alias("block"), F.col("thread_id").alias("record"),
+        "source_id", F.lit("message").alias("kind"), F.lit(0).cast("bigint").alias("block"), F.col("thread_id").alias("record"),
         F.posexplode("messages.ts").alias("pos", "text")).withColumn("place", F.col("pos").cast("bigint"))
     records = events.unionByName(items).unionByName(messages).join(accounts, "source_id", "left")
     key = F.concat_ws(SPLIT, "kind", F.col("pos").cast("string"), instants.already_canonical(F.col("text")).cast("string"), "record")
-    return records.withColumn("key", key).withColumn("source", F.concat_ws(":", "kind", "source_id"))
+    return records.withColumn("key", key).withColumn("source", F.concat_ws(":", "kind", F.when(F.col("kind") == "message", F.col("record")).otherwise(F.col("source_id"))))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +62,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
         parts[0].alias("record_kind"), parts[3].alias("record_key"), parts[1].cast("int").alias("pos"), "utc_us").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_once": p1_once, "p1_new": p1_new, "p3_found": p3_found}
+def p3_walked(spark: SparkSession, folder: str) -> DataFrame:
+    """Instants of the values written as numeric dates, chosen by the walk alone: the accounts' order of dates is withheld."""
+    rows = written_instants(spark, folder).filter(F.col("text").rlike(r"^\s*\d{1,2}([/.\-])\d{1,2}\1\d{2,4}\b") | F.col("text").rlike(r"^\s*\d{4}-"))
+    found = instants.normalised(rows.withColumn("date_order", F.lit(None).cast("string")))
+    parts = F.split("key", SPLIT, 4)
+    return found.select(parts[0].alias("record_kind"), parts[3].alias("record_key"), parts[1].cast("int").alias("pos"), "utc_us").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_once": p1_once, "p1_new": p1_new, "p3_found": p3_found, "p3_walked": p3_walked}
 
 _UUID = r"""'^\s*(?:urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})\}?\s*$'"""
 _KEYED = rf"""SELECT *, CASE WHEN trim(event_id, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN

@@ -70,9 +70,9 @@ def test_viterbi_is_optimal():
 
 def test_walk_resolves_unknown_order(spark):
     """Without a known order the sequence decides: 05/04 must be April the fifth between two days of April."""
-    rows = [("s", "b", i, f"k{i}", t, "Etc/UTC", None, 1) for i, t in enumerate(["13/04/2024 10:00:00", "05/05/2024 10:00:00", "06/05/2024 10:00:00", "20/05/2024 10:00:00"])]
-    rows += [("s", "b", 9, "none", None, None, None, 2), ("s", "b", 10, "bad", "never", "no/zone", "xyz", 2), (None, None, None, "lone", "1704441906", None, None, 3)]
-    df = spark.createDataFrame(rows, "source string, block string, place bigint, key string, text string, zone string, date_order string, candidates int").repartition(3)
+    rows = [("s", 0, i, f"k{i}", t, "Etc/UTC", None, 1) for i, t in enumerate(["13/04/2024 10:00:00", "05/05/2024 10:00:00", "06/05/2024 10:00:00", "20/05/2024 10:00:00"])]
+    rows += [("s", 0, 9, "none", None, None, None, 2), ("s", 0, 10, "bad", "never", "no/zone", "xyz", 2), (None, None, None, "lone", "1704441906", None, None, 3)]
+    df = spark.createDataFrame(rows, "source string, block bigint, place bigint, key string, text string, zone string, date_order string, candidates int").repartition(3)
     got = {r.key: r.utc_us for r in normalised(df).collect()}
     assert got == {"k0": us(2024, 4, 13, 10), "k1": us(2024, 5, 5, 10), "k2": us(2024, 5, 6, 10), "k3": us(2024, 5, 20, 10), "lone": us(2024, 1, 5, 8, 5, 6)}
     assert normalised(df.filter("false")).count() == 0
@@ -81,10 +81,35 @@ def test_walk_resolves_unknown_order(spark):
 def test_long_open_runs_cross_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        rows = [("s", "b", i, str(i), f"0{1 + i % 9}/0{1 + i % 7}/2024 00:00:00", "Etc/UTC", None) for i in range(100)]
-        df = spark.createDataFrame(rows, "source string, block string, place bigint, key string, text string, zone string, date_order string")
+        rows = [("s", 0, i, str(i), f"0{1 + i % 9}/0{1 + i % 7}/2024 00:00:00", "Etc/UTC", None) for i in range(100)]
+        df = spark.createDataFrame(rows, "source string, block bigint, place bigint, key string, text string, zone string, date_order string")
         got = {int(r.key): r.utc_us for r in normalised(df).collect()}
         found = [interpretations(r[4], "Etc/UTC", None) for r in rows]
         assert got == {i: f[p][1] for i, (f, p) in enumerate(zip(found, viterbi(found)))}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_blocks_change_nothing(spark):
+    """Open runs over several blocks, decided records at and beside their ends, a source without any, blocks of one record."""
+    rng = random.Random(6)
+    rows = []
+    for source in range(12):
+        for i in range(40):
+            day, month = rng.randint(1, 12), rng.randint(1, 12)
+            text = f"{day:02}/{month:02}/2024 00:00:00" if rng.random() < 0.8 or source == 0 else f"2024-{month:02}-{day:02}"
+            rows.append((f"s{source}", i, f"{source}:{i}", text))
+    for size in (1000, 7, 1):
+        df = spark.createDataFrame([(s, i // size, i, k, t, "Etc/UTC", None) for s, i, k, t in rows], "source string, block bigint, place bigint, key string, text string, zone string, date_order string")
+        got = {r.key: r.utc_us for r in normalised(df).collect()}
+        assert len(got) == len(rows)
+        for source in range(12):
+            own = [r for r in rows if r[0] == f"s{source}"]
+            found = [interpretations(t, "Etc/UTC", None) for *_, t in own]
+
+            def cost(picks):
+                return sum(x[2] for x in picks) + sum(step(a, b) for a, b in zip(picks, picks[1:]))
+
+            best = cost([f[p] for f, p in zip(found, viterbi(found))])
+            taken = [[x for x in f if x[1] == got[k]] for f, (_, _, k, _) in zip(found, own)]
+            assert all(taken) and abs(cost([f[p] for f, p in zip(taken, viterbi(taken))]) - best) < 1e-9
