@@ -3,10 +3,11 @@
 Features are hashed character n-grams of the body, n-grams of the comments at both ends, and components and n-grams of
 the path, each as relative frequencies, beside two numbers: the longest line and whether the same body stands in several
 sources. Labelling functions (giveaway headers, directories, shapes of tool output) label a bounded sample; in training
-every row stands twice, once with its giveaway comments masked, so that the body and the path must carry the decision
-where no header does. The threshold is set, and the accuracy measured, on repositories that training never saw.
+every row stands twice with equal weight, once with its giveaway comments masked, so that the body and the path must carry
+the decision where no header does. The threshold is set, and the accuracy measured, on repositories that training never saw.
 
-Scoring is one narrow pass. The body's hash is made in the JVM and aggregated map-side to (least, greatest) source.
+The texts are read twice: once for the bodies' hashes, made in the JVM and aggregated map-side to (least, greatest) source,
+with the texts of the sample, whose rows the hashes of the keys alone have chosen; and once for the scores, in a narrow pass.
 """
 
 from __future__ import annotations
@@ -24,40 +25,78 @@ from chunkloom.operators.skew import with_facts
 from chunkloom.storage import cut
 
 #: At most so many rows are labelled and collected for training; about a fifth of the repositories validate.
-SAMPLE_ROWS = 2_500
+SAMPLE_ROWS = 5_000
 #: Longer texts are scored, but not collected for training.
 SAMPLE_BYTES = 50_000
+#: Bodies of fewer characters (without comments and blanks) are equal by chance in many sources; they are told by their features only.
+LEAST_BODY = 120
 BODY, EDGE, PATH = 1 << 12, 1 << 11, 1 << 11
-SIZE = BODY + EDGE + PATH + 4
-EDGE_TOP, EDGE_END = 14, 4
-MIN_COPIED = 120
-MASKED_WEIGHT, BALANCE, EDGE_SCALE = 0.15, 1.0, 120.0
+SHAPE = 7
+SIZE = BODY + EDGE + PATH + SHAPE
+BALANCE, EDGE_SCALE, EDGE_GRAMS = 1.0, 120.0, (5, 9)
 
 _COMMENT = re.compile(r"\s*(?://|#(?!include|!|define|if|end|pragma)|/?\*|--(?!\w)|<!--|<meta\b|;|\"\"\"|<\?php)")
+_BLOCK_OPEN = re.compile(r"\s*(/\*|<!--|\"\"\"|''\')")
+_BLOCK_CLOSE = {"/*": "*/", "<!--": "-->", '"""': '"""', "''\'": "''\'"}
 BODY_NOISE = r"(?m)^\s*(?://|#(?!include|!)|\*|/\*|--|<!--).*$|\s+"
 # Directories of copied and of built code, and what tools write about themselves.
 _COPIED_DIR = re.compile(r"(?:^|/)(?:vendor|vendored|node_modules|Pods|Godeps|deps|third[_-]?party|external|externals|bower_components|site-packages|Carthage|jspm_packages)/[^/]+/")
 _COPIED_HEAD = re.compile(
     r"(?im)^\W*(?:vendored from|copied (?:verbatim )?from|@license \w|\w+ v?\d+\.\d+\.\d+ - https?://|\(c\) \d{4} the \w+ (?:contributors|authors|developers)|copyright (?:\(c\) )?\d{4} (?!the )\w+ (?:authors|contributors)|"
-    r"this file is part of \w+, version|distributed by the \w+ developers)")
+    r"this file is part of \w+, version|distributed by the \w+ (?:developers|authors|contributors))")
 _MADE_HEAD = re.compile(
     r"(?im)^\W*(?:code generated (?:by|from)|@generated|auto-?generated|<auto-generated|this (?:file|code) (?:was|is) (?:auto\w*|generated|machine)|generated (?:on \d|by \w+[\- ](?:codegen|idl|gen)|by the protocol|from schema)|"
     r"autogenerated|(?:do not|don't) (?:edit|modify)(?: this file)?\W*$|do not modify this file by hand; re|(?:note: )?this \w+ (?:is|was|were) auto\S* generated|automatisch erzeugt|fichier généré|generado autom|"
     r"this output was created by|自動生成|自动生成|создано автоматически|meta name=.generator|machine.generated|a bison parser|generated automatically by)")
-_MADE_NAME = re.compile(r"(?:\.pb\.go|_pb2(?:_grpc)?\.py|\.g\.cs|\.designer\.cs|\.generated\.\w+|\.tab\.[ch]|-lock\.json|/?\w*\.lock|\.min\.(?:js|css)|\.bundle\.(?:js|css)|\.[0-9a-f]{8}\.(?:js|css)|allclasses\.html)$", re.I)
+_MADE_NAME = re.compile(r"(?:\.pb\.go|_pb2(?:_grpc)?\.py|\.g\.cs|\.designer\.cs|\.generated\.\w+|[._]gen\.\w+|\.tab\.[ch]|-lock\.json|/?\w*\.lock|\.min\.(?:js|css)|\.bundle\.(?:js|css)|\.[0-9a-f]{8}\.(?:js|css)|allclasses\.html)$", re.I)
 _DATA_LINE = re.compile(r"\s*(?:INSERT INTO \w+ VALUES \(\d|\{?\"id\": \d+|\[?[\d.\-]+(?:,\s*[\d.\-]+){5,}|['\"][A-Za-z0-9+/=]{60,}['\"]|\(?0x[0-9a-f]{2}, ?0x)", re.I)
 _NUMBERED = re.compile(r"\b_*[A-Za-z][A-Za-z_]*?_?(\d{1,3})\b(?!['\"])")
 _SETTINGS = re.compile(r"\.(?:json|ya?ml|toml|ini|env|properties|xml|tf|cfg|conf)$|(?:^|/)(?:\.env[\w.]*|\.npmrc|\.netrc|Dockerfile|pip\.conf)$", re.I)
 
 
+#: A line of a source file that holds nothing but a literal, with or without a key, and brackets: data.
+_LITERAL_LINE = re.compile(r"""\s*+[\[\](){},;]*+\s*+(?:["']?[\w\-. ]++["']?\s*+(?::|=>)\s*+)?+[\[\](){}]*+(?:-?\d[\w.+\-]*+|"[^"\n]*+"|'[^'\n]*+'|true|false|null|None|True|False)?+\s*+[\[\](){},;]*+\s*+$""")
+_OPENING = re.compile(r"\s*(?:<\?php|#!.*|package [\w.]+;?|['\"]use strict['\"];?)?\s*$")
+
+
 def edges(text: str) -> tuple[str, str]:
-    """(comments at both ends, the rest): what a giveaway header would stand in, and the body."""
+    """(comments at both ends, the rest): what a giveaway header would stand in, and the body.
+
+    The ends reach as far as lines are blank, comments or what may open a file; of a line that a block comment begins
+    and something else follows, only the comment counts.
+    """
     lines = text.split("\n")
-    n = len(lines)
-    head, body = [], []
-    for i, line in enumerate(lines):
-        (head if (i < EDGE_TOP or i >= n - EDGE_END) and len(line) < 400 and _COMMENT.match(line) else body).append(line)
-    return "\n".join(head), "\n".join(body)
+    first, last, block = 0, len(lines), ""
+    head: list[str] = []
+    while first < last:
+        line = lines[first]
+        if block:
+            before, found, after = line.partition(block)
+            head.append(before + found)
+            if found:
+                block = ""
+                if after.strip():
+                    lines[first] = after
+                    break
+        elif m := _BLOCK_OPEN.match(line):
+            block = _BLOCK_CLOSE[m[1]]
+            before, found, after = line[m.end():].partition(block)
+            head.append(m[0] + before + found)
+            if found:
+                block = ""
+                if after.strip():
+                    lines[first] = after
+                    break
+        elif _COMMENT.match(line):
+            head.append(line)
+        elif not _OPENING.match(line):
+            break
+        first += 1
+    tail: list[str] = []
+    while last > first and (not lines[last - 1].strip() or _COMMENT.match(lines[last - 1])):
+        last -= 1
+        tail.append(lines[last])
+    return "\n".join(head + tail[::-1]), "\n".join(lines[first:last])
 
 
 def label(path: str | None, text: str, copied: bool) -> int:
@@ -78,8 +117,11 @@ def label(path: str | None, text: str, copied: bool) -> int:
     numbers = [int(x) for x in _NUMBERED.findall(body)]
     if len(numbers) >= 14 and set(range(1, 6)) <= set(numbers) and len(numbers) > 0.5 * len(lines):
         return 1
+    if _SETTINGS.search(path):
+        return 0
     data = sum(bool(_DATA_LINE.match(x)) for x in lines)
-    return int(data >= 12 and data > 0.8 * len(lines) and not _SETTINGS.search(path))
+    literal = sum(bool(_LITERAL_LINE.match(x)) for x in lines)
+    return int(max(data, literal) >= 12 and max(data, literal) > 0.8 * len(lines))
 
 
 def _hashes(data: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -118,10 +160,20 @@ def _fnv(token: str) -> int:
     return h ^ (h >> 13)
 
 
-def _shape(body: str, copied: bool) -> list[float]:
+_NO_RUN = np.ones(256, bool)
+_NO_RUN[[*range(48, 58), *range(65, 91), *range(97, 123), 43, 47, 61]] = False
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord(c) for c in "\"'[]{}:,"]] = True
+
+
+def _shape(body: str, data: np.ndarray, copied: bool) -> list[float]:
+    """The longest and the mean line, the shares of long unbroken runs, of marks of data and of digits, the copied flag, and 1."""
     lines = body.split("\n")
     longest = max(map(len, lines))
-    return [min(3.0, np.log10(1 + longest) - 2), min(3.0, np.log10(1 + len(body) / max(1, len(lines))) - 1.5), float(copied), 1.0]
+    n = max(1, len(data))
+    runs = np.diff(np.concatenate([[-1], np.flatnonzero(_NO_RUN[data]), [len(data)]])) - 1
+    return [min(3.0, np.log10(1 + longest) - 2), min(3.0, np.log10(1 + len(body) / max(1, len(lines))) - 1.5), 3.0 * float(runs[runs >= 60].sum()) / n,
+            3.0 * float(_MARKS[data].sum()) / n, 3.0 * float((data == 48).sum()) / n, float(copied), 1.0]
 
 
 def vector(path: str | None, head: str, body: str, copied: bool) -> np.ndarray:
@@ -131,12 +183,13 @@ def vector(path: str | None, head: str, body: str, copied: bool) -> np.ndarray:
         if len(data) >= n:
             x[:BODY] += np.bincount(_hashes(data, n, BODY), minlength=BODY) * (10.0 / len(data))
     edge = _bytes(head)
-    if len(edge) >= 5:
-        x[BODY:BODY + EDGE] = np.bincount(_hashes(edge, 5, EDGE), minlength=EDGE) * (EDGE_SCALE / len(edge))
+    for n in EDGE_GRAMS:
+        if len(edge) >= n:
+            x[BODY:BODY + EDGE] += np.bincount(_hashes(edge, n, EDGE), minlength=EDGE) * (EDGE_SCALE / len(edge))
     buckets = _path_buckets(path)
     if len(buckets):
         x[BODY + EDGE:BODY + EDGE + PATH] = np.bincount(buckets, minlength=PATH) * (10.0 / len(buckets))
-    x[-4:] = _shape(body, copied)
+    x[-SHAPE:] = _shape(body, data, copied)
     return x
 
 
@@ -155,74 +208,103 @@ class Model:
             if len(data) >= n:
                 total += float(w[:BODY][_hashes(data, n, BODY)].sum()) * 10.0 / len(data)
         edge = _bytes(head)
-        if len(edge) >= 5:
-            total += float(w[BODY:BODY + EDGE][_hashes(edge, 5, EDGE)].sum()) * EDGE_SCALE / len(edge)
+        for n in EDGE_GRAMS:
+            if len(edge) >= n:
+                total += float(w[BODY:BODY + EDGE][_hashes(edge, n, EDGE)].sum()) * EDGE_SCALE / len(edge)
         buckets = _path_buckets(path)
         if len(buckets):
             total += float(w[BODY + EDGE:BODY + EDGE + PATH][buckets].sum()) * 10.0 / len(buckets)
-        return total + float(np.dot(w[-4:], _shape(body, False)))
+        return total + float(np.dot(w[-SHAPE:], _shape(body, data, False)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, parts: np.ndarray, cost: float = 60.0, rounds: int = 250) -> np.ndarray:
-    """A linear classifier with squared hinge loss, by accelerated gradient descent; the rarer class weighs ``BALANCE`` of an equal share."""
+    """A linear classifier with squared hinge loss, by accelerated gradient descent; the rarer class weighs ``BALANCE`` of an equal share.
+
+    Every row counts twice, the second time without its comments' features; this twin shares the row's memory.
+    """
     sign = np.where(y > 0, 1.0, -1.0).astype(np.float32)
     rare = max(1.0, BALANCE * (y <= 0).sum() / max(1, (y > 0).sum()))
-    weight = np.where(y > 0, rare, 1.0).astype(np.float32) * parts * (cost / len(y))
+    weight = np.where(y > 0, rare, 1.0).astype(np.float32) * parts * np.float32(cost / (2 * len(y)))
+    edge = slice(BODY, BODY + EDGE)
+
+    def scores(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        full = x @ w
+        return full, full - x[:, edge] @ w[edge]
+
+    def back(full: np.ndarray, masked: np.ndarray) -> np.ndarray:
+        out = x.T @ (full + masked)
+        out[edge] -= x[:, edge].T @ masked
+        return out
+
     v = np.ones(x.shape[1], np.float32)
     for _ in range(8):
-        v = x.T @ (weight * (x @ v))
+        a, b = scores(v)
+        v = back(weight * a, weight * b)
         v /= max(1e-12, float(np.linalg.norm(v)))
-    rate = 1.0 / (1.0 + 2.2 * float(np.linalg.norm(x.T @ (weight * (x @ v)))))
+    a, b = scores(v)
+    rate = 1.0 / (1.0 + 2.2 * float(np.linalg.norm(back(weight * a, weight * b))))
     w = z = np.zeros(x.shape[1], np.float32)
     t = 1.0
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - sign * (x @ z))
-        new = z - rate * (z - 2 * (x.T @ (weight * sign * slack)))
+        a, b = scores(z)
+        new = z - rate * (z - 2 * back(weight * sign * np.maximum(0, 1 - sign * a), weight * sign * np.maximum(0, 1 - sign * b)))
         grown = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z, w, t = new + (t - 1) / grown * (new - w), new, grown
     return w
 
 
 def train(rows: list[tuple[str | None, str | None, str, bool]]) -> Model:
-    """From (repository, path, text, copied): labels, masks, splits by repository, fits, and sets the threshold."""
-    x = np.zeros((2 * len(rows), SIZE), np.float32)  # the largest thing in the driver: 2 * SAMPLE_ROWS * SIZE * 4 bytes
-    y, test, part = np.zeros(len(x), np.int8), np.zeros(len(x), bool), np.ones(len(x), np.float32)
+    """From (repository, path, text, copied): labels, masks, splits by repository, fits, and sets the threshold.
+
+    Where either side of the split lacks a class there is no validation: all rows train and the threshold is 0.
+    """
+    x = np.zeros((len(rows), SIZE), np.float32)  # the largest thing in the driver: SAMPLE_ROWS * SIZE * 4 bytes
+    y, test = np.zeros(len(x), np.int8), np.zeros(len(x), bool)
     for i, (repo, path, text, copied) in enumerate(rows):
         head, body = edges(text)
-        x[2 * i] = vector(path, head, body, copied)
-        x[2 * i + 1] = vector(path, "", body, copied)
-        y[2 * i:2 * i + 2] = label(path, text, copied)
-        test[2 * i:2 * i + 2] = _fnv(repo or "") % 5 == 0
-    part[1::2] = MASKED_WEIGHT
+        x[i] = vector(path, head, body, copied)
+        y[i] = label(path, text, copied)
+        test[i] = _fnv(repo or "") % 5 == 0
     if len(set(y)) < 2:
         return Model(np.zeros(SIZE, np.float32), -1.0 if len(y) and y[0] else 0.0, {})
     if len(set(y[~test])) < 2 or len(set(y[test])) < 2:
-        test = np.arange(len(y)) // 2 % 5 == 0
-    w = fit(x, y, np.where(test, 0, part).astype(np.float32))
-    plain = test & (np.arange(len(y)) % 2 == 0)
-    scores = x[plain] @ w
-    truth = y[plain] > 0
+        return Model(fit(x, y, np.ones(len(y), np.float32)), 0.0, {})
+    w = fit(x, y, np.where(test, 0, 1).astype(np.float32))
+    edge = slice(BODY, BODY + EDGE)
+    scores = x[test] @ w
+    truth = y[test] > 0
     options = np.linspace(-0.1, 0.1, 5)  # near the margin's middle only: few validation rows lie beside it
     correct = [(round(((scores > o) == truth).mean(), 3), -abs(o), o) for o in options]
     threshold = float(max(correct)[2])
-    masked = x[test & (np.arange(len(y)) % 2 == 1)] @ w > threshold
-    return Model(w, threshold, {"rows": int(plain.sum()), "accuracy": float(((scores > threshold) == truth).mean()), "masked_accuracy": float((masked == truth).mean())})
+    masked = scores - x[test][:, edge] @ w[edge] > threshold
+    return Model(w, threshold, {"rows": int(test.sum()), "accuracy": float(((scores > threshold) == truth).mean()), "masked_accuracy": float((masked == truth).mean())})
 
 
-def _copied(files: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(k, copied) of rows whose body is long enough and stands in more than one source."""
+def _bodies(files: DataFrame, key: str, text: str, source: str, path: str, repository: Column, limit: int) -> DataFrame:
+    """(k, s, body, repo, path, text) of every row: the body's hash where it is long enough; path and text of the sample only.
+
+    The sample are the rows of the least ``limit`` hashes of the keys, which is found from the keys alone.
+    """
+    draw = F.xxhash64(F.col(f"`{key}`"))
+    least = files.select(draw.alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
     bare = F.regexp_replace(F.col(f"`{text}`"), BODY_NOISE, "")
-    bodies = files.select(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").alias("s"), F.when(F.length(bare) >= MIN_COPIED, F.xxhash64(bare)).alias("body")).filter("body IS NOT NULL")
-    bodies = cut(bodies)
-    several = bodies.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).filter("a <> b").select("body", "n")
-    return with_facts(bodies, several, "body", "n").select("k").distinct().withColumn("copied", F.lit(True))
+    body = F.when(F.length(bare) >= LEAST_BODY, F.xxhash64(bare))
+    drawn = (draw <= F.lit(least)) & F.octet_length(F.col(f"`{text}`")).between(1, SAMPLE_BYTES)
+    return cut(files.select(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").alias("s"), body.alias("body"), F.when(drawn, repository).alias("repo"),
+                            F.when(drawn, F.col(f"`{path}`")).alias("path"), F.when(drawn, F.col(f"`{text}`")).alias("text")))
+
+
+def _copied(bodies: DataFrame) -> DataFrame:
+    """(k, copied) of rows whose body stands in more than one source."""
+    known = bodies.filter("body IS NOT NULL").select("k", "s", "body")
+    several = known.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).filter("a <> b").select("body", "n")
+    return cut(with_facts(known, several, "body", "n").select("k").distinct().withColumn("copied", F.lit(True)))
 
 
-def sample(files: DataFrame, flags: DataFrame, key: str, text: str, path: str, repository: Column, limit: int = SAMPLE_ROWS) -> list[tuple]:
-    """At most ``limit`` rows, the same for the same table: those of the least hashes of their keys."""
-    chosen = files.select(F.col(f"`{key}`").alias("k"), repository.alias("repo"), F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text")).filter(F.octet_length("text").between(1, SAMPLE_BYTES))
-    chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(limit)
-    rows = chosen.join(flags, "k", "left").select("k", "repo", "path", "text", F.coalesce("copied", F.lit(False)).alias("copied")).collect()
+def sample(bodies: DataFrame, flags: DataFrame, limit: int = SAMPLE_ROWS) -> list[tuple]:
+    """(repository, path, text, copied) of the rows drawn for training, the same for the same table."""
+    chosen = bodies.filter("text IS NOT NULL").select("k", "repo", "path", "text")
+    rows = chosen.join(flags, "k", "left").select("k", "repo", "path", "text", F.coalesce("copied", F.lit(False)).alias("copied")).limit(limit).collect()
     return [(r.repo, r.path, r.text, r.copied) for r in sorted(rows, key=lambda r: r.k)]
 
 
@@ -233,9 +315,10 @@ def not_handwritten(files: DataFrame, key: str = "delivery_id", text: str = "nor
     ``repository`` is the column by which validation is split (the source, if none is given). Null paths count as empty,
     repeated rows each give one, other columns are ignored, an empty table gives an empty one.
     """
-    flags = _copied(files, key, text, source)
+    bodies = _bodies(files, key, text, source, path, F.col(f"`{source}`") if repository is None else repository, SAMPLE_ROWS if model is None else 0)
+    flags = _copied(bodies)
     if model is None:
-        model = train(sample(files, flags, key, text, path, F.col(f"`{source}`") if repository is None else repository))
+        model = train(sample(bodies, flags))
     shipped = files.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
