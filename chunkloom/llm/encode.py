@@ -11,24 +11,33 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
+#: The setting of a session that names another folder of vocabulary files; the driver reads them and ships them to the tasks.
+TOKENIZERS_SETTING = "spark.chunkloom.tokenizers"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A match depends on at most so many characters after its end.
 LOOKAHEAD = 2
 CACHED_PIECES = 300_000
 
 
+def vocabulary_path(spark: SparkSession, name: str) -> str:
+    return f"{spark.conf.get(TOKENIZERS_SETTING, TOKENIZERS)}/{name}"
+
+
 class Encoder:
-    def __init__(self, path: str):
-        with open(path, "rb") as file:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
+    """``source`` is the path of a rank file, or its contents."""
+
+    def __init__(self, source: str | bytes):
+        lines = (Path(source).read_bytes() if isinstance(source, str) else source).splitlines()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.text = {i: b for b, i in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.split = regex.compile(PATTERN)
@@ -145,17 +154,21 @@ class Encoded:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(source: str | bytes) -> Encoder:
+    return Encoder(source)
 
 
-def encoded(texts: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+def encoded(texts: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(key, ids) of every row: null and empty texts have an empty list. Narrow: nothing is shuffled.
 
-    Other columns are ignored; repeated keys give a row each; an empty table gives an empty one.
+    ``vocabulary`` is the path of a rank file on the driver (byte_bpe_50k, if none is given); its contents, bounded by the
+    vocabulary's size, are broadcast. Other columns are ignored; repeated keys give a row each; an empty table gives an empty one.
     """
+    spark = texts.sparkSession
+    shipped = spark.sparkContext.broadcast(Path(vocabulary or vocabulary_path(spark, "byte_bpe_50k.tiktoken")).read_bytes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = encoder(shipped.value)
         for batch in batches:
             for part in (batch.slice(x, 256) for x in range(0, batch.num_rows, 256)):
                 lists = [own.encode(t) for t in part.column(1).to_pylist()]
