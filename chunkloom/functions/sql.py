@@ -1,4 +1,4 @@
-"""SQL functions: ``count_tokens(text)``, ``detect_language(path)`` and a table function ``chunk_NAME(text, size, overlap)`` per chunker.
+"""SQL functions: ``count_tokens(text)``, ``detect_language(path)`` and a table function ``chunk_NAME(text, size, overlap)`` per strategy.
 
     register(spark)
     spark.sql("SELECT i.id, c.* FROM items i, LATERAL chunk_sentence(i.content, 512, 50) c")
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.config import ChunkConfig
 from chunkloom.functions.tokens import counter
-from chunkloom.operators.route import CHUNKERS, EXTENSIONS
+from chunkloom.operators.route import STRATEGIES, EXTENSIONS
 
 
 def _table_function(name: str):
@@ -29,7 +29,7 @@ def _table_function(name: str):
 
 
 def register(spark: SparkSession) -> None:
-    for name in CHUNKERS:
+    for name in STRATEGIES:
         spark.udtf.register(f"chunk_{name}", _table_function(name))
     known = {e: lang for lang, all_ in EXTENSIONS.items() for e in all_.split()}
 

@@ -1,39 +1,41 @@
 """Chunking of a DataFrame of items: one narrow pass, dispatched by a route column.
 
-Columns the chunkers do not need never reach Python. Ids are hashes of item, number and chunker, so that a retried task
-gives the same rows. Errors are rows as well: an item whose chunker fails gives one row with ``error`` set.
+Columns the strategies do not need never reach Python. Ids are hashes of item, number and strategy, so that a retried task
+gives the same rows. Errors are rows as well: an item whose strategy fails gives one row with ``error`` set.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.config import BatchConfig, ChunkConfig
+from chunkloom.functions.text import py_lines
 from chunkloom.functions.tokens import count_tokens, counter, tile_tokens
 from chunkloom.operators import route
-from chunkloom.operators.segment import Item, chunked, large_pieces
+from chunkloom.operators.segment import Item, analysed, boundary, chunked, gaps, large_pieces, sections
+from chunkloom.storage import cut
 
-_OUT = ("item string, chunker string, content string, token_count int, start_index bigint, end_index bigint, chunk_index int, meta_type string, language string, "
+_OUT = ("item string, strategy string, content string, token_count int, start_index bigint, end_index bigint, chunk_index int, meta_type string, language string, "
         "path string, section string, symbol_name string, line_start int, line_end int, author string, thread_id string, ts string, error string")
 _FIELDS = [(n, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[t]) for n, t in (x.split() for x in _OUT.split(", "))]
 _ENTITIES = "array<struct<entity_type:string,name:string,start_line:int,end_line:int>>"
 
 
-def routed(items: DataFrame, chunker: str | None = None, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Items with the columns ``chunker``, ``language`` and ``path`` that chunking needs."""
+def routed(items: DataFrame, strategy: str | None = None, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """Items with the columns ``strategy``, ``language`` and ``path`` that chunking needs."""
     kind, content_type, metadata = F.col("source_kind"), F.col("content_type"), F.col("metadata")
-    name = F.lit(route.named(chunker)) if chunker else route.chunker(content_type, kind)
-    if chunker and route.named(chunker) is None:
-        raise ValueError(f"no chunker is named {chunker!r}")
-    return items.withColumns({"chunker": name, "language": F.coalesce(route.language(content_type, metadata), F.lit(config.language).cast("string")), "path": route.path(metadata)})
+    name = F.lit(route.named(strategy)) if strategy else route.strategy(content_type, kind)
+    if strategy and route.named(strategy) is None:
+        raise ValueError(f"no strategy is named {strategy!r}")
+    return items.withColumns({"strategy": name, "language": F.coalesce(route.language(content_type, metadata), F.lit(config.language).cast("string")), "path": route.path(metadata)})
 
 
-def pieces(items: DataFrame, config: ChunkConfig = ChunkConfig(), chunker: str | None = None, tokens: str = "regex",
-           most: int = BatchConfig().max_content_size, carry: tuple[str, ...] = ()) -> DataFrame:
+def pieces(items: DataFrame, config: ChunkConfig = ChunkConfig(), strategy: str | None = None, tokens: str = "regex",
+           most: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per chunk of each item (id, source_kind, content_type, content, metadata, optionally entities), with the item's ``carry`` columns.
 
     Null and empty contents give no row; repeated items each give their rows; other columns are ignored.
@@ -41,8 +43,8 @@ def pieces(items: DataFrame, config: ChunkConfig = ChunkConfig(), chunker: str |
     # zipped fields, not a transform over the structs: so only these fields are read
     fields = ("entity_type", "name", "start_line", "end_line")
     given = F.arrays_zip(*[F.col(f"entities.{k}").alias(k) for k in fields]) if "entities" in items.columns else F.array()
-    narrow = routed(items, chunker, config).filter(F.octet_length("content") > 0).select(
-        F.col("id").alias("item"), "chunker", "content", "content_type", "path", "language", given.cast(_ENTITIES).alias("entities"), *[F.col(f"`{c}`").alias(f"carried_{c}") for c in carry])
+    narrow = routed(items, strategy, config).filter(F.octet_length("content") > 0).select(
+        F.col("id").alias("item"), "strategy", "content", "content_type", "path", "language", given.cast(_ENTITIES).alias("entities"), *[F.col(f"`{c}`").alias(f"carried_{c}") for c in carry])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokens)
@@ -71,8 +73,13 @@ def pieces(items: DataFrame, config: ChunkConfig = ChunkConfig(), chunker: str |
     return narrow.mapInArrow(run, ", ".join([_OUT, *[f"`{c}` {kinds[f'carried_{c}']}" for c in carry]]))
 
 
-def chunk_id(item: Column, index: Column, chunker: Column) -> Column:
-    h = F.md5(F.concat_ws("\x1f", item, index.cast("string"), chunker))
+def rfc3339(text: Column) -> Column:
+    """The instant that a date and time with an offset denotes; other forms, which a cast would take, give null."""
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(?:\.\d+)?(?:[Zz]|[+-]\d\d:\d\d)$"), F.try_to_timestamp(text))
+
+
+def chunk_id(item: Column, index: Column, strategy: Column) -> Column:
+    h = F.md5(F.concat_ws("\x1f", item, index.cast("string"), strategy))
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
@@ -103,15 +110,15 @@ def with_lines(metadata: Column, start: Column, end: Column) -> Column:
     return metadata.withField("line_range", F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
 
 
-def chunks(items: DataFrame, config: ChunkConfig = ChunkConfig(), chunker: str | None = None, tokens: str = "regex", created_at: Column | None = None) -> DataFrame:
-    """Chunks with provenance in the documented schema; items whose chunker failed are left out (see ``batch``)."""
-    made = pieces(items, config, chunker, tokens, carry=("source_id", "source_kind")).filter(F.col("error").isNull())
+def chunks(items: DataFrame, config: ChunkConfig = ChunkConfig(), strategy: str | None = None, tokens: str = "regex", created_at: Column | None = None) -> DataFrame:
+    """Chunks with provenance in the documented schema; items whose strategy failed are left out (see ``batch``)."""
+    made = pieces(items, config, strategy, tokens, carry=("source_id", "source_kind")).filter(F.col("error").isNull())
     lines = F.when(F.col("line_start").isNotNull(), F.struct(F.col("line_start").alias("start"), F.col("line_end").alias("end")))
-    content_type = F.coalesce("meta_type", F.when(F.col("chunker") == "document", "document").when(F.col("chunker") == "chat", "chat"))
+    content_type = F.coalesce("meta_type", F.when(F.col("strategy") == "document", "document").when(F.col("strategy") == "chat", "chat"))
     meta = metadata_struct(content_type=content_type, language=F.col("language"), path=F.col("path"), section=F.col("section"), symbol_name=F.col("symbol_name"),
-                           line_range=lines, author=F.col("author"), thread_id=F.col("thread_id"), timestamp=F.try_to_timestamp("ts"))
+                           line_range=lines, author=F.col("author"), thread_id=F.col("thread_id"), timestamp=rfc3339(F.col("ts")))
     return made.select(
-        chunk_id(F.col("item"), F.col("chunk_index"), F.col("chunker")).alias("id"), F.col("item").alias("source_item_id"), "source_id", "source_kind", "content",
+        chunk_id(F.col("item"), F.col("chunk_index"), F.col("strategy")).alias("id"), F.col("item").alias("source_item_id"), "source_id", "source_kind", "content",
         "token_count", "start_index", "end_index", "chunk_index", meta.alias("metadata"), F.lit(None).cast("array<float>").alias("embedding"),
         (F.current_timestamp() if created_at is None else created_at).alias("created_at"))
 
@@ -122,7 +129,7 @@ def with_total(made: DataFrame, item: str = "item") -> DataFrame:
 
 
 def token_windows(items: DataFrame, size: int, overlap: int) -> DataFrame:
-    """The token chunker in the JVM: (item, chunk_index, content, token_count, start_index, end_index)."""
+    """The token strategy in the JVM: (item, chunk_index, content, token_count, start_index, end_index)."""
     if size <= 0:
         raise ValueError("size must be positive")
     step = size - overlap if overlap < size else size
@@ -137,7 +144,7 @@ def token_windows(items: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def sentence_folds(items: DataFrame, size: int, least: int = 12) -> DataFrame:
-    """The sentence chunker as SQL folds over arrays: readable, and an independent check of the packing pass.
+    """The sentence strategy as SQL folds over arrays: readable, and an independent check of the packing pass.
 
     (item, chunk_index, content, token_count). The fold copies its result for every sentence, so it suits short texts.
     """
@@ -167,34 +174,70 @@ def sentence_folds(items: DataFrame, size: int, least: int = 12) -> DataFrame:
     return folded.select("item", F.posexplode("made").alias("chunk_index", "m")).select("item", "chunk_index", F.col("m.t").alias("content"), F.col("m.w").alias("token_count"))
 
 
+def _per_item(items: DataFrame, columns: list[str], make: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that ``make`` gives of every item with content, in place: (item, ...) of ``schema``; ``columns`` are its arguments."""
+    fields = [x.rsplit(" ", 1) for x in schema.split(", ")]
+    types = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t] for _, t in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            origin, rows = [], []
+            for at, given in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                made = list(make(*given))
+                origin += [at] * len(made)
+                rows += made
+            made_columns = list(zip(*rows)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(origin, pa.int64())), *(pa.array(c, t) for c, t in zip(made_columns, types))], ["item", *(n for n, _ in fields)])
+
+    narrow = items.filter(F.octet_length("content") > 0).select(F.col("id").cast("string").alias("item"), *columns)
+    return narrow.mapInArrow(run, f"item string, {schema}")
+
+
 def heading_sections(items: DataFrame) -> DataFrame:
-    """(item, section_no, level, title, n_lines) by a running count of headings over each item's lines."""
-    from chunkloom.functions.text import lines
-
-    rows = items.filter(F.octet_length("content") > 0).repartition("id").select("id", F.posexplode(lines(F.col("content"))).alias("n", "line"))
-    by_line = Window.partitionBy("id").orderBy("n")
-    fenced = F.sum(F.col("line").startswith("```").cast("int")).over(by_line) % 2 == 1
-    heading = ~F.col("fenced") & F.col("line").rlike(r"(?dU)^#{1,6}\s+.+$")
-    marked = rows.withColumn("fenced", fenced).withColumn("heading", heading)
-    numbered = marked.withColumn("section", F.sum(F.col("heading").cast("int")).over(by_line))
-    title = F.max(F.when(F.col("heading"), F.regexp_extract("line", r"(?dU)^#{1,6}\s+(.+)$", 1)))
-    level = F.max(F.when(F.col("heading"), F.length(F.regexp_extract("line", "^(#{1,6})", 1))))
-    return numbered.groupBy("id", "section").agg(level.alias("level"), title.alias("title"), F.count(F.lit(1)).alias("n_lines"),
-                                                 F.max(F.col("line").rlike(r"(?U)\S")).alias("some")).filter("some").select(
-        F.col("id").alias("item"), F.col("section").alias("section_no"), F.coalesce("level", F.lit(0)).alias("level"), "title", "n_lines")
-
-
-def line_gaps(items: DataFrame, least: int = 10) -> DataFrame:
-    """(item, line_start, line_end, token_count) of uncovered runs of lines above ``least`` tokens, as gaps and islands."""
-    from chunkloom.functions.text import lines
-
-    base = items.filter((F.octet_length("content") > 0)).repartition("id").select("id", "entities", F.posexplode(lines(F.col("content"))).alias("n", "line"))
-    covered = F.exists(F.coalesce("entities", F.array()), lambda e: e["start_line"].isNotNull() & (F.col("n") + 1).between(F.greatest(e["start_line"], F.lit(1)), e["end_line"]))
-    free = base.withColumn("covered", F.coalesce(covered, F.lit(False)))
-    by_line = Window.partitionBy("id").orderBy("n")
-    runs = free.withColumn("run", F.sum(F.col("covered").cast("int")).over(by_line)).filter(~F.col("covered"))
-    out = runs.groupBy("id", "run").agg((F.min("n") + 1).alias("line_start"), (F.max("n") + 1).alias("line_end"), F.sum(count_tokens(F.col("line"))).cast("int").alias("token_count"))
-    return out.filter(F.col("token_count") > least).select(F.col("id").alias("item"), "line_start", "line_end", "token_count")
+    """(item, section_no, level, title, n_lines) of the parts that headings begin, in place."""
+    def make(text: str) -> Iterator[tuple]:
+        number = 0
+        for level, title, body in sections(text, blank=True):
+            number += title is not None
+            if body.strip():
+                yield number, level, title, body.count("\n")
+
+    return _per_item(items, ["content"], make, "section_no bigint, level int, title string, n_lines bigint")
+
+
+def line_gaps(items: DataFrame, least: int = 10, tokens: str = "regex") -> DataFrame:
+    """(item, line_start, line_end, token_count) of runs of lines that no entity covers, above ``least`` tokens, in place."""
+    def make(text: str, entities: list[dict] | None) -> Iterator[tuple]:
+        rows, count = py_lines(text), counter(tokens)
+        spans = [(max(0, e["start_line"] - 1), min(e["end_line"], len(rows))) for e in entities or [] if e and e["start_line"] is not None and e["end_line"] is not None]
+        for a, b in gaps(len(rows), spans):
+            n = sum(map(count.count, rows[a:b]))
+            if n > least:
+                yield a + 1, b, n
+
+    given = items.withColumn("entities", F.arrays_zip(*[F.col(f"entities.{k}").alias(k) for k in ("start_line", "end_line")]))
+    return _per_item(given, ["content", "entities"], make, "line_start int, line_end int, token_count int")
+
+
+def analyses(items: DataFrame, tokens: str = "regex") -> DataFrame:
+    """One row per item with what the agentic strategy sees in it, in place: counts, flags and the deepest nesting."""
+    fields = ("total_tokens", "total_lines", "has_code_blocks", "has_headings", "has_imports", "avg_line_length", "nesting_depth")
+
+    def make(text: str) -> Iterator[tuple]:
+        found = analysed(text, counter(tokens))
+        yield tuple(found[f] for f in fields)
+
+    return _per_item(items, ["content"], make, "total_tokens int, total_lines int, has_code_blocks boolean, has_headings boolean, has_imports boolean, avg_line_length int, nesting_depth int")
+
+
+def boundaries(items: DataFrame) -> DataFrame:
+    """(item, n, kind, strength) of every boundary line, lines from 0, in place."""
+    def make(text: str) -> Iterator[tuple]:
+        for n, row in enumerate(py_lines(text)):
+            if found := boundary(row):
+                yield n, *found
+
+    return _per_item(items, ["content"], make, "n int, kind string, strength double")
 
 
 def split_large(items: DataFrame, most: int) -> DataFrame:
@@ -226,6 +269,7 @@ def batch(items: DataFrame, config: BatchConfig = BatchConfig(), tokens: str = "
     made = pieces(items, config.chunk, tokens=tokens, most=config.max_content_size)
     if not config.continue_on_error:
         made = made.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "item", "error")).cast("string")))
+    made = cut(made)  # chunked once, for the rows and for the summary
     kinds = items.select(F.lit("item").alias("what")).unionByName(made.select(F.when(F.col("error").isNull(), "chunk").otherwise("failed").alias("what")))
     of = lambda what: F.count_if(F.col("what") == what)
     summary = kinds.agg(of("item").alias("total_items"), (of("item") - of("failed")).alias("processed"), of("failed").alias("failed"), of("chunk").alias("total_chunks"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 
@@ -15,6 +16,7 @@ from chunkloom.config import PROFILES, ChunkConfig, ServiceConfig, profiles
 from chunkloom.operators import route
 from chunkloom.operators.chunk import chunks
 from chunkloom.schemas import JOB
+from chunkloom.storage import cut
 
 VERSION = "0.1.0"
 NIL = "00000000-0000-0000-0000-000000000000"
@@ -96,7 +98,7 @@ def kept(jobs: DataFrame, now: Column, keep: str = "INTERVAL 1 HOUR") -> DataFra
 
 
 class Service:
-    """The functions of the chunking service: submit, status, profiles, chunkers."""
+    """The functions of the chunking service: submit, status, profiles, strategies."""
 
     def __init__(self, spark: SparkSession, config: ServiceConfig | None = None, sinks: list[Callable[[DataFrame], object]] | None = None):
         self.spark, self.config, self.sinks, self.store = spark, config or ServiceConfig.from_env(), sinks or [], JobStore()
@@ -118,19 +120,22 @@ class Service:
             return {"accepted": False, "job_id": NIL, "message": "No items provided", "total_items": 0}
         job = self.store.create(n)
         self.store.start(job)
-        made = chunks(items, self.chunk_config()).persist()
         try:
+            made = cut(chunks(items, self.chunk_config()))  # stored once; every sink reads it
             total = made.count()
-            for sink in self.sinks:
+
+            def hand(sink: Callable[[DataFrame], object]) -> None:
                 try:
                     sink(made)
                 except Exception as e:  # noqa: BLE001 - a sink must not fail the job
                     print(f"sink failed: {e}")
+
+            if self.sinks:
+                with ThreadPoolExecutor(len(self.sinks)) as pool:  # the sinks' jobs run beside each other
+                    list(pool.map(hand, self.sinks))
             self.store.complete(job, total)
         except Exception as e:  # noqa: BLE001
             self.store.fail(job, str(e))
-        finally:
-            made.unpersist()
         return {"accepted": True, "job_id": job, "message": f"Processing {n} items", "total_items": n}
 
     def status(self, job_id: str) -> dict | None:
@@ -150,5 +155,5 @@ class Service:
         self.active = name if known else self.active
         return known
 
-    def chunkers(self) -> DataFrame:
-        return route.chunkers(self.spark)
+    def strategies(self) -> DataFrame:
+        return route.strategies(self.spark)

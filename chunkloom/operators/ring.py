@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VNODES = 150
-_SIGN = -(1 << 63)
+HASH_BITS = 60
 _BUCKET_BITS = 12
 
 
-def _unsigned_order(text: Column) -> Column:
-    """xxhash64 with its sign bit turned, so that signed comparison orders it as unsigned."""
-    return F.xxhash64(text).bitwiseXOR(F.lit(_SIGN))
+def place(text: Column) -> Column:
+    """A text's place on the ring: the first 60 bits of its md5, which any engine can give. Null hashes as the empty text."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def ring(spark: SparkSession, partitions: int, vnodes: int = VNODES) -> DataFrame:
@@ -20,11 +20,11 @@ def ring(spark: SparkSession, partitions: int, vnodes: int = VNODES) -> DataFram
     n = spark.range(partitions * vnodes)
     points = n.select((F.col("id") / vnodes).cast("int").alias("partition"), (F.col("id") % vnodes).alias("v"))
     key = F.concat(F.lit("partition-"), F.col("partition").cast("string"), F.lit("-vnode-"), F.col("v").cast("string"))
-    return points.select(_unsigned_order(key).alias("h"), "partition").groupBy("h").agg(F.max("partition").alias("partition"))
+    return points.select(place(key).alias("h"), "partition").groupBy("h").agg(F.max("partition").alias("partition"))
 
 
 def assigned(keys: DataFrame, partitions: int, vnodes: int = VNODES, key: str = "key") -> DataFrame:
-    """Keys with ``partition``; with no partitions all go to 0. A null key hashes as null does in the JVM.
+    """Keys with ``partition``; with no partitions all go to 0. A null key is placed as an empty one.
 
     The ring's points are at most partitions * vnodes and known before. They are cut into 4,096 buckets of the hash
     space, each with its own points and the next one after it, so a key looks at a handful of points only.
@@ -33,18 +33,18 @@ def assigned(keys: DataFrame, partitions: int, vnodes: int = VNODES, key: str =
     if partitions <= 0:
         return keys.withColumn("partition", F.lit(0))
     points = sorted((r.h, r.partition) for r in ring(spark, partitions, vnodes).collect())
-    shift, low = 64 - _BUCKET_BITS, 1 << 63
+    shift = HASH_BITS - _BUCKET_BITS
     buckets: list[list[tuple[int, int]]] = [[] for _ in range(1 << _BUCKET_BITS)]
     for h, p in points:
-        buckets[(h + low) >> shift].append((h, p))
+        buckets[h >> shift].append((h, p))
     after = (1 << 63) - 1, points[0][1]  # beyond the last point the ring begins again
     for own in reversed(buckets):
         first = own[0] if own else None
         own.append(after)
         after = first or after
     table = spark.createDataFrame(list(enumerate(buckets)), "bucket int, points array<struct<h:bigint,p:int>>")
-    hashed = keys.withColumn("__h", _unsigned_order(F.col(f"`{key}`")))
-    bucket = F.shiftrightunsigned(F.col("__h").bitwiseXOR(F.lit(_SIGN)), shift).cast("int")
+    hashed = keys.withColumn("__h", place(F.col(f"`{key}`")))
+    bucket = F.shiftright(F.col("__h"), shift).cast("int")
     joined = hashed.withColumn("bucket", bucket).join(F.broadcast(table), "bucket")
     first = F.element_at(F.filter("points", lambda p: p["h"] >= F.col("__h")), 1)["p"]
     return joined.select(*[F.col(f"`{c}`") for c in keys.columns], first.alias("partition"))

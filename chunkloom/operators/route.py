@@ -1,4 +1,4 @@
-"""Routing: which chunker an item goes to, and what is read off an item, as column expressions."""
+"""Routing: which strategy an item goes to, and what is read off an item, as column expressions."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Chunkers with their descriptions, other names for them, and what each kind of source goes to.
-CHUNKERS = {
+# Strategies with their descriptions, other names for them, and what each kind of source goes to.
+STRATEGIES = {
     "token": "Splits text into overlapping windows of tokens", "sentence": "Packs whole sentences under the token limit",
     "recursive": "Splits by ever finer separators", "code": "Splits code by entities or lines",
     "document": "Splits documents by headings, paragraphs and sentences", "chat": "Packs messages of a conversation",
@@ -32,30 +32,30 @@ def _mapping(values: dict[str, str]) -> Column:
 
 
 def by_content_type(content_type: Column) -> Column:
-    """The chunker a content type asks for, else null."""
+    """The strategy a content type asks for, else null."""
     return (F.when(content_type.startswith("text/code:") | content_type.contains("x-source"), "code")
             .when(content_type.contains("markdown"), "document")
             .when(content_type.contains("json") & content_type.contains("chat"), "chat")
             .when(content_type.contains("csv") | content_type.contains("table"), "table"))
 
 
-def chunker(content_type: Column, source_kind: Column) -> Column:
-    """The content type decides before the source kind; an unknown kind goes to the sentence chunker."""
+def strategy(content_type: Column, source_kind: Column) -> Column:
+    """The content type decides before the source kind; an unknown kind goes to the sentence strategy."""
     return F.coalesce(by_content_type(content_type), _mapping(BY_KIND)[source_kind], F.lit("sentence"))
 
 
-def chunker_by_name(name: Column) -> Column:
-    return F.coalesce(_mapping(ALIASES)[F.lower(name)], F.when(F.lower(name).isin(*CHUNKERS), F.lower(name)))
+def strategy_by_name(name: Column) -> Column:
+    return F.coalesce(_mapping(ALIASES)[F.lower(name)], F.when(F.lower(name).isin(*STRATEGIES), F.lower(name)))
 
 
 def named(name: str) -> str | None:
-    """The chunker that a name or alias means, in any case."""
+    """The strategy that a name or alias means, in any case."""
     low = name.lower()
-    return ALIASES.get(low, low if low in CHUNKERS else None)
+    return ALIASES.get(low, low if low in STRATEGIES else None)
 
 
-def chunkers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CHUNKERS.items()), "name string, description string")
+def strategies(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(STRATEGIES.items()), "name string, description string")
 
 
 def metadata_string(metadata: Column, key: str) -> Column:
@@ -97,5 +97,5 @@ def detect_language(file_path: Column) -> Column:
 
 
 def supports_language(name: str, lang: Column) -> Column:
-    """Every chunker takes every language, but the code chunker only its own and null."""
+    """Every strategy takes every language, but the code strategy only its own and null."""
     return lang.isNull() | lang.isin(*CODE_LANGUAGES) if name == "code" else F.lit(True)

@@ -1,4 +1,4 @@
-"""The nine chunkers: each turns an item into segments and leaves packing to the kernel.
+"""The nine strategies: each turns an item into segments and leaves packing to the kernel.
 
 They are pure functions of (item, config, counter), so that they can be tested without Spark and run per Arrow batch.
 Offsets and lengths count UTF-8 bytes. Blank segments give no chunk, empty content gives none.
@@ -39,7 +39,7 @@ class Piece:
     meta: dict = field(default_factory=dict)
 
 
-Chunker = Callable[[Item, ChunkConfig, TokenCounter], list[Piece]]
+Strategy = Callable[[Item, ChunkConfig, TokenCounter], list[Piece]]
 
 
 def size(text: str) -> int:
@@ -64,9 +64,10 @@ def _one_after_another(texts: list[tuple[str, dict]], count: TokenCounter) -> li
 
 def token(item: Item, config: ChunkConfig, count: TokenCounter) -> list[Piece]:
     tokens = count.encode(item.content)
-    out = []
+    out, start, at = [], 0, 0
     for i, (a, b) in enumerate(windows(len(tokens), config.chunk_size, config.chunk_overlap)):
-        text, start = count.decode(tokens[a:b]), size(count.decode(tokens[:a])) if a else 0
+        text = count.decode(tokens[a:b])
+        start, at = start + size(count.decode(tokens[at:a])), a
         out.append(Piece(text, b - a, start, start + size(text), i))
     return out
 
@@ -100,6 +101,7 @@ def sentence(item: Item, config: ChunkConfig, count: TokenCounter, delimiters: s
 
 # --- recursive -----------------------------------------------------------------------------------------------------
 
+# Separators from the strongest to the weakest.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 MARKDOWN_SEPARATORS = ("\n\n\n", "\n\n", "\n# ", "\n## ", "\n### ", "\n", ". ", " ")
 
@@ -160,8 +162,8 @@ def recursive(item: Item, config: ChunkConfig, count: TokenCounter, separators:
 _HEADING = re.compile(r"(#{1,6})\s+(.+)")
 
 
-def sections(text: str) -> list[tuple[int, str | None, str]]:
-    """(level, title, text) of the parts that headings begin; lines in fences are no headings; blank parts vanish."""
+def sections(text: str, blank: bool = False) -> list[tuple[int, str | None, str]]:
+    """(level, title, text) of the parts that headings begin; lines in fences are no headings; blank parts vanish, unless they are wanted."""
     marks, fenced = [], False
     rows = py_lines(text)
     for row in rows:
@@ -171,7 +173,7 @@ def sections(text: str) -> list[tuple[int, str | None, str]]:
     out = []
     for a, b in pairwise(begins):
         body = "".join(r + "\n" for r in rows[a:b])
-        if body.strip():
+        if body.strip() or blank:
             m = marks[a]
             out.append((len(m[1]), m[2], body) if m else (0, None, body))
     return out
@@ -322,6 +324,7 @@ def chat(item: Item, config: ChunkConfig, count: TokenCounter) -> list[Piece]:
 
 # --- tickets -------------------------------------------------------------------------------------------------------
 
+# The labels of a ticket's fields and parts, and the fields of its JSON form.
 _FIELDS = {"Title": "title", "Summary": "title", "Status": "status", "Priority": "priority", "Assignee": "assignee", "Reporter": "reporter", "Author": "reporter"}
 _PARTS = {"Description": "description", "Comments": "comments", "Discussion": "comments"}
 _TEXTS = ("key", "title", "description", "status", "priority", "assignee", "reporter")
@@ -341,31 +344,34 @@ def ticket_json(content: str) -> dict | None:
     return {k: value.get(k) for k in _TEXTS} | {"comments": [{"author": c.get("author"), "body": c["body"]} for c in comments]}
 
 
-def ticket_text(content: str) -> dict:
-    """Field lines, then the parts they open; text of a part that opens again replaces it, text beside listed comments is dropped."""
-    out: dict = dict.fromkeys(_TEXTS) | {"comments": []}
-    part, body = "description", ""
-
-    def close() -> None:
-        if not body:
-            return
-        if part == "description":
-            out["description"] = body
-        elif not out["comments"]:
-            out["comments"].append({"author": None, "body": body})
-
+def _ticket_records(content: str) -> Iterator[tuple[str, str, str]]:
+    """Every line as (what, name, value): a field, the begin of a part, or text."""
     for row in map(str.strip, py_lines(content)):
         label, colon, value = row.partition(":")
         if colon and label in _FIELDS:
-            out[_FIELDS[label]] = value.strip()
+            yield "field", _FIELDS[label], value.strip()
         elif colon and label in _PARTS:
-            close()
-            part, body = _PARTS[label], value.strip() if label == "Description" else ""
-        elif part == "comments" and row.startswith("- "):
-            out["comments"].append({"author": None, "body": row[2:]})
+            yield "part", _PARTS[label], value.strip() if label == "Description" else ""
         else:
-            body = f"{body}\n{row}" if body else row
-    close()
+            yield "text", "", row
+
+
+def ticket_text(content: str) -> dict:
+    """Field lines, then the parts they open; text of a part that opens again replaces it, text beside listed comments is dropped."""
+    records = list(_ticket_records(content))
+    out: dict = dict.fromkeys(_TEXTS) | {"comments": []} | {name: value for what, name, value in records if what == "field"}
+    begins = [i for i, (what, _, _) in enumerate(records) if what == "part"]
+    parts = [("description", "", records[:begins[0]] if begins else records)]
+    parts += [(records[a][1], records[a][2], records[a + 1:b]) for a, b in pairwise([*begins, len(records)])]
+    for name, first, rows in parts:
+        texts = [value for what, _, value in rows if what == "text"]
+        listed = [t[2:] for t in texts if t.startswith("- ")] if name == "comments" else []
+        out["comments"] += [{"author": None, "body": t} for t in listed]
+        body = "\n".join([first, *(t for t in texts if not (listed and t.startswith("- ")))]).lstrip("\n")
+        if body and name == "description":
+            out["description"] = body
+        elif body and not out["comments"]:
+            out["comments"].append({"author": None, "body": body})
     if out["title"] is None and out["description"] is None and not out["comments"]:
         out["description"] = content
     return out
@@ -507,7 +513,7 @@ def _char_end(data: bytes, at: int) -> int:
     return at
 
 
-CHUNKERS: dict[str, Chunker] = {
+STRATEGIES: dict[str, Strategy] = {
     "token": token, "sentence": sentence, "recursive": recursive, "code": code, "document": document, "chat": chat,
     "ticketing": ticketing, "table": table, "agentic": agentic,
 }
@@ -529,16 +535,39 @@ def large_pieces(data: bytes, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def chunked(item: Item, name: str, config: ChunkConfig, count: TokenCounter, most: int = 10 * 1024 * 1024) -> list[Piece]:
-    """The pieces of an item by the named chunker; content above ``most`` bytes is cut first and numbered on."""
+def _part_entities(entities: list[dict], first: int, last: int) -> list[dict]:
+    """What of the entities lies in the lines ``first`` to ``last`` (from 1), with lines counted from the part's begin."""
+    out = []
+    for e in entities:
+        a, b = e.get("start_line"), e.get("end_line")
+        if a is not None and b is not None and max(a, first) <= min(b, last):
+            out.append(e | {"start_line": max(a, first) - first + 1, "end_line": min(b, last) - first + 1})
+    return out
+
+
+def _parses(item: Item, name: str) -> bool:
+    return name == "chat" and chat_json(item.content) is not None or name == "ticketing" and "json" in item.content_type and ticket_json(item.content) is not None
+
+
+def chunked(item: Item, name: str, config: ChunkConfig, count: TokenCounter, most: int | None = None) -> list[Piece]:
+    """The pieces of an item by the named strategy.
+
+    With ``most`` (the batch stage) content above so many bytes is cut first; its parts are numbered on, line ranges count from
+    the item's begin, and every part has the entities that lie in it. Threads and tickets in JSON are read whole, so that
+    they stay what they are.
+    """
     if not item.content:
         return []
     data = item.content.encode("utf-8", "surrogatepass")
-    if len(data) <= most:
-        return CHUNKERS[name](item, config, count)
+    if most is None or len(data) <= most or _parses(item, name):
+        return STRATEGIES[name](item, config, count)
     out: list[Piece] = []
+    before = 0
     for a, b in large_pieces(data, most):
-        part = Item(data[a:b].decode("utf-8", "replace"), item.content_type, item.path, item.language)
-        for p in CHUNKERS[name](part, config, count):
-            out.append(Piece(p.content, p.tokens, p.start + a, p.end + a, len(out), p.meta))
+        part = data[a:b].decode("utf-8", "replace")
+        own = _part_entities(item.entities, before + 1, before + max(1, len(py_lines(part))))
+        for p in STRATEGIES[name](Item(part, item.content_type, item.path, item.language, own), config, count):
+            lines = {"lines": (p.meta["lines"][0] + before, p.meta["lines"][1] + before)} if "lines" in p.meta else {}
+            out.append(Piece(p.content, p.tokens, p.start + a, p.end + a, len(out), p.meta | lines))
+        before += part.count("\n")
     return out

@@ -139,8 +139,8 @@ def file_imports(files: DataFrame) -> DataFrame:
 
 
 def locations(found: DataFrame) -> DataFrame:
-    """(name, n_paths, n_definitions): where a name is defined is kept as rows; this counts without gathering a name's paths."""
-    return found.groupBy("name").agg(F.count_distinct("path").alias("n_paths"), F.count(F.lit(1)).alias("n_definitions"))
+    """(name, path, n_definitions): the paths that define a name, as rows, so that a name of any number of paths is spread."""
+    return found.groupBy("name", "path").agg(F.count(F.lit(1)).alias("n_definitions"))
 
 
 def find(found: DataFrame, name: str) -> DataFrame:

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.config import BatchConfig, ChunkConfig, profiles
-from chunkloom.functions.text import lines, merge_short, split_sentences, trimmed
+from chunkloom.config import BatchConfig, ChunkConfig, ServiceConfig, profiles
+from chunkloom.functions.text import merge_short, split_sentences
 from chunkloom.functions.tokens import count_tokens, tile_tokens
-from chunkloom.operators import breaker, chunk, enrich, jobs, ring, route, symbols
+from chunkloom.operators import breaker, chunk, enrich, jobs, once, ring, route, symbols
 from chunkloom.sources import files, sinks
 from chunkloom.storage import checkpoint_dir, table
 from chunkloom.streaming import events
@@ -20,7 +20,8 @@ SIZE = 64
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "source_item").dropDuplicates(["id"])
+    """Each item once; whole rows repeat under their id."""
+    return once.once(table(spark, folder, "source_item"), F.col("id"), [F.col("synced_at")])
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,7 +35,7 @@ def _code(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Every item through the chunker that it is routed to."""
+    """Every item through the strategy that it is routed to."""
     return chunk.pieces(_items(spark, folder)).drop("error")
 
 
@@ -44,7 +45,7 @@ def chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def route_items(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "source_item").select("id", route.chunker(F.col("content_type"), F.col("source_kind")).alias("chunker")).distinct()
+    return table(spark, folder, "source_item").select("id", route.strategy(F.col("content_type"), F.col("source_kind")).alias("strategy")).distinct()
 
 
 def item_fields(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,11 +60,11 @@ def detect_language(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "code_normalized_event").select("delivery_id", route.detect_language(F.col("file_path")).alias("language"))
 
 
-def chunkers_by_name(spark: SparkSession, folder: str) -> DataFrame:
+def strategies_by_name(spark: SparkSession, folder: str) -> DataFrame:
     """Names that the regions of the tables, as names, and all aliases stand for."""
     names = table(spark, folder, "region").select(F.col("r_name").alias("name")).unionByName(
-        spark.createDataFrame([(n.upper(),) for n in [*route.CHUNKERS, *route.ALIASES]], "name string"))
-    return names.select("name", route.chunker_by_name(F.col("name")).alias("chunker"))
+        spark.createDataFrame([(n.upper(),) for n in [*route.STRATEGIES, *route.ALIASES]], "name string"))
+    return names.select("name", route.strategy_by_name(F.col("name")).alias("strategy"))
 
 
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,7 +103,7 @@ def heading_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 def chat_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Threads of the chat table, rendered as JSON items."""
-    threads = table(spark, folder, "chat_thread").dropDuplicates(["thread_id"])
+    threads = once.once(table(spark, folder, "chat_thread"), F.col("thread_id"), [F.col("thread_ts")])
     items = threads.select(
         F.col("thread_id").alias("id"), F.lit("chat").alias("source_kind"), F.lit("application/json").alias("content_type"), F.lit("{}").alias("metadata"),
         F.to_json(F.struct("channel", "thread_ts", "messages")).alias("content"))
@@ -132,11 +133,11 @@ def markdown_table_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def code_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return chunk.pieces(_code(spark, folder).drop("entities"), ChunkConfig(128, 30), "code").select("item", "chunk_index", "line_start", "line_end")
+    return chunk.pieces(_code(spark, folder).drop("entities"), ChunkConfig(128, 30), "code").select("item", "chunk_index", "content", "line_start", "line_end")
 
 
 def code_entity_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return chunk.pieces(_code(spark, folder), ChunkConfig(128, 30), "code").select("item", "chunk_index", "line_start", "line_end", "symbol_name", "meta_type", "token_count")
+    return chunk.pieces(_code(spark, folder), ChunkConfig(128, 30), "code").select("item", "chunk_index", "content", "line_start", "line_end", "symbol_name", "meta_type", "token_count")
 
 
 def code_gaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,32 +150,18 @@ def agentic_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def agentic_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     """Boundary lines of code by class."""
-    rows = _code(spark, folder).select("id", F.posexplode(lines(F.col("content"))).alias("n", "line"))
-    t = trimmed(F.col("line"))
-    kind = F.when(t == "", "EmptyLine")
-    for name, pattern in (("Heading", "^#"), ("FunctionDef", "^(pub )?(async )?fn "), ("ImplBlock", "^(pub )?impl "), ("TypeDef", "^(pub )?(struct|enum) "),
-                          ("ClassDef", "^(class|interface) "), ("FunctionDef", "^(async )?def "), ("ModuleDef", "^(pub )?mod "), ("DocComment", r"^(///|//!|/\*)")):
-        kind = kind.when(t.rlike(pattern), name)
-    return rows.select("id", "n", kind.alias("kind")).filter("kind IS NOT NULL").groupBy("id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("last"))
+    found = chunk.boundaries(_code(spark, folder)).withColumnRenamed("n", "line")
+    return found.groupBy(F.col("item").alias("id"), "kind").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last"))
 
 
 def content_analysis(spark: SparkSession, folder: str) -> DataFrame:
     """Features of code contents: tokens, lines and what they hold."""
-    rows = _code(spark, folder).filter("content <> ''").select("id", "content", lines(F.col("content")).alias("l"))
-    bytes_ = F.aggregate("l", F.lit(0), lambda a, x: a + F.octet_length(x))
-    return rows.select("id", count_tokens(F.col("content")).alias("total_tokens"), F.size("l").alias("total_lines"),
-                       (F.col("content").contains("```") | F.col("content").contains("    fn ")).alias("has_code_blocks"), F.exists("l", lambda x: x.startswith("#")).alias("has_headings"),
-                       F.exists("l", lambda x: x.rlike("^(import |from |use |#include)")).alias("has_imports"),
-                       F.when(F.size("l") > 0, F.floor(bytes_ / F.size("l"))).otherwise(0).cast("int").alias("avg_line_length"))
+    return chunk.analyses(_code(spark, folder)).withColumnRenamed("item", "id").drop("nesting_depth")
 
 
 def nesting_depth(spark: SparkSession, folder: str) -> DataFrame:
     """Deepest nesting of brackets, never below zero."""
-    opens = lambda c: c.isin("{", "(", "[")
-    depth = F.aggregate(F.regexp_extract_all("content", F.lit(r"[{(\[\])}]"), F.lit(0)), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")),
-                        lambda a, c: F.struct(F.when(opens(c), a["d"] + 1).otherwise(F.greatest(F.lit(0), a["d"] - 1)).alias("d"),
-                                              F.greatest(a["m"], F.when(opens(c), a["d"] + 1).otherwise(0)).alias("m")), lambda a: a["m"])
-    return _code(spark, folder).filter("content <> ''").select("id", depth.alias("depth"))
+    return chunk.analyses(_code(spark, folder)).select(F.col("item").alias("id"), F.col("nesting_depth").alias("depth"))
 
 
 def _code_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,11 +183,13 @@ def symbol_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_symbols(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.by_path(symbols.symbols(_code_files(spark, folder))).select("path", F.size("symbols").alias("n"), F.col("symbols")[0]["name"].alias("first"))
+    return symbols.by_path(symbols.symbols(_code_files(spark, folder))).select(
+        "path", F.size("symbols").alias("n"), F.array_join(F.transform("symbols", lambda x: F.concat_ws(" ", x["line"].cast("string"), x["name"], x["symbol_type"], x["parent"])), "\n").alias("symbols"))
 
 
 def file_imports(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.file_imports(_code_files(spark, folder))
+    found = symbols.file_imports(_code_files(spark, folder))
+    return found.select("path", "module_path", F.array_join("symbols", ",").alias("symbols"), "is_wildcard")
 
 
 def enrich_prefix(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,16 +226,56 @@ def profiles_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("name").agg(F.sum(made).cast("bigint").alias("n_windows"), F.sum("n").alias("n_tokens"))
 
 
+def _described(payload: DataFrame) -> DataFrame:
+    """Fields of the payload's metadata beside its others."""
+    of = lambda name: F.get_json_object("metadata", f"$.{name}").alias(f"meta_{name}")
+    return payload.select(*[c for c in payload.columns if c != "metadata"], of("content_type"), of("section"), of("symbol_name"), of("author"), of("thread_id")).distinct()
+
+
 def graph_payload(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.graph_rows(table(spark, folder, "chunk")).drop("metadata").distinct()
+    return _described(sinks.graph_rows(table(spark, folder, "chunk")))
 
 
 def embed_payload(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.embedding_rows(table(spark, folder, "chunk")).drop("metadata").distinct()
+    return _described(sinks.embedding_rows(table(spark, folder, "chunk")))
+
+
+def _answer(url: str, body: dict, timeout: float) -> dict:
+    """What a service answers to a batch: it embeds all, and finds an entity in every chunk of a language."""
+    n = len(body["chunks"])
+    return {"embedded_count": n, "chunks_processed": n, "entities_created": sum(c.get("language") is not None for c in body["chunks"]), "relationships_created": 0, "errors": []}
 
 
 def sink_batches(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.batch_numbers(table(spark, folder, "chunk").select("id").distinct())
+    """What both sinks post and what comes back, over distinct chunks, with a service within the process."""
+    chunks = once.once(table(spark, folder, "chunk"), F.col("id"), [F.col("created_at")])
+    embedded = sinks.EmbeddingSink("http://embed", post=_answer).batches(chunks).select(F.lit("embedding").alias("sink"), "sent", F.col("embedded_count").alias("taken"), F.lit(0).cast("bigint").alias("entities"))
+    linked = sinks.GraphSink("http://graph", post=_answer).batches(chunks).select(F.lit("graph").alias("sink"), "sent", F.col("chunks_processed").alias("taken"), F.col("entities_created").alias("entities"))
+    return embedded.unionByName(linked).groupBy("sink").agg(F.sum("sent").alias("sent"), F.sum("taken").alias("taken"), F.sum("entities").alias("entities"), (F.max("sent") <= sinks.BATCH).alias("within_size"))
+
+
+def request_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of JSON requests: each source's items as one request a month, decoded again."""
+    items = once.once(table(spark, folder, "source_item"), F.col("id"), [F.col("synced_at")])
+    fields = ("id", "source_id", "source_kind", "content_type", "content", "metadata")
+    requests = items.groupBy("source_id", F.trunc("synced_at", "month").alias("m")).agg(F.to_json(F.struct(F.collect_list(F.struct(*fields)).alias("items"))).alias("value"))
+    return files.items_from_json(requests).select(*fields)
+
+
+def file_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Delivered files as items of one upload."""
+    given = _code_files(spark, folder).filter("content IS NOT NULL")
+    return files.files_to_items(given, "upload").select("id", "source_id", "source_kind", "content_type", "content", F.get_json_object("metadata", "$.language").alias("language"))
+
+
+def job_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A job over all items with both sinks: its state, and what the sinks took beside the chunks it counted."""
+    taken: dict[str, int] = {}
+    run = jobs.Service(spark, ServiceConfig(), [lambda made: taken.update(embedded=sinks.EmbeddingSink("http://embed", post=_answer)(made)),
+                                                lambda made: taken.update(graph=sinks.GraphSink("http://graph", post=_answer)(made)["chunks_processed"])])
+    state = run.status(run.submit(_items(spark, folder))["job_id"])
+    all_taken = state["chunks_created"] == taken.get("embedded") == taken.get("graph")
+    return spark.createDataFrame([(state["status"], state["total_items"], state["processed_items"], all_taken)], "status string, total_items bigint, processed_items bigint, all_taken boolean")
 
 
 def _jobs(spark: SparkSession, folder: str) -> DataFrame:
@@ -291,22 +320,22 @@ def stream_event_chunks(spark: SparkSession, folder: str) -> DataFrame:
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")  # a pattern, for a table may be one file
     made = events.event_chunks(source.withColumn("event_id", F.col("delivery_id").cast("string")), ChunkConfig(128, 30))
     made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(made.schema).parquet(f"{root}/out").select("event_id", "chunk_id", "chunk_index", "token_count", "metadata.start_line", "metadata.end_line")
+    return spark.read.schema(made.schema).parquet(f"{root}/out").select("event_id", "chunk_id", "chunk_index", "content", "token_count", "metadata.start_line", "metadata.end_line")
 
 
 def batch_event_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The same rows by a batch."""
     given = table(spark, folder, "code_normalized_event").withColumn("event_id", F.col("delivery_id").cast("string"))
-    return events.event_chunks(given, ChunkConfig(128, 30)).select("event_id", "chunk_id", "chunk_index", "token_count", "metadata.start_line", "metadata.end_line")
+    return events.event_chunks(given, ChunkConfig(128, 30)).select("event_id", "chunk_id", "chunk_index", "content", "token_count", "metadata.start_line", "metadata.end_line")
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_items, chunk_rows, route_items, item_fields, detect_language, chunkers_by_name, token_counts, token_windows, sentence_chunks, sentences, merged_sentences, recursive_chunks,
+    chunk_items, chunk_rows, route_items, item_fields, detect_language, strategies_by_name, token_counts, token_windows, sentence_chunks, sentences, merged_sentences, recursive_chunks,
     document_chunks, heading_sections, chat_chunks, ticket_chunks, csv_chunks, markdown_table_chunks, code_line_chunks, code_entity_chunks, code_gaps, agentic_chunks, agentic_boundaries,
     content_analysis, nesting_depth, code_symbols, python_definitions, symbol_index, file_symbols, file_imports, enrich_prefix, large_item_split, batch_summary, chunk_totals, profiles_sweep,
-    graph_payload, embed_payload, sink_batches, job_counts, job_cleanup, ring_stats, ring_partitions, circuit_breaker, event_items, stream_event_chunks, batch_event_chunks)}
+    graph_payload, embed_payload, sink_batches, request_items, file_items, job_run, job_counts, job_cleanup, ring_stats, ring_partitions, circuit_breaker, event_items, stream_event_chunks, batch_event_chunks)}
 
-_CHUNKER = """CASE WHEN content_type LIKE 'text/code:%' OR content_type LIKE '%x-source%' THEN 'code' WHEN content_type LIKE '%markdown%' THEN 'document'
+_STRATEGY = """CASE WHEN content_type LIKE 'text/code:%' OR content_type LIKE '%x-source%' THEN 'code' WHEN content_type LIKE '%markdown%' THEN 'document'
     WHEN content_type LIKE '%json%' AND content_type LIKE '%chat%' THEN 'chat' WHEN content_type LIKE '%csv%' OR content_type LIKE '%table%' THEN 'table'
     WHEN source_kind = 'code_repo' THEN 'code' WHEN source_kind IN ('document', 'wiki') THEN 'document' WHEN source_kind IN ('chat', 'email') THEN 'chat'
     WHEN source_kind = 'ticketing' THEN 'ticketing' WHEN source_kind = 'web' THEN 'recursive' ELSE 'sentence' END"""
@@ -317,8 +346,16 @@ _WORDS, _TILES = r"\w+|[^\w\s]", r"\s*(?:\w+|[^\w\s])|\s+"
 _COUNT = rf"len(regexp_extract_all({{0}}, '{_WORDS}'))"
 _LINES = r"""(CASE WHEN {0} = '' THEN [] WHEN {0} LIKE '%' || chr(10) THEN string_split(replace({0}, chr(13) || chr(10), chr(10))[:-2], chr(10))
     ELSE string_split(replace({0}, chr(13) || chr(10), chr(10)), chr(10)) END)"""
-_EXT = " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in all_.split())}) THEN '{lang}'" for lang, all_ in route.EXTENSIONS.items())
-_NAMES = " ".join(f"WHEN lower(name) = '{a}' THEN '{c}'" for a, c in [*route.ALIASES.items(), *((c, c) for c in route.CHUNKERS)])
+# Written out, not taken from the module under test.
+_EXT = """WHEN ext = 'rs' THEN 'rust' WHEN ext = 'py' THEN 'python' WHEN ext IN ('js', 'jsx') THEN 'javascript' WHEN ext IN ('ts', 'tsx') THEN 'typescript' WHEN ext = 'go' THEN 'go'
+    WHEN ext = 'java' THEN 'java' WHEN ext IN ('c', 'h', 'hpp') THEN 'c' WHEN ext IN ('cpp', 'cc', 'cxx') THEN 'cpp' WHEN ext = 'rb' THEN 'ruby' WHEN ext = 'php' THEN 'php'
+    WHEN ext = 'swift' THEN 'swift' WHEN ext IN ('kt', 'kts') THEN 'kotlin' WHEN ext = 'scala' THEN 'scala' WHEN ext = 'cs' THEN 'csharp' WHEN ext IN ('md', 'markdown') THEN 'markdown'
+    WHEN ext = 'json' THEN 'json' WHEN ext IN ('yaml', 'yml') THEN 'yaml' WHEN ext = 'toml' THEN 'toml' WHEN ext = 'xml' THEN 'xml' WHEN ext IN ('html', 'htm') THEN 'html'
+    WHEN ext = 'css' THEN 'css' WHEN ext = 'sql' THEN 'sql' WHEN ext IN ('sh', 'bash') THEN 'bash' WHEN ext = 'ps1' THEN 'powershell'"""
+_PLAIN_NAMES = "'token', 'sentence', 'recursive', 'code', 'document', 'chat', 'ticketing', 'table', 'agentic'"
+_OTHER_NAMES = "'markdown', 'ticket', 'issue', 'csv', 'smart', 'intelligent'"
+_NAMES = f"""WHEN lower(name) IN ({_PLAIN_NAMES}) THEN lower(name) WHEN lower(name) = 'markdown' THEN 'document' WHEN lower(name) IN ('ticket', 'issue') THEN 'ticketing'
+    WHEN lower(name) = 'csv' THEN 'table' WHEN lower(name) IN ('smart', 'intelligent') THEN 'agentic'"""
 
 
 def _packed(segments: str, size: str, joiner: str = "''") -> str:
@@ -345,13 +382,13 @@ _CODE_LINES = f"SELECT delivery_id::VARCHAR AS id, entities, {_LINES.format('nor
 _TRIMMED = rf"regexp_replace(line, '^[{WS}]+|[{WS}]+$', '', 'g')"
 
 SQL = {
-    "route_items": f"SELECT DISTINCT id, {_CHUNKER} AS chunker FROM source_item",
+    "route_items": f"SELECT DISTINCT id, {_STRATEGY} AS strategy FROM source_item",
     "item_fields": f"""SELECT DISTINCT id, {_LANG} AS language, {_TEXT.format('path')} AS path, strlen(content)::INTEGER AS n_bytes, {_CODE} AS is_code, source_kind IN ('chat', 'email') AS is_conversational,
         CASE source_kind WHEN 'code_repo' THEN 'text/code' WHEN 'chat' THEN 'application/json' WHEN 'ticketing' THEN 'text/markdown' WHEN 'wiki' THEN 'text/markdown' WHEN 'web' THEN 'text/html' ELSE 'text/plain' END AS default_type,
         coalesce(CASE WHEN {_CODE} THEN {_LANG} END, 'none') AS config_language,
-        coalesce({_LANG} IN ({', '.join(repr(x) for x in route.CODE_LANGUAGES)}), true) AS supported FROM source_item""",
+        coalesce({_LANG} IN ('c', 'cpp', 'go', 'java', 'javascript', 'jsx', 'python', 'ruby', 'rust', 'tsx', 'typescript'), true) AS supported FROM source_item""",
     "detect_language": f"SELECT delivery_id, CASE {_EXT} END AS language FROM (SELECT delivery_id, lower(string_split(file_path, '.')[-1]) AS ext FROM code_normalized_event)",
-    "chunkers_by_name": f"""SELECT name, CASE {_NAMES} END AS chunker FROM (SELECT r_name AS name FROM region UNION ALL SELECT unnest([{', '.join(repr(n.upper()) for n in [*route.CHUNKERS, *route.ALIASES])}]))""",
+    "strategies_by_name": f"""SELECT name, CASE {_NAMES} END AS strategy FROM (SELECT r_name AS name FROM region UNION ALL SELECT upper(unnest([{_PLAIN_NAMES}, {_OTHER_NAMES}])))""",
     "token_counts": rf"SELECT doc_id, {_COUNT.format('text')}::INTEGER AS n_tokens, len(regexp_extract_all(text, '{_TILES}'))::INTEGER AS n_tiles FROM documents WHERE text IS NOT NULL",
     "token_windows": rf"""SELECT item, i::INTEGER AS chunk_index, array_to_string(t[i * 56 + 1 : i * 56 + 64], '') AS content, len(t[i * 56 + 1 : i * 56 + 64])::INTEGER AS token_count,
         strlen(array_to_string(t[1 : i * 56], ''))::BIGINT AS start_index, strlen(array_to_string(t[1 : i * 56], ''))::BIGINT + strlen(array_to_string(t[i * 56 + 1 : i * 56 + 64], '')) AS end_index
@@ -363,12 +400,12 @@ SQL = {
         (SELECT thread_id, unnest(list_transform(messages, lambda m: m.user || ': ' || m.text)) AS s, generate_subscripts(messages, 1) AS k
         FROM (SELECT thread_id, any_value(messages) AS messages FROM chat_thread GROUP BY 1))''', str(SIZE), 'chr(10)')}) c
         JOIN (SELECT thread_id, any_value(thread_ts) AS thread_ts FROM chat_thread GROUP BY 1) t ON t.thread_id = c.item""",
-    "code_line_chunks": f"""WITH RECURSIVE f AS MATERIALIZED (SELECT id, len(l) AS n, list_concat([0], list_transform(range(1, len(l) + 1), lambda k: list_sum(list_transform(l[1:k], lambda x: {_COUNT.format('x')}))::BIGINT)) AS p
+    "code_line_chunks": f"""WITH RECURSIVE f AS MATERIALIZED (SELECT id, l, len(l) AS n, list_concat([0], list_transform(range(1, len(l) + 1), lambda k: list_sum(list_transform(l[1:k], lambda x: {_COUNT.format('x')}))::BIGINT)) AS p
             FROM ({_CODE_LINES}) WHERE len(l) > 0),
         walk AS (SELECT id, 0 AS chunk_index, 0::BIGINT AS a, coalesce(list_min(list_filter(range(1, n + 1), lambda e: p[e + 1] - p[1] >= 128)), n) AS b FROM f
             UNION ALL SELECT id, chunk_index + 1, s, coalesce(list_min(list_filter(range(s + 1, n + 1), lambda e: p[e + 1] - p[s + 1] >= 128)), n) FROM (
                 SELECT walk.id, chunk_index, n, p, CASE WHEN b - least(3, b - a) <= a THEN b ELSE b - least(3, b - a) END AS s FROM walk JOIN f ON f.id = walk.id) WHERE s < n)
-        SELECT id AS item, chunk_index::INTEGER AS chunk_index, (a + 1)::INTEGER AS line_start, b::INTEGER AS line_end FROM walk""",
+        SELECT walk.id AS item, chunk_index::INTEGER AS chunk_index, array_to_string(l[a + 1:b], chr(10)) AS content, (a + 1)::INTEGER AS line_start, b::INTEGER AS line_end FROM walk JOIN f ON f.id = walk.id""",
     "code_gaps": f"""WITH rows AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS n, entities FROM ({_CODE_LINES})),
         free AS (SELECT id, line, n, coalesce(list_bool_or(list_transform(entities, lambda e: coalesce(e.start_line IS NOT NULL AND n BETWEEN greatest(e.start_line, 1) AND e.end_line, false))), false) AS covered FROM rows),
         runs AS (SELECT *, sum(covered::INTEGER) OVER (PARTITION BY id ORDER BY n) AS run FROM free)
@@ -411,8 +448,16 @@ SQL = {
     "profiles_sweep": rf"""SELECT name, sum(CASE WHEN n <= size THEN 1 ELSE ceil((n - size) / (size - lap)::DOUBLE) + 1 END)::BIGINT AS n_windows, sum(n)::BIGINT AS n_tokens
         FROM (SELECT len(regexp_extract_all(text, '{_TILES}')) AS n FROM documents WHERE text <> ''), (VALUES ('default', 512, 50), ('small', 256, 25), ('large', 1024, 100), ('code', 768, 64)) AS p(name, size, lap) GROUP BY name""",
     "graph_payload": """SELECT DISTINCT id, content, source_kind, 'unknown' AS source_type, source_id, metadata.path AS file_path, NULL::VARCHAR AS repo_name, metadata.language AS language,
-        NULL::VARCHAR AS heading_path, NULL::VARCHAR AS owner_id FROM chunk""",
-    "embed_payload": "SELECT DISTINCT id, source_item_id, source_id, content FROM chunk",
+        NULL::VARCHAR AS heading_path, NULL::VARCHAR AS owner_id, metadata.content_type AS meta_content_type, metadata.section AS meta_section, metadata.symbol_name AS meta_symbol_name,
+        metadata.author AS meta_author, metadata.thread_id AS meta_thread_id FROM chunk""",
+    "embed_payload": """SELECT DISTINCT id, source_item_id, source_id, content, metadata.content_type AS meta_content_type, metadata.section AS meta_section, metadata.symbol_name AS meta_symbol_name,
+        metadata.author AS meta_author, metadata.thread_id AS meta_thread_id FROM chunk""",
+    "sink_batches": """SELECT unnest(['embedding', 'graph']) AS sink, n AS sent, n AS taken, unnest([0, languages]) AS entities, true AS within_size
+        FROM (SELECT count(*) AS n, count(language) AS languages FROM (SELECT id, any_value(metadata.language) AS language FROM chunk GROUP BY id))""",
+    "request_items": "SELECT DISTINCT id, source_id, source_kind, content_type, content, metadata FROM source_item",
+    "file_items": f"""SELECT md5('upload' || chr(31) || delivery_id) AS id, 'upload' AS source_id, 'code_repo' AS source_kind, 'text/code:' || coalesce(language, 'text') AS content_type, content, language
+        FROM (SELECT delivery_id, normalized_content AS content, CASE {_EXT} END AS language FROM (SELECT *, lower(string_split(file_path, '.')[-1]) AS ext FROM code_normalized_event)) WHERE content IS NOT NULL""",
+    "job_run": "SELECT 'completed' AS status, count(DISTINCT id) AS total_items, count(DISTINCT id) AS processed_items, true AS all_taken FROM source_item",
     "job_counts": "SELECT CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' WHEN 'P' THEN 'running' ELSE 'failed' END AS status, count(*) AS n FROM orders GROUP BY 1",
     "job_cleanup": """SELECT o_orderkey AS job_id, status FROM (SELECT *, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' WHEN 'P' THEN 'running' ELSE 'failed' END AS status FROM orders)
         WHERE status NOT IN ('completed', 'failed') OR o_orderdate > TIMESTAMP '1998-01-01' - INTERVAL 30 DAYS""",
@@ -448,8 +493,9 @@ _SYMBOLS = rf"""WITH files AS MATERIALIZED ({_FILES}),
     SELECT path, name, symbol_type, line::INTEGER AS line, parent FROM found WHERE name <> ''"""
 SQL |= {
     "code_symbols": _SYMBOLS,
-    "symbol_index": f"SELECT name, count(DISTINCT path) AS n_paths, count(*) AS n_definitions FROM ({_SYMBOLS}) GROUP BY name",
-    "file_symbols": f"SELECT path, count(*)::INTEGER AS n, arg_min(name, (line, name)) AS first FROM ({_SYMBOLS}) GROUP BY path",
+    "symbol_index": f"SELECT name, path, count(*) AS n_definitions FROM ({_SYMBOLS}) GROUP BY name, path",
+    "file_symbols": f"""SELECT path, count(*)::INTEGER AS n, string_agg(concat_ws(' ', line, name, symbol_type, parent), chr(10) ORDER BY line, name, symbol_type, parent NULLS FIRST) AS symbols
+        FROM ({_SYMBOLS}) GROUP BY path""",
     "nesting_depth": r"""SELECT delivery_id::VARCHAR AS id, list_reduce(list_concat([{'d': 0, 'm': 0}], list_transform(regexp_extract_all(normalized_content, '[{(\[\])}]'), lambda c: {'d': CASE WHEN c IN ('{', '(', '[') THEN 1 ELSE -1 END, 'm': 0})),
         lambda a, b: {'d': greatest(0, a.d + b.d), 'm': greatest(a.m, a.d + b.d)}).m::INTEGER AS depth FROM code_normalized_event WHERE normalized_content <> ''""",
     "ring_stats": """SELECT 6 AS num_partitions, 150 AS virtual_nodes, sum(n)::BIGINT AS total_ring_entries, var_pop(n) AS variance, stddev_pop(n) AS std_dev
@@ -485,19 +531,63 @@ SQL["code_entity_chunks"] = f"""WITH RECURSIVE f AS MATERIALIZED (SELECT id, l,
     sized AS (SELECT *, list_sum(list_transform(own, lambda x: {_COUNT.format('x')})) AS total FROM ent),
     cut AS (SELECT id, ord, s, name, type, CASE WHEN own[-1] = '' THEN own[:-2] ELSE own END AS own FROM sized WHERE total > 128
         UNION ALL SELECT id, 0, 1, NULL, NULL, l FROM f WHERE coalesce(len(entities), 0) = 0),
-    todo AS MATERIALIZED (SELECT id, ord, s, name, type, len(own) AS n, {_PREFIX.format('own')} AS p FROM cut),
+    todo AS MATERIALIZED (SELECT id, ord, s, name, type, own, len(own) AS n, {_PREFIX.format('own')} AS p FROM cut),
     walk AS (SELECT id, ord, 0 AS sub, 0::BIGINT AS x, {_REACH.format('0')} AS y FROM todo
         UNION ALL SELECT id, ord, sub + 1, z, {_REACH.format('z')} FROM (SELECT walk.id, walk.ord, sub, n, p, CASE WHEN y - least(3, y - x) <= x THEN y ELSE y - least(3, y - x) END AS z
             FROM walk JOIN todo ON todo.id = walk.id AND todo.ord = walk.ord) WHERE z < n),
     rows AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS n, entities FROM f WHERE len(entities) > 0),
     free AS (SELECT id, line, n, coalesce(list_bool_or(list_transform(entities, lambda e: coalesce(e.start_line IS NOT NULL AND n BETWEEN greatest(e.start_line, 1) AND e.end_line, false))), false) AS covered FROM rows),
     runs AS (SELECT *, sum(covered::INTEGER) OVER (PARTITION BY id ORDER BY n) AS run FROM free),
-    made AS (SELECT id, 0 AS late, ord, 0 AS sub, s AS line_start, t AS line_end, name AS symbol_name, type AS meta_type, total AS token_count FROM sized WHERE total <= 128
-        UNION ALL SELECT w.id, 0, w.ord, sub, s + x, s + y - 1, name, type, p[y + 1] - p[x + 1] FROM walk w JOIN todo ON todo.id = w.id AND todo.ord = w.ord
-        UNION ALL SELECT id, 1, min(n), 0, min(n), max(n), NULL, NULL, sum({_COUNT.format('line')}) FROM runs WHERE NOT covered GROUP BY id, run HAVING sum({_COUNT.format('line')}) > 10)
-    SELECT id AS item, (row_number() OVER (PARTITION BY id ORDER BY late, ord, sub) - 1)::INTEGER AS chunk_index, line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, symbol_name, meta_type, token_count::INTEGER AS token_count FROM made"""
+    made AS (SELECT id, 0 AS late, ord, 0 AS sub, array_to_string(own, chr(10)) AS content, s AS line_start, t AS line_end, name AS symbol_name, type AS meta_type, total AS token_count FROM sized WHERE total <= 128
+        UNION ALL SELECT w.id, 0, w.ord, sub, array_to_string(own[x + 1:y], chr(10)), s + x, s + y - 1, name, type, p[y + 1] - p[x + 1] FROM walk w JOIN todo ON todo.id = w.id AND todo.ord = w.ord
+        UNION ALL SELECT id, 1, min(n), 0, string_agg(line, chr(10) ORDER BY n), min(n), max(n), NULL, NULL, sum({_COUNT.format('line')}) FROM runs WHERE NOT covered GROUP BY id, run HAVING sum({_COUNT.format('line')}) > 10)
+    SELECT id AS item, (row_number() OVER (PARTITION BY id ORDER BY late, ord, sub) - 1)::INTEGER AS chunk_index, content, line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, symbol_name, meta_type, token_count::INTEGER AS token_count FROM made"""
 for _name, _head, _row in (("csv_chunks", "'key,name' || chr(10)", "s_suppkey || ',' || s_name"), ("markdown_table_chunks", "'| key | name |' || chr(10) || '| --- | --- |' || chr(10)", "'| ' || s_suppkey || ' | ' || s_name || ' |'")):
     _made = _packed(f"SELECT n_name AS item, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) AS i, {_row} AS s, {_COUNT.format(_row)} AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey",
                     f"(64 - {_COUNT.format(_head)})", "chr(10)")
     SQL[_name] = f"""SELECT item, chunk_index, {_head} || content || chr(10) AS content, start_index::BIGINT AS start_index, (start_index + strlen({_head}) + strlen(content) + 1)::BIGINT AS end_index FROM (
         SELECT *, coalesce(sum(strlen(content) + 1) OVER (PARTITION BY item ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_index FROM ({_made}))"""
+
+_PLACE = "('0x' || left(md5({0}), 15))::BIGINT"
+SQL["ring_partitions"] = f"""WITH points AS (SELECT {_PLACE.format("'partition-' || p || '-vnode-' || v")} AS h, max(p) AS p FROM range(6) a(p), range(150) b(v) GROUP BY 1),
+    keys AS (SELECT DISTINCT id, {_PLACE.format('id')} AS h FROM chunk)
+    SELECT coalesce(p, (SELECT arg_min(p, h) FROM points))::INTEGER AS partition, count(*) AS n FROM keys ASOF LEFT JOIN points ON keys.h <= points.h GROUP BY 1"""
+SQL["batch_event_chunks"] = SQL["stream_event_chunks"] = f"""SELECT item AS event_id, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS chunk_id, chunk_index, content, token_count, line_start AS start_line, line_end AS end_line
+    FROM (SELECT *, md5(item || chr(31) || chunk_index || chr(31) || 'code') AS h FROM ({SQL['code_entity_chunks']}))"""
+_SPLIT_NAMES = "list_filter(list_transform(string_split({0}, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND x <> '*')"
+SQL["file_imports"] = rf"""WITH lines AS (SELECT path, lang, n, regexp_replace(line, '^[{WS}]+|[{WS}]+$', '', 'g') AS t FROM (SELECT d.id AS path, CASE {_EXT} END AS lang, unnest(d.l) AS line, generate_subscripts(d.l, 1) AS n
+        FROM ({_CODE_LINES}) d JOIN (SELECT *, lower(string_split(file_path, '.')[-1]) AS ext FROM code_normalized_event) e ON e.delivery_id::VARCHAR = d.id)),
+    rust AS (SELECT path, regexp_extract(t, '^(?:pub )?use ([\w:]+?)(?:::(\{{[^}}]*\}}|\*))?;', 1) AS module_path, regexp_extract(t, '^(?:pub )?use ([\w:]+?)(?:::(\{{[^}}]*\}}|\*))?;', 2) AS what
+        FROM lines WHERE lang = 'rust' AND regexp_matches(t, '^(?:pub )?use ([\w:]+?)(?:::(\{{[^}}]*\}}|\*))?;')),
+    python AS (SELECT path, coalesce(nullif(regexp_extract(t, '^from ([\w.]+) import (.+)', 1), ''), regexp_extract(t, '^import ([\w.]+)', 1)) AS module_path, regexp_extract(t, '^from ([\w.]+) import (.+)', 2) AS what
+        FROM lines WHERE lang = 'python' AND regexp_matches(t, '^(?:from ([\w.]+) import (.+)|import ([\w.]+))')),
+    js AS (SELECT path, regexp_extract(t, '{{0}}', 2) AS module_path, regexp_extract(t, '{{0}}', 1) AS what FROM lines WHERE lang IN ('javascript', 'typescript') AND regexp_matches(t, '{{0}}'))
+    SELECT path, module_path, array_to_string({_SPLIT_NAMES.format("trim(what, '{}')")}, ',') AS symbols, what = '*' AS is_wildcard FROM rust
+    UNION ALL SELECT path, module_path, array_to_string({_SPLIT_NAMES.format("trim(what, '()')")}, ',') AS symbols, list_contains(list_transform(string_split(trim(what, '()'), ','), lambda x: trim(x)), '*') AS is_wildcard FROM python
+    UNION ALL SELECT path, module_path, array_to_string({_SPLIT_NAMES.format("trim(what, '{} ')")}, ',') AS symbols, what = '*' AS is_wildcard FROM js""".replace(
+    "{0}", r"^import (?:(\*|[\w{},\s]+?)(?: as \w+)? from )?[''\"]([^''\"]+)[''\"]")
+
+# Agentic: the strongest boundary line since the last cut, once the limit is reached; bytes as hexadecimal pairs.
+_STRENGTH = f"""CASE WHEN t = '' THEN 0.2 WHEN t LIKE '#%' THEN 1::FLOAT - length(regexp_extract(t, '^#+'))::FLOAT * 0.1::FLOAT WHEN regexp_matches(t, '^(pub )?(async )?fn ') THEN 0.8
+    WHEN regexp_matches(t, '^(pub )?impl ') THEN 0.85 WHEN regexp_matches(t, '^(pub )?(struct|enum) ') THEN 0.9 WHEN regexp_matches(t, '^(class|interface) ') THEN 0.9
+    WHEN regexp_matches(t, '^(async )?def ') THEN 0.8 WHEN regexp_matches(t, '^(pub )?mod ') THEN 0.95 WHEN regexp_matches(t, '^(///|//!|/\\*)') THEN 0.3 ELSE -1 END::FLOAT"""
+_BACK = " ".join(f"WHEN k >= {n} AND substring(h, 2 * (k - {n}) + 1, 1) NOT IN ('8', '9', 'A', 'B') THEN k - {n}" for n in range(4))
+SQL["agentic_chunks"] = f"""WITH RECURSIVE f AS MATERIALIZED (SELECT d.id, l, {_COUNT.format('e.normalized_content')} AS total, hex(encode(e.normalized_content)) AS h
+        FROM ({_CODE_LINES}) d JOIN code_normalized_event e ON e.delivery_id::VARCHAR = d.id),
+    g AS MATERIALIZED (SELECT id, h, length(h) // 2 AS size, len(l) AS n, list_transform(l, lambda x: {_COUNT.format('x')}) AS c,
+        list_transform(range(1, len(l) + 1), lambda k: list_sum(list_transform(l[1:k], lambda x: strlen(x) + 1))::BIGINT) AS ends,
+        list_transform(list_transform(l, lambda x: regexp_replace(x, '^[{WS}]+|[{WS}]+$', '', 'g')), lambda t: {_STRENGTH}) AS s FROM f WHERE total > 128),
+    walk AS (SELECT id, 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS since, 0::BIGINT AS held, false AS made FROM g
+        UNION ALL SELECT id, i, start, CASE WHEN full_ THEN CASE WHEN k >= size THEN size {_BACK} END ELSE start END, CASE WHEN full_ THEN best ELSE since END, CASE WHEN full_ THEN 0 ELSE held END, full_ FROM (
+            SELECT id, i, start, since, held, full_, h, size, best, least(ends[best], size) AS k FROM (
+                SELECT g.id, w.i + 1 AS i, greatest(w.a, w.b) AS start, w.since, w.held + c[w.i + 1] AS held, w.held + c[w.i + 1] >= 128 AS full_, h, size, ends,
+                    list_max(list_transform(range(w.since + 1, w.i + 2), lambda k: {{'s': s[k], 'k': k}})).k AS best
+                FROM walk w JOIN g ON g.id = w.id AND w.i < g.n))),
+    spans AS (SELECT id, a, b FROM walk WHERE made AND b > a UNION ALL SELECT g.id, z, size FROM g JOIN (SELECT id, max(greatest(a, b)) AS z FROM walk GROUP BY id) e ON e.id = g.id WHERE z < size),
+    texts AS (SELECT id, a, b, decode(unhex(substring(h, 2 * a + 1, 2 * (b - a)))) AS t FROM spans JOIN f USING (id)
+        UNION ALL SELECT id, 0, length(h) // 2, decode(unhex(h)) FROM f WHERE total <= 128),
+    kept AS (SELECT texts.*, row_number() OVER (PARTITION BY id ORDER BY a) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM texts JOIN f USING (id) WHERE total <= 128 OR regexp_matches(t, '[^{WS}]')),
+    heads AS (SELECT id, list_filter({_LINES.format('t')}, lambda x: regexp_matches(regexp_replace(x, '^[{WS}]+', ''), '^(use |import |from |#include)')) AS imports FROM kept WHERE i = 0 AND n > 1),
+    done AS (SELECT kept.id, i, a, b, CASE WHEN i > 0 AND len(imports) > 0 AND (contains(t, 'fn ') OR contains(t, 'def ') OR contains(t, 'class ')) THEN '// Context:' || chr(10) || array_to_string(imports, chr(10)) || chr(10) || chr(10) || t ELSE t END AS content
+        FROM kept LEFT JOIN heads ON heads.id = kept.id)
+    SELECT id AS item, i::INTEGER AS chunk_index, content, {_COUNT.format('content')}::INTEGER AS token_count, a::BIGINT AS start_index, b::BIGINT AS end_index FROM done"""

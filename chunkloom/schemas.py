@@ -6,7 +6,7 @@ CHUNK_META = (
 SOURCE_ITEM = "id string, source_id string, source_kind string, content_type string, content string, metadata string, created_at timestamp"
 PIECE = (
     "item_id string, content string, token_count int, start_index bigint, end_index bigint, chunk_index int, "
-    "meta_type string, language string, path string, section string, symbol_name string, line_start int, line_end int, author string, thread_id string, ts string, chunker string")
+    "meta_type string, language string, path string, section string, symbol_name string, line_start int, line_end int, author string, thread_id string, ts string, strategy string")
 CHUNK = ("id string, source_item_id string, source_id string, source_kind string, content string, token_count int, start_index bigint, "
          f"end_index bigint, chunk_index int, metadata struct<{CHUNK_META.replace(' string', ':string').replace(' struct', ':struct').replace(' timestamp,', ':timestamp,')}>, created_at timestamp")
 CHAT_THREAD = "channel string, thread_ts string, messages array<struct<user:string,text:string,ts:string>>"

@@ -33,7 +33,7 @@ def code_files(rows: DataFrame, source_id: str, repo: str, branch: str, provider
 def issues(rows: DataFrame, source_id: str, provider: str = "github") -> DataFrame:
     """Issues (key, title, state, priority, body, author, url, created_at, comments array<struct<author,body>>) as structured text.
 
-    The type is plain text, for Markdown would route them to the document chunker.
+    The type is plain text, for Markdown would route them to the document strategy.
     """
     text = F.concat(F.lit("Title: "), F.col("title"), F.lit("\nStatus: "), F.col("state"), F.coalesce(F.concat(F.lit("\nPriority: "), F.col("priority")), F.lit("")),
                     F.lit("\n\nDescription:\n"), F.coalesce("body", F.lit("")), F.lit("\n\nComments:\n"), F.coalesce(_listed("comments"), F.lit("")))

@@ -78,9 +78,13 @@ class EmbeddingSink:
     def __init__(self, base_url: str, size: int = BATCH, timeout: float = 30, post: Post = http_post):
         self.base_url, self.size, self.timeout, self.post = base_url.rstrip("/"), size, timeout, post
 
+    def batches(self, chunks: DataFrame) -> DataFrame:
+        """One row a posted batch: sent, embedded_count, errors."""
+        return batched(embedding_rows(chunks), f"{self.base_url}/embed/chunks", {}, ("embedded_count",), self.size, self.timeout, self.post)
+
     def __call__(self, chunks: DataFrame) -> int:
         """The number of chunks that the service embedded."""
-        sent = cut(batched(embedding_rows(chunks), f"{self.base_url}/embed/chunks", {}, ("embedded_count",), self.size, self.timeout, self.post))
+        sent = cut(self.batches(chunks))
         return sent.agg(F.coalesce(F.sum("embedded_count"), F.lit(0))).first()[0]
 
     def healthy(self) -> bool:
@@ -101,23 +105,18 @@ class GraphSink:
     def enabled(self) -> bool:
         return bool(self.base_url)
 
+    def batches(self, chunks: DataFrame) -> DataFrame:
+        """One row a posted batch: sent, the counters, and all its errors."""
+        envelope = {"extract_entities": True, "create_cross_links": True}
+        return batched(graph_rows(chunks), f"{self.base_url}/api/graph/chunks", envelope, self.COUNTERS, self.size, self.timeout, self.post)
+
     def __call__(self, chunks: DataFrame, shown: int = 100) -> dict:
-        """Summed counters, and the first ``shown`` errors; all zero where the sink is disabled."""
+        """Summed counters, the number of errors and the first ``shown`` of them (all are rows of ``batches``); zero where the sink is disabled."""
         if not self.enabled:
-            return dict.fromkeys(self.COUNTERS, 0) | {"errors": []}
-        envelope = {"extract_entities": True, "create_cross_links": True}
-        sent = cut(batched(graph_rows(chunks), f"{self.base_url}/api/graph/chunks", envelope, self.COUNTERS, self.size, self.timeout, self.post))
-        totals = sent.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in self.COUNTERS]).first()
+            return dict.fromkeys([*self.COUNTERS, "n_errors"], 0) | {"errors": []}
+        sent = cut(self.batches(chunks))
+        totals = sent.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in self.COUNTERS], F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("n_errors")).first()
         return totals.asDict() | {"errors": [r.e for r in sent.select(F.explode("errors").alias("e")).limit(shown).collect()]}
 
     def healthy(self) -> bool:
         return self.enabled and http_ok(f"{self.base_url}/health")
-
-
-def batch_numbers(rows: DataFrame, key: str = "id", size: int = BATCH) -> DataFrame:
-    """(batch, n): rows in batches of ``size`` by the order of ``key`` within hash partitions, as the writers form them."""
-    from pyspark.sql import Window
-
-    part = F.pmod(F.xxhash64(key), F.lit(64))
-    place = F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1
-    return rows.select(part.alias("part"), F.floor(place / size).alias("batch")).groupBy("part", "batch").agg(F.count(F.lit(1)).alias("n"))

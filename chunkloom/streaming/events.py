@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -23,7 +25,7 @@ def event_chunks(events: DataFrame, config: ChunkConfig = ChunkConfig(), profile
     items = events_to_items(events, own)
     made = pieces(items, config, "code", carry=own).filter(F.col("error").isNull())
     return made.select(
-        *own, F.col("item").alias("event_id"), "path", chunk_id(F.col(own[0] if own else "item"), F.col("chunk_index"), F.col("chunker")).alias("chunk_id"), "chunk_index", "content", "token_count",
+        *own, F.col("item").alias("event_id"), "path", chunk_id(F.col(own[0] if own else "item"), F.col("chunk_index"), F.col("strategy")).alias("chunk_id"), "chunk_index", "content", "token_count",
         F.struct("language", F.col("meta_type").alias("entity_type"), F.col("symbol_name").alias("entity_name"), F.col("line_start").alias("start_line"),
                  F.col("line_end").alias("end_line"), F.lit(profile).alias("profile")).alias("metadata"))
 
@@ -36,18 +38,39 @@ def outbound(made: DataFrame, partitions: int = 6) -> DataFrame:
     return assigned(made.join(total, key).select(F.col("chunk_id").alias("key"), value.alias("value")), partitions)
 
 
+@dataclass
+class Pipeline:
+    """The queries of one pipeline: its events, and its dead letters where they are kept."""
+
+    events: StreamingQuery
+    dead: StreamingQuery | None = None
+
+    def awaitTermination(self) -> None:  # noqa: N802 - as a single query's
+        self.events.awaitTermination()
+        if self.dead:
+            self.dead.awaitTermination()
+
+    def stop(self) -> None:
+        self.events.stop()
+        if self.dead:
+            self.dead.stop()
+
+    @property
+    def recentProgress(self) -> list:  # noqa: N802
+        return self.events.recentProgress
+
+
 def run(spark: SparkSession, messages: DataFrame, sink, checkpoint: str, dead_letters: str | None = None, config: ChunkConfig = ChunkConfig(),
-        watermark: str = "1 day", once_only: bool = True, trigger: dict | None = None, partitions: int = 6) -> StreamingQuery:
+        watermark: str = "1 day", once_only: bool = True, trigger: dict | None = None, partitions: int = 6) -> Pipeline:
     """Runs the pipeline over a stream of JSON messages (value, and received_at for the watermark).
 
-    Events are kept once within the watermark, those with a null or blank identifier all pass as events of their own; each micro-batch goes to ``sink(batch, epoch)``, which must be idempotent by
-    chunk_id, as ids are the same when a batch is repeated. Messages that are no events go to ``dead_letters``.
+    Events are kept once within the watermark, those with a null or blank identifier all pass as events of their own; each
+    micro-batch goes to ``sink(batch, epoch)``, which must be idempotent by chunk_id, as ids are the same when a batch is
+    repeated. Messages that are no events go to ``dead_letters``.
     """
     decoded = _decoded(messages)
     key = uuid_key(F.col("event.event_id"))
     own = F.concat(F.lit("message:"), F.md5(F.concat_ws("\x1f", F.col("received_at").cast("string"), "raw")))
-    key = uuid_key(F.col("event.event_id"))
-    own = F.concat(F.lit("message:"), F.md5(F.concat_ws("\x1f", F.col("received_at").cast("string"), "raw")))
     events = decoded.filter("event IS NOT NULL").select("received_at", "event.*", F.when(key.isNull(), own).otherwise(F.col("event.event_id")).alias("event_key"), F.hex(key).alias("__key"))
     if once_only:
         # null keys would be equal to each other; a union of two branches would read the source twice
@@ -61,10 +84,11 @@ def run(spark: SparkSession, messages: DataFrame, sink, checkpoint: str, dead_le
         finally:
             made.unpersist()
 
+    dead = None
     if dead_letters:
         bad = decoded.filter("event IS NULL").select("raw", "received_at")
-        bad.writeStream.format("json").option("path", dead_letters).option("checkpointLocation", f"{checkpoint}/dead").trigger(**(trigger or {"availableNow": True})).start()
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/events").trigger(**(trigger or {"availableNow": True})).start()
+        dead = bad.writeStream.format("json").option("path", dead_letters).option("checkpointLocation", f"{checkpoint}/dead").trigger(**(trigger or {"availableNow": True})).start()
+    return Pipeline(events.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/events").trigger(**(trigger or {"availableNow": True})).start(), dead)
 
 
 def _decoded(messages: DataFrame) -> DataFrame:

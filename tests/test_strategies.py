@@ -1,4 +1,4 @@
-"""Goldens of the chunkers' contract, one per quirk, and invariants on random texts."""
+"""Goldens of the strategies' contract, one per quirk, and invariants on random texts."""
 
 import json
 
@@ -10,7 +10,7 @@ from chunkloom.config import ChunkConfig
 from chunkloom.functions.text import py_lines
 from chunkloom.functions.tokens import counter
 from chunkloom.operators import pack
-from chunkloom.operators.segment import CHUNKERS, Item, agentic, boundary, chat, chat_json, chunked, code, document, gaps, large_pieces, nesting_depth, recursive, sections, sentence, sentences, size, table, ticketing, token
+from chunkloom.operators.segment import STRATEGIES, Item, agentic, boundary, chat, chat_json, chunked, code, document, gaps, large_pieces, nesting_depth, recursive, sections, sentence, sentences, size, table, ticketing, token
 
 C = counter()
 cfg = ChunkConfig
@@ -130,7 +130,7 @@ TEXT = st.lists(st.sampled_from(list("ab1 .!?\n\r#|{}:,-é版🙂\t") + ["fn ",
 @given(TEXT, st.integers(1, 12), st.integers(0, 30))
 def test_invariants(text, limit, overlap):
     config = ChunkConfig(limit, overlap)
-    for name in CHUNKERS:
+    for name in STRATEGIES:
         made = chunked(Item(text), name, config, C)
         assert all(p.index == i for i, p in enumerate(made))
         assert all(p.end - p.start == size(p.content) or name in ("sentence", "agentic") for p in made)
