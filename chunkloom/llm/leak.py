@@ -85,6 +85,12 @@ class Index:
         self.known[(flat >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.bound = np.array(self.least, np.int64)
 
+    def reached(self, item: int, places: np.ndarray) -> list[tuple[int, int]]:
+        """The item's windows that have as many of these sorted places of shared q-grams as their own length demands."""
+        spans = np.array(self.windows[item], np.int64)
+        shared = np.searchsorted(places, spans[:, 1] - self.q, "right") - np.searchsorted(places, spans[:, 0], "left")
+        return [self.windows[item][k] for k in np.flatnonzero(shared >= np.maximum(1, spans[:, 1] - spans[:, 0] - self.q + 1 - self.q * self.edits))]
+
 
 def banded(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
     """Whether ``a`` aligns to a prefix of ``b`` with at most ``edits`` edits, inside a band of that half-width."""
@@ -133,22 +139,25 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int]]:
     # band b holds the diagonals from b * width to (b + 1) * width + 2 * edits, so that any 2 * edits + 1 neighbours share one
     shifted = diagonal + (1 << 30)
     bands = [shifted // width] + ([(shifted - x) // width for x in (2 * index.edits,)] if index.edits else [])
-    text, item, where, bands = (np.concatenate(x) for x in ([text] * len(bands), [item] * len(bands), [where] * len(bands), bands))
+    text, item, place, bands = (np.concatenate(x) for x in ([text] * len(bands), [item] * len(bands), [index.place[posting]] * len(bands), bands))
     packed = (text * len(index.ids) + item) * (1 << 31) + bands  # one number a group; texts of a batch are few
     order = np.argsort(packed, kind="stable")
     key = np.stack([text, item, bands], 1)[order]
     new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
     count = np.diff(np.concatenate([new, [len(key)]]))
     found: set[tuple[int, int]] = set()
-    for t, i, b in key[new[count >= index.bound[key[new, 1]]]].tolist():
+    enough = count >= index.bound[key[new, 1]]
+    for (t, i, b), begin, n in zip(key[new[enough]].tolist(), new[enough].tolist(), count[enough].tolist()):
         if (t, index.ids[i]) in found:
             continue
         own = codes[starts[t]: starts[t + 1] - 1]
+        windows = index.windows[i]
+        if index.edits:  # the bound holds for every window by itself
+            windows = index.reached(i, np.unique(place[order[begin:begin + n]]))
         first = b * width - (1 << 30)
-        for d in range(first, first + width + (2 * index.edits if index.edits else 0)):
-            if any(x + d >= 0 and banded(index.forms[i][x:y], own[x + d: y + d + index.edits], index.edits) for x, y in index.windows[i]):
-                found.add((t, index.ids[i]))
-                break
+        diagonals = range(first, first + width + (2 * index.edits if index.edits else 0))
+        if any(x + d >= 0 and banded(index.forms[i][x:y], own[x + d: y + d + index.edits], index.edits) for x, y in windows for d in diagonals):
+            found.add((t, index.ids[i]))
     return sorted(found)
 
 

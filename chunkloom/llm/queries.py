@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.llm import budget, credentials, encode, handwritten, leak, lookalike, markup, pieces
@@ -32,6 +32,20 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.oversized_pieces(*_oversized(spark, folder))
 
 
+def p4_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every oversized record as its pieces rebuild it, and whether all of them keep to the limits of size and overlap."""
+    made = pieces.oversized_pieces(*_oversized(spark, folder)).distinct()
+    record = ("record_kind", "record_key", "pos")
+    before = F.coalesce(F.lag("end_byte").over(Window.partitionBy(*record).orderBy("piece_no")), F.lit(0))
+    most = F.when(F.col("record_kind") == "item", pieces.ITEM_BYTES).when(F.col("record_kind") == "entity", pieces.ENTITY_BYTES)
+    placed = made.withColumn("before", before)
+    repeated = F.col("before") - F.col("start_byte")
+    kept = (repeated >= 0) & (F.coalesce(F.col("end_byte") - F.col("start_byte") <= most, F.lit(True))) & ((repeated <= pieces.OVERLAP_BYTES) | (F.col("record_kind") == "chunk"))
+    fresh = F.decode(F.expr("substring(encode(text, 'UTF-8'), before - start_byte + 1)"), "UTF-8")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("t")))), lambda x: x["t"]), "")
+    return placed.groupBy(*record).agg(F.md5(whole).alias("digest"), F.min(kept).alias("within"))
+
+
 def _oversized(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [table(spark, folder, name) for name in ("source_item", "code_normalized_event", "chunk")]
 
@@ -81,6 +95,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
 
+def p9_altered(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold 12 consecutive words of a test item with at most two edits of a character."""
+    return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"), edits=2)
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that look the same but differ as strings."""
     return lookalike.same_look(table(spark, folder, "documents"))
@@ -97,8 +116,8 @@ def p10_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_handwritten": p2_handwritten, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_estimated": p7_estimated,
-    "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_classes": p10_classes, "p10_text": p10_text,
+    "p2_found": p2_found, "p2_handwritten": p2_handwritten, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_rebuilt": p4_rebuilt, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_estimated": p7_estimated,
+    "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_altered": p9_altered, "p10_found": p10_found, "p10_classes": p10_classes, "p10_text": p10_text,
 }
 
 _SPANS = """SELECT delivery_id, u.i - 1 AS pos, e.start_line AS a, e.end_line AS b, string_split(regexp_replace(normalized_content, '\\n$', ''), chr(10)) AS lines
@@ -112,6 +131,10 @@ SQL: dict[str, str] = {
         UNION ALL SELECT DISTINCT 'chunk', id, 0 FROM chunk WHERE token_count > 512 AND token_count <= strlen(content)
         UNION ALL SELECT DISTINCT 'entity', delivery_id::VARCHAR, pos::INTEGER FROM ({_SPANS}) WHERE a IS NOT NULL AND b IS NOT NULL
             AND strlen(array_to_string(CASE WHEN b >= 1 AND a <= len(lines) AND a <= b THEN lines[greatest(a, 1):b] ELSE [] END, chr(10))) > 1500""",
+    "p4_rebuilt": f"""SELECT 'item' AS record_kind, id AS record_key, 0 AS pos, md5(any_value(content)) AS digest, true AS within FROM source_item WHERE strlen(content) > 6000 GROUP BY id
+        UNION ALL SELECT 'chunk', id, 0, md5(any_value(content)), true FROM chunk WHERE token_count > 512 AND token_count <= strlen(content) GROUP BY id
+        UNION ALL SELECT 'entity', delivery_id::VARCHAR, pos::INTEGER, md5(t), true FROM (SELECT delivery_id, pos, array_to_string(CASE WHEN b >= 1 AND a <= len(lines) AND a <= b THEN lines[greatest(a, 1):b] ELSE [] END, chr(10)) AS t
+            FROM ({_SPANS}) WHERE a IS NOT NULL AND b IS NOT NULL) WHERE strlen(t) > 1500""",
     "p7_found": f"""WITH names AS (SELECT lower(w) AS written, min(language) AS language FROM
             (SELECT language, unnest(list_concat([language, display_name], extensions)) AS w FROM language_ref) GROUP BY 1),
         counted AS (SELECT id, any_value(source_id) AS source_id, any_value({_KIND}) AS source_kind, any_value(token_count) AS token_count, any_value({_WRITTEN}) AS written
