@@ -11,7 +11,7 @@ from chunkloom.config import BatchConfig, ChunkConfig, ServiceConfig, profiles
 from chunkloom.functions.text import merge_short, split_sentences
 from chunkloom.functions.tokens import count_tokens, tile_tokens
 from chunkloom.operators import breaker, chunk, enrich, jobs, once, ring, route, symbols
-from chunkloom.sources import files, sinks
+from chunkloom.sources import connectors, files, sinks
 from chunkloom.storage import checkpoint_dir, table
 from chunkloom.streaming import events
 
@@ -268,6 +268,60 @@ def file_items(spark: SparkSession, folder: str) -> DataFrame:
     return files.files_to_items(given, "upload").select("id", "source_id", "source_kind", "content_type", "content", F.get_json_object("metadata", "$.language").alias("language"))
 
 
+def connector_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Files, pages and threads of upstream systems as items under stable ids."""
+    events = table(spark, folder, "code_normalized_event").filter("file_path IS NOT NULL AND normalized_content IS NOT NULL")
+    code = connectors.code_files(events.select(F.concat("file_path", F.lit("@"), "delivery_id").alias("path"), F.col("normalized_content").alias("content"), F.col("event_id").alias("sha")), "s", "repo", "main")
+    documents = table(spark, folder, "documents").filter("text IS NOT NULL")
+    pages = connectors.pages(documents.select(F.col("doc_id").cast("string").alias("key"), "title", F.col("text").alias("body"), F.lit(None).cast("string").alias("url"), F.col("fetched_at").alias("created_at")), "s")
+    threads = connectors.threads(once.once(table(spark, folder, "chat_thread"), F.col("thread_id"), [F.col("thread_ts")]), F.col("source_id")).withColumn("content", F.lit(None).cast("string"))
+    columns = ("id", "source_kind", "content_type", "content")
+    return code.select(*columns).unionByName(pages.select(*columns)).unionByName(threads.select(*columns))
+
+
+def chunk_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata of stored chunks built anew by the builders: code, with its symbol and lines."""
+    c = once.once(table(spark, folder, "chunk"), F.col("id"), [F.col("created_at")])
+    m = F.col("metadata")
+    made = chunk.with_lines(chunk.with_symbol(chunk.for_code(m["path"], m["language"]), m["symbol_name"], m["parent_symbol"]), m["line_range"]["start"], m["line_range"]["end"])
+    return c.select("id", made.alias("m")).select("id", "m.content_type", "m.path", "m.language", "m.symbol_name", "m.parent_symbol", F.col("m.line_range.start").alias("line_start"), F.col("m.line_range.end").alias("line_end"), "m.section")
+
+
+def file_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored chunks with the context of the delivered file at their path."""
+    c = once.once(table(spark, folder, "chunk"), F.col("id"), [F.col("created_at")])
+    files_ = table(spark, folder, "code_normalized_event").filter("file_path IS NOT NULL").groupBy(F.col("file_path").alias("path")).agg(F.min("language").alias("language"))
+    none = F.lit(None).cast("string")
+    context = F.struct(F.col("path").alias("file_path"), none.alias("repository"), none.alias("branch"), F.col("language"), F.lit("").alias("scope"),
+                       F.array().cast("array<struct<name:string,entity_type:string,signature:string>>").alias("definitions"), F.array().cast("array<string>").alias("dependencies"), none.alias("documentation"))
+    made = enrich.enriched_by_file(c.select("id", F.col("metadata.path").alias("path"), "content"), files_.select("path", context.alias("context")))
+    return made.select("id", "prefix", "enriched_content")
+
+
+def service_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The presets as the service lists them, after one was chosen; an unknown one is not taken."""
+    run = jobs.Service(spark, ServiceConfig())
+    chosen, unknown = run.set_active_profile("small"), run.set_active_profile("none")
+    return run.profiles().select("name", "chunk_size", "chunk_overlap", "active", F.lit(chosen and not unknown).alias("taken"))
+
+
+def service_strategies(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.Service(spark, ServiceConfig()).strategies().select("name", (F.length("description") > 0).alias("described"))
+
+
+def job_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs through their states: created, started, in progress, completed and failed."""
+    store = jobs.JobStore()
+    ids = [store.create(10 + i) for i in range(5)]
+    for job in ids[1:]:
+        store.start(job)
+    for job in ids[2:]:
+        store.progress(job, 4, 7)
+    store.complete(ids[3], 25)
+    store.fail(ids[4], "broken")
+    return store.table(spark).select("total_items", "status", "processed_items", "chunks_created", "error", F.col("started_at").isNotNull().alias("started"), F.col("completed_at").isNotNull().alias("ended"))
+
+
 def job_run(spark: SparkSession, folder: str) -> DataFrame:
     """A job over all items with both sinks: its state, and what the sinks took beside the chunks it counted."""
     taken: dict[str, int] = {}
@@ -333,7 +387,7 @@ QUERIES = {f.__name__: f for f in (
     chunk_items, chunk_rows, route_items, item_fields, detect_language, strategies_by_name, token_counts, token_windows, sentence_chunks, sentences, merged_sentences, recursive_chunks,
     document_chunks, heading_sections, chat_chunks, ticket_chunks, csv_chunks, markdown_table_chunks, code_line_chunks, code_entity_chunks, code_gaps, agentic_chunks, agentic_boundaries,
     content_analysis, nesting_depth, code_symbols, python_definitions, symbol_index, file_symbols, file_imports, enrich_prefix, large_item_split, batch_summary, chunk_totals, profiles_sweep,
-    graph_payload, embed_payload, sink_batches, request_items, file_items, job_run, job_counts, job_cleanup, ring_stats, ring_partitions, circuit_breaker, event_items, stream_event_chunks, batch_event_chunks)}
+    graph_payload, embed_payload, sink_batches, request_items, file_items, connector_items, chunk_metadata, file_context, service_profiles, service_strategies, job_states, job_run, job_counts, job_cleanup, ring_stats, ring_partitions, circuit_breaker, event_items, stream_event_chunks, batch_event_chunks)}
 
 _STRATEGY = """CASE WHEN content_type LIKE 'text/code:%' OR content_type LIKE '%x-source%' THEN 'code' WHEN content_type LIKE '%markdown%' THEN 'document'
     WHEN content_type LIKE '%json%' AND content_type LIKE '%chat%' THEN 'chat' WHEN content_type LIKE '%csv%' OR content_type LIKE '%table%' THEN 'table'
@@ -700,3 +754,24 @@ def _ticket_sql() -> str:
 
 
 SQL["ticket_chunks"] = _ticket_sql()
+
+_UUID_FORM = "concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32])"
+_ONE_CHUNK = "SELECT id, any_value(content) AS content, any_value(metadata) AS metadata FROM chunk GROUP BY id"
+SQL |= {
+    "connector_items": f"""SELECT {_UUID_FORM} AS id, source_kind, content_type, content FROM (
+        SELECT md5('repo:' || file_path || '@' || delivery_id) AS h, 'code_repo' AS source_kind, 'text/code:' || coalesce(CASE {_EXT} END, 'text') AS content_type, normalized_content AS content
+            FROM (SELECT *, lower(string_split(file_path || '@' || delivery_id, '.')[-1]) AS ext FROM code_normalized_event WHERE file_path IS NOT NULL AND normalized_content IS NOT NULL)
+        UNION ALL SELECT md5('notion:' || doc_id), 'wiki', 'text/markdown', text FROM documents WHERE text IS NOT NULL
+        UNION ALL SELECT md5(concat_ws(':', 'slack', coalesce(channel, ''), coalesce(thread_ts, messages[1].ts))), 'chat', 'application/json', NULL
+            FROM (SELECT thread_id, any_value(channel) AS channel, any_value(thread_ts) AS thread_ts, any_value(messages) AS messages FROM chat_thread GROUP BY thread_id))""",
+    "chunk_metadata": f"""SELECT id, 'code' AS content_type, metadata.path AS path, metadata.language AS language, metadata.symbol_name AS symbol_name, metadata.parent_symbol AS parent_symbol,
+        metadata.line_range.start AS line_start, metadata.line_range.end AS line_end, NULL::VARCHAR AS section FROM ({_ONE_CHUNK})""",
+    "file_context": f"""SELECT id, prefix, CASE WHEN prefix = '' THEN content ELSE prefix || chr(10) || '---' || chr(10) || content END AS enriched_content FROM (
+        SELECT c.id, c.content, coalesce('# File: ' || f.path || coalesce(CASE WHEN f.language <> '' THEN chr(10) || '# Language: ' || f.language END, ''), '') AS prefix
+        FROM ({_ONE_CHUNK}) c LEFT JOIN (SELECT file_path AS path, min(language) AS language FROM code_normalized_event WHERE file_path IS NOT NULL GROUP BY 1) f ON f.path = c.metadata.path)""",
+    "service_profiles": """SELECT name, size AS chunk_size, lap AS chunk_overlap, name = 'small' AS active, true AS taken
+        FROM (VALUES ('default', 512, 50), ('small', 256, 25), ('large', 1024, 100), ('code', 768, 64)) AS p(name, size, lap)""",
+    "service_strategies": f"SELECT unnest([{_PLAIN_NAMES}]) AS name, true AS described",
+    "job_states": """SELECT * FROM (VALUES (10, 'pending', 0, 0, NULL, false, false), (11, 'running', 0, 0, NULL, true, false), (12, 'running', 4, 7, NULL, true, false),
+        (13, 'completed', 13, 25, NULL, true, true), (14, 'failed', 4, 7, 'broken', true, true)) AS j(total_items, status, processed_items, chunks_created, error, started, ended)""",
+}
