@@ -39,6 +39,11 @@ def chunk_items(spark: SparkSession, folder: str) -> DataFrame:
     return chunk.pieces(_items(spark, folder)).drop("error")
 
 
+def chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of the chunks of every item through the strategy that it is routed to, at the default size."""
+    return chunk.pieces(_items(spark, folder)).filter("error IS NULL").select("item", "strategy", "chunk_index", "content", "token_count")
+
+
 def chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The same in the documented schema."""
     return chunk.chunks(_items(spark, folder), created_at=F.lit("2024-01-01").cast("timestamp")).drop("embedding")
@@ -208,6 +213,11 @@ def large_item_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batch_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk.batch(_items(spark, folder))[1]
+
+
+def batch_split_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with contents above 20,000 bytes cut before they are chunked."""
     return chunk.batch(_items(spark, folder), BatchConfig(max_content_size=20_000))[1]
 
 
@@ -384,9 +394,9 @@ def batch_event_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_items, chunk_rows, route_items, item_fields, detect_language, strategies_by_name, token_counts, token_windows, sentence_chunks, sentences, merged_sentences, recursive_chunks,
+    chunk_items, chunk_texts, chunk_rows, route_items, item_fields, detect_language, strategies_by_name, token_counts, token_windows, sentence_chunks, sentences, merged_sentences, recursive_chunks,
     document_chunks, heading_sections, chat_chunks, ticket_chunks, csv_chunks, markdown_table_chunks, code_line_chunks, code_entity_chunks, code_gaps, agentic_chunks, agentic_boundaries,
-    content_analysis, nesting_depth, code_symbols, python_definitions, symbol_index, file_symbols, file_imports, enrich_prefix, large_item_split, batch_summary, chunk_totals, profiles_sweep,
+    content_analysis, nesting_depth, code_symbols, python_definitions, symbol_index, file_symbols, file_imports, enrich_prefix, large_item_split, batch_summary, batch_split_summary, chunk_totals, profiles_sweep,
     graph_payload, embed_payload, sink_batches, request_items, file_items, connector_items, chunk_metadata, file_context, service_profiles, service_strategies, job_states, job_run, job_counts, job_cleanup, ring_stats, ring_partitions, circuit_breaker, event_items, stream_event_chunks, batch_event_chunks)}
 
 _STRATEGY = """CASE WHEN content_type LIKE 'text/code:%' OR content_type LIKE '%x-source%' THEN 'code' WHEN content_type LIKE '%markdown%' THEN 'document'
@@ -653,61 +663,63 @@ def _strip(text: str) -> str:
     return rf"regexp_replace({text}, '^[{WS}]+|[{WS}]+$', '', 'g')"
 
 
-# Documents: sections by headings; those above the limit by paragraphs, and paragraphs above it by sentences that begin a group of their own.
-SQL["document_chunks"] = rf"""WITH RECURSIVE lines AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT id, {_LINES.format('content')} AS l FROM ({_ONCE}))),
+def _document_sql(source: str, size: int) -> str:
+    """Documents: sections by headings; those above the limit by paragraphs, and paragraphs above it by sentences that begin a group of their own."""
+    return rf"""WITH RECURSIVE lines AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT id, {_LINES.format('content')} AS l FROM ({source}))),
     fenced AS (SELECT *, sum(starts_with(line, '```')::INTEGER) OVER (PARTITION BY id ORDER BY n) % 2 = 1 AS inside FROM lines),
     marked AS (SELECT *, NOT inside AND regexp_matches(line, '^#{{1,6}}[{WS}]+.+$') AS heading FROM fenced),
     numbered AS (SELECT *, sum(heading::INTEGER) OVER (PARTITION BY id ORDER BY n) AS section FROM marked),
     sec AS MATERIALIZED (SELECT id, section, string_agg(line || chr(10), '' ORDER BY n) AS body, max(CASE WHEN heading THEN regexp_extract(line, '^(#{{1,6}})', 1) END) AS marks,
         max(CASE WHEN heading THEN regexp_extract(line, '^#{{1,6}}[{WS}]+(.+)$', 1) END) AS title FROM numbered GROUP BY id, section HAVING bool_or(regexp_matches(line, '[^{WS}]'))),
     paras AS (SELECT id, section, o, p, {_COUNT.format('p')} AS w FROM (SELECT id, section, generate_subscripts(x, 1) AS o, unnest(x) AS p
-        FROM (SELECT id, section, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS x FROM sec WHERE {_COUNT.format('body')} > {SIZE}))),
-    seg AS (SELECT id, section, o, 0 AS q, p AS s, w, false AS fresh, true AS whole FROM paras WHERE w <= {SIZE}
+        FROM (SELECT id, section, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS x FROM sec WHERE {_COUNT.format('body')} > {size}))),
+    seg AS (SELECT id, section, o, 0 AS q, p AS s, w, false AS fresh, true AS whole FROM paras WHERE w <= {size}
         UNION ALL SELECT id, section, o, q, s, {_COUNT.format('s')}, q = 1, false FROM (SELECT id, section, o, generate_subscripts(x, 1) AS q, unnest(x) AS s
-            FROM (SELECT id, section, o, list_filter(list_transform(regexp_extract_all(p, '[^.!?]*[.!?]|[^.!?]+'), lambda x: {_strip('x')}), lambda x: x <> '') AS x FROM paras WHERE w > {SIZE}))),
+            FROM (SELECT id, section, o, list_filter(list_transform(regexp_extract_all(p, '[^.!?]*[.!?]|[^.!?]+'), lambda x: {_strip('x')}), lambda x: x <> '') AS x FROM paras WHERE w > {size}))),
     grouped AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY id, section ORDER BY o, q) AS g FROM seg),
     ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id, section, g ORDER BY o, q) AS i FROM grouped),
     walk AS (SELECT id, section, g, i, CASE WHEN whole THEN s ELSE s || ' ' END AS t, w AS held, 0 AS k FROM ranked WHERE i = 1
-        UNION ALL SELECT r.id, r.section, r.g, r.i, CASE WHEN held + r.w > {SIZE} THEN '' ELSE t END || CASE WHEN NOT whole THEN s || ' ' WHEN held + r.w > {SIZE} THEN s ELSE chr(10) || chr(10) || s END,
-            CASE WHEN held + r.w > {SIZE} THEN r.w ELSE held + r.w END, k + CASE WHEN held + r.w > {SIZE} THEN 1 ELSE 0 END
+        UNION ALL SELECT r.id, r.section, r.g, r.i, CASE WHEN held + r.w > {size} THEN '' ELSE t END || CASE WHEN NOT whole THEN s || ' ' WHEN held + r.w > {size} THEN s ELSE chr(10) || chr(10) || s END,
+            CASE WHEN held + r.w > {size} THEN r.w ELSE held + r.w END, k + CASE WHEN held + r.w > {size} THEN 1 ELSE 0 END
         FROM walk w JOIN ranked r ON r.id = w.id AND r.section = w.section AND r.g = w.g AND r.i = w.i + 1),
     made AS (SELECT id, section, g, k, arg_max(t, i) AS t FROM walk GROUP BY id, section, g, k),
     texts AS (SELECT m.id, m.section, g, k, title, CASE WHEN title IS NOT NULL AND row_number() OVER (PARTITION BY m.id, m.section ORDER BY g, k) = 1 THEN marks || ' ' || title || chr(10) || chr(10) || t ELSE t END AS content
-        FROM made m JOIN sec ON sec.id = m.id AND sec.section = m.section UNION ALL SELECT id, section, 0, 0, title, body FROM sec WHERE {_COUNT.format('body')} <= {SIZE})
+        FROM made m JOIN sec ON sec.id = m.id AND sec.section = m.section UNION ALL SELECT id, section, 0, 0, title, body FROM sec WHERE {_COUNT.format('body')} <= {size})
     SELECT id AS item, (row_number() OVER (PARTITION BY id ORDER BY section, g, k) - 1)::INTEGER AS chunk_index, content, {_COUNT.format('content')}::INTEGER AS token_count, title AS section FROM texts"""
 
 
-def _recursive_sql() -> str:
+def _recursive_sql(source: str, size: int) -> str:
     """Each separator in turn: what is too large is split by it and its parts are joined again as far as they fit; at last, cuts within words."""
-    steps = [f"WITH RECURSIVE todo0 AS (SELECT id, []::BIGINT[] AS path, content AS t FROM ({_ONCE}))"]
+    steps = [f"WITH RECURSIVE todo0 AS (SELECT id, []::BIGINT[] AS path, content AS t FROM ({source}))"]
     for k, sep in enumerate(("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")):
         text = f"'{sep}'" if "\n" not in sep else " || ".join(["chr(10)"] * len(sep))
         glue = len([c for c in sep if not c.isspace()])
-        steps.append(f"""big{k} AS MATERIALIZED (SELECT id, path, string_split(t, {text}) AS p FROM todo{k} WHERE {_COUNT.format('t')} > {SIZE}),
+        steps.append(f"""big{k} AS MATERIALIZED (SELECT id, path, string_split(t, {text}) AS p FROM todo{k} WHERE {_COUNT.format('t')} > {size}),
             part{k} AS MATERIALIZED (SELECT id, path, i, s, {_COUNT.format('s')} AS n FROM (SELECT id, path, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM big{k} WHERE len(p) > 1)),
             fold{k} AS (SELECT id, path, 0::BIGINT AS i, '' AS held, 0::BIGINT AS total, NULL::VARCHAR AS shut, NULL::VARCHAR AS big FROM big{k} WHERE len(p) > 1
-                UNION ALL SELECT f.id, f.path, p.i, CASE WHEN x.joined <= {SIZE} THEN CASE WHEN held = '' THEN s ELSE held || {text} || s END WHEN n > {SIZE} THEN '' ELSE s END,
-                    CASE WHEN x.joined <= {SIZE} THEN x.joined WHEN n > {SIZE} THEN 0 ELSE n END, CASE WHEN x.joined > {SIZE} AND held <> '' THEN held END, CASE WHEN x.joined > {SIZE} AND n > {SIZE} THEN s END
+                UNION ALL SELECT f.id, f.path, p.i, CASE WHEN x.joined <= {size} THEN CASE WHEN held = '' THEN s ELSE held || {text} || s END WHEN n > {size} THEN '' ELSE s END,
+                    CASE WHEN x.joined <= {size} THEN x.joined WHEN n > {size} THEN 0 ELSE n END, CASE WHEN x.joined > {size} AND held <> '' THEN held END, CASE WHEN x.joined > {size} AND n > {size} THEN s END
                 FROM fold{k} f JOIN part{k} p ON p.id = f.id AND p.path = f.path AND p.i = f.i + 1, LATERAL (SELECT CASE WHEN held = '' THEN n ELSE total + {glue} + n END AS joined) x),
-            done{k} AS (SELECT id, path, t FROM todo{k} WHERE {_COUNT.format('t')} <= {SIZE} AND t <> ''
+            done{k} AS (SELECT id, path, t FROM todo{k} WHERE {_COUNT.format('t')} <= {size} AND t <> ''
                 UNION ALL SELECT id, list_append(path, 2 * i), shut FROM fold{k} WHERE shut IS NOT NULL
                 UNION ALL SELECT id, list_append(path, 2 * i + 2), held FROM (SELECT id, path, max(i) AS i, arg_max(held, i) AS held FROM fold{k} GROUP BY id, path) WHERE held <> ''),
             todo{k + 1} AS (SELECT id, list_append(path, 2 * i + 1) AS path, big AS t FROM fold{k} WHERE big IS NOT NULL UNION ALL SELECT id, path, p[1] FROM big{k} WHERE len(p) = 1)""")
-    first = rf"'^(?:\s*(?:\w+\b|[^\w\s])){{{SIZE - 1}}}\s*\S'"
-    cut = f"CASE WHEN {_COUNT.format('{0}')} >= {SIZE} THEN regexp_extract({{0}}, {first}) ELSE {{0}} END"
-    steps.append(f"""chars AS (SELECT id, path, 0::BIGINT AS i, {cut.replace('{0}', 't')} AS t, t AS rest FROM todo8 WHERE {_COUNT.format('t')} > {SIZE}
+    first = rf"'^(?:\s*(?:\w+\b|[^\w\s])){{{size - 1}}}\s*\S'"
+    cut = f"CASE WHEN {_COUNT.format('{0}')} >= {size} THEN regexp_extract({{0}}, {first}) ELSE {{0}} END"
+    steps.append(f"""chars AS (SELECT id, path, 0::BIGINT AS i, {cut.replace('{0}', 't')} AS t, t AS rest FROM todo8 WHERE {_COUNT.format('t')} > {size}
         UNION ALL SELECT id, path, i + 1, {cut.replace('{0}', 'r')}, r FROM (SELECT id, path, i, substring(rest, length(t) + 1) AS r FROM chars) WHERE r <> ''),
-        made AS ({' UNION ALL '.join(f'SELECT id, path, t FROM done{k}' for k in range(8))} UNION ALL SELECT id, path, t FROM todo8 WHERE {_COUNT.format('t')} <= {SIZE} AND t <> ''
+        made AS ({' UNION ALL '.join(f'SELECT id, path, t FROM done{k}' for k in range(8))} UNION ALL SELECT id, path, t FROM todo8 WHERE {_COUNT.format('t')} <= {size} AND t <> ''
             UNION ALL SELECT id, list_append(path, i), t FROM chars),
         placed AS (SELECT id, path, t, sum(strlen(t)) OVER (PARTITION BY id ORDER BY path) AS e FROM made)""")
     return ", ".join(steps) + f""" SELECT id AS item, (row_number() OVER (PARTITION BY id ORDER BY path) - 1)::INTEGER AS chunk_index, t AS content, {_COUNT.format('t')}::INTEGER AS token_count,
         (e - strlen(t))::BIGINT AS start_index, e::BIGINT AS end_index FROM placed"""
 
 
-SQL["recursive_chunks"] = _recursive_sql()
+SQL["document_chunks"] = _document_sql(_ONCE, SIZE)
+SQL["recursive_chunks"] = _recursive_sql(_ONCE, SIZE)
 
 
-def _ticket_sql() -> str:
+def _ticket_sql(source: str, size: int) -> str:
     """Tickets from JSON or from field lines and the parts they open, rendered and packed."""
     texts = ("key", "title", "description", "status", "priority", "assignee", "reporter")
     typed = lambda path: f"coalesce(json_type(content, '$.{path}'), 'NULL') IN ('NULL', 'VARCHAR')"
@@ -719,7 +731,7 @@ def _ticket_sql() -> str:
     named = "CASE label WHEN 'Title' THEN 'title' WHEN 'Summary' THEN 'title' WHEN 'Status' THEN 'status' WHEN 'Priority' THEN 'priority' WHEN 'Assignee' THEN 'assignee' WHEN 'Reporter' THEN 'reporter' WHEN 'Author' THEN 'reporter' END"
     value = _strip("substring(t, length(label) + 2)")
     last = ", ".join(f"arg_max(v, n) FILTER (field = '{k}') AS {k}" for k in ("title", "status", "priority", "assignee"))
-    return rf"""WITH RECURSIVE src AS MATERIALIZED (SELECT id, content, {is_ticket} AS as_json FROM ({_ONCE})),
+    return rf"""WITH RECURSIVE src AS MATERIALIZED (SELECT id, content, {is_ticket} AS as_json FROM ({source})),
     lines AS (SELECT id, n, t, {label} AS label FROM (SELECT id, generate_subscripts(l, 1) AS n, {_strip('unnest(l)')} AS t FROM (SELECT id, {_LINES.format('content')} AS l FROM src WHERE NOT as_json))),
     told AS (SELECT *, {named} AS field, {value} AS v, CASE label WHEN 'Description' THEN 'description' WHEN 'Comments' THEN 'comments' WHEN 'Discussion' THEN 'comments' END AS part FROM lines),
     placed AS (SELECT *, count(part) OVER (PARTITION BY id ORDER BY n) AS p, coalesce(last_value(part IGNORE NULLS) OVER (PARTITION BY id ORDER BY n), 'description') AS name FROM told),
@@ -738,22 +750,22 @@ def _ticket_sql() -> str:
             coalesce(list_transform(json_extract(content, '$.comments[*]'), lambda c: {{'author': json_extract_string(c, '$.author'), 'body': json_extract_string(c, '$.body')}}), []), content FROM src WHERE as_json),
     told_text AS (SELECT id, concat_ws(chr(10), '# ' || title, '**Ticket**: ' || key, '**Status**: ' || status, '**Priority**: ' || priority, '**Assignee**: ' || assignee)
         || chr(10) || chr(10) || '## Description' || chr(10) || chr(10) || description AS t FROM tickets WHERE description IS NOT NULL),
-    seg AS MATERIALIZED (SELECT id, i, s, {_COUNT.format('s')} AS w FROM (SELECT id, generate_subscripts(x, 1) AS i, unnest(x) AS s FROM (SELECT id, string_split(t, '. ') AS x FROM told_text WHERE {_COUNT.format('t')} > {SIZE}))),
+    seg AS MATERIALIZED (SELECT id, i, s, {_COUNT.format('s')} AS w FROM (SELECT id, generate_subscripts(x, 1) AS i, unnest(x) AS s FROM (SELECT id, string_split(t, '. ') AS x FROM told_text WHERE {_COUNT.format('t')} > {size}))),
     walk AS (SELECT id, i, s AS t, w AS held, 0 AS k FROM seg WHERE i = 1
-        UNION ALL SELECT p.id, p.i, CASE WHEN held + p.w > {SIZE} THEN s ELSE t || '. ' || s END, CASE WHEN held + p.w > {SIZE} THEN p.w ELSE held + p.w END, k + CASE WHEN held + p.w > {SIZE} THEN 1 ELSE 0 END
+        UNION ALL SELECT p.id, p.i, CASE WHEN held + p.w > {size} THEN s ELSE t || '. ' || s END, CASE WHEN held + p.w > {size} THEN p.w ELSE held + p.w END, k + CASE WHEN held + p.w > {size} THEN 1 ELSE 0 END
         FROM walk w JOIN seg p ON p.id = w.id AND p.i = w.i + 1),
     together AS (SELECT id, comments, '## Comments' || chr(10) || chr(10) || array_to_string(list_transform(comments, lambda c: coalesce('**' || c.author || '**:' || chr(10), '') || c.body || chr(10) || chr(10) || '---' || chr(10) || chr(10)), '') AS t
         FROM tickets WHERE len(comments) > 0),
-    made AS (SELECT id, 0 AS o, 0 AS k, t AS content, {_COUNT.format('t')} AS n, 'description' AS meta_type, NULL AS author FROM told_text WHERE {_COUNT.format('t')} <= {SIZE}
+    made AS (SELECT id, 0 AS o, 0 AS k, t AS content, {_COUNT.format('t')} AS n, 'description' AS meta_type, NULL AS author FROM told_text WHERE {_COUNT.format('t')} <= {size}
         UNION ALL SELECT id, 0, k, arg_max(t, i), arg_max(held, i), 'description', NULL FROM walk GROUP BY id, k
-        UNION ALL SELECT id, 1, 0, t, {_COUNT.format('t')}, 'comments', NULL FROM together WHERE {_COUNT.format('t')} <= {SIZE}
+        UNION ALL SELECT id, 1, 0, t, {_COUNT.format('t')}, 'comments', NULL FROM together WHERE {_COUNT.format('t')} <= {size}
         UNION ALL SELECT id, 1, k, content, {_COUNT.format('content')}, 'comment', author FROM (SELECT id, k, c.author AS author, coalesce('**' || c.author || '**: ', '') || c.body AS content
-            FROM (SELECT id, generate_subscripts(comments, 1) AS k, unnest(comments) AS c FROM together WHERE {_COUNT.format('t')} > {SIZE}))
+            FROM (SELECT id, generate_subscripts(comments, 1) AS k, unnest(comments) AS c FROM together WHERE {_COUNT.format('t')} > {size}))
         UNION ALL SELECT id, 2, 0, content, {_COUNT.format('content')}, NULL, NULL FROM tickets WHERE description IS NULL AND len(comments) = 0)
     SELECT id AS item, (row_number() OVER (PARTITION BY id ORDER BY o, k) - 1)::INTEGER AS chunk_index, content, n::INTEGER AS token_count, meta_type, author FROM made"""
 
 
-SQL["ticket_chunks"] = _ticket_sql()
+SQL["ticket_chunks"] = _ticket_sql(_ONCE, SIZE)
 
 _UUID_FORM = "concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32])"
 _ONE_CHUNK = "SELECT id, any_value(content) AS content, any_value(metadata) AS metadata FROM chunk GROUP BY id"
@@ -775,3 +787,44 @@ SQL |= {
     "job_states": """SELECT * FROM (VALUES (10, 'pending', 0, 0, NULL, false, false), (11, 'running', 0, 0, NULL, true, false), (12, 'running', 4, 7, NULL, true, false),
         (13, 'completed', 13, 25, NULL, true, true), (14, 'failed', 4, 7, 'broken', true, true)) AS j(total_items, status, processed_items, chunks_created, error, started, ended)""",
 }
+
+
+def _line_sql(source: str, size: int, back: int) -> str:
+    """Code without entities: lines until the limit is reached, each chunk beginning ``back`` lines before the last one's end."""
+    reach = f"coalesce(list_min(list_filter(range({{0}} + 1, n + 1), lambda e: p[e + 1] - p[{{0}} + 1] >= {size})), n)"
+    return f"""WITH RECURSIVE f AS MATERIALIZED (SELECT id, l, len(l) AS n, {_PREFIX.format('l')} AS p FROM (SELECT id, {_LINES.format('content')} AS l FROM ({source})) WHERE len(l) > 0),
+        walk AS (SELECT id, 0 AS k, 0::BIGINT AS a, {reach.format('0')} AS b FROM f
+            UNION ALL SELECT id, k + 1, s, {reach.format('s')} FROM (SELECT walk.id, k, n, p, CASE WHEN b - least({back}, b - a) <= a THEN b ELSE b - least({back}, b - a) END AS s
+                FROM walk JOIN f ON f.id = walk.id) WHERE s < n)
+        SELECT walk.id AS item, k AS chunk_index, array_to_string(l[a + 1:b], chr(10)) AS content, p[b + 1] - p[a + 1] AS token_count FROM walk JOIN f ON f.id = walk.id"""
+
+
+def _chat_sql(source: str, size: int) -> str:
+    """Threads from JSON or from lines, messages packed."""
+    valid = """contains(coalesce(content_type, ''), 'json') AND CASE WHEN json_valid(content) THEN json_type(content) = 'OBJECT' AND json_type(content, '$.messages') = 'ARRAY'
+        AND coalesce(json_type(content, '$.channel'), 'NULL') IN ('NULL', 'VARCHAR') AND coalesce(json_type(content, '$.thread_ts'), 'NULL') IN ('NULL', 'VARCHAR')
+        AND coalesce(list_bool_and(list_transform(json_extract(content, '$.messages[*]'), lambda m: json_type(m) = 'OBJECT' AND coalesce(json_type(m, '$.user'), '') = 'VARCHAR'
+            AND coalesce(json_type(m, '$.text'), '') = 'VARCHAR' AND coalesce(json_type(m, '$.ts'), 'NULL') IN ('NULL', 'VARCHAR'))), true) ELSE false END"""
+    speaker = _strip("substring(who, strpos(who, ']') + 1)")
+    segments = f"""SELECT id AS item, row_number() OVER (PARTITION BY id ORDER BY k) AS i, s, {_COUNT.format('s')} AS w FROM (
+        SELECT id, generate_subscripts(m, 1) AS k, unnest(m) AS s FROM (SELECT id, list_transform(json_extract(content, '$.messages[*]'), lambda m: json_extract_string(m, '$.user') || ': ' || json_extract_string(m, '$.text')) AS m
+            FROM (SELECT *, {valid} AS as_json FROM ({source})) WHERE as_json)
+        UNION ALL SELECT id, k, CASE WHEN NOT contains(line, ': ') THEN 'unknown: ' || line WHEN starts_with(who, '[') AND contains(who, ']') THEN {speaker} || ': ' || said ELSE who || ': ' || said END FROM (
+            SELECT id, k, line, string_split(line, ': ')[1] AS who, substring(line, strpos(line, ': ') + 2) AS said FROM (SELECT id, generate_subscripts(l, 1) AS k, unnest(l) AS line FROM (
+                SELECT id, {_LINES.format('content')} AS l FROM (SELECT *, {valid} AS as_json FROM ({source})) WHERE NOT as_json)) WHERE regexp_matches(line, '[^{WS}]')))"""
+    return f"SELECT item, chunk_index, content, {_COUNT.format('content')} AS token_count FROM ({_packed(segments, str(size), 'chr(10)')})"
+
+
+def _sentence_sql(source: str, size: int) -> str:
+    return _packed(_MERGED.replace("FROM documents WHERE text <> ''", f"FROM (SELECT id AS doc_id, content AS text FROM ({source}))"), str(size))
+
+
+def _routed_sql(size: int, back: int) -> str:
+    made = {"code": lambda s: _line_sql(s, size, back), "document": lambda s: _document_sql(s, size), "recursive": lambda s: _recursive_sql(s, size), "chat": lambda s: _chat_sql(s, size),
+            "ticketing": lambda s: _ticket_sql(s, size), "sentence": lambda s: _sentence_sql(s, size)}
+    source = f"SELECT id, any_value(content) AS content, any_value(content_type) AS content_type FROM source_item WHERE content <> '' AND {_STRATEGY} = '{{}}' GROUP BY id"
+    return " UNION ALL ".join(f"SELECT item, '{name}' AS strategy, chunk_index::INTEGER AS chunk_index, content, token_count::INTEGER AS token_count FROM ({of(source.format(name))})" for name, of in made.items())
+
+
+SQL["chunk_texts"] = _routed_sql(512, 5)
+SQL["batch_summary"] = f"""SELECT n AS total_items, n AS processed, 0 AS failed, (SELECT count(*) FROM ({SQL['chunk_texts']})) AS total_chunks FROM (SELECT count(DISTINCT id) AS n FROM source_item)"""
