@@ -251,3 +251,11 @@ def test_sql_functions(spark):
     assert [r.n for r in spark.sql("SELECT count_tokens(content) AS n FROM texts ORDER BY id").collect()] == [8, 0, None]
     assert spark.sql("SELECT detect_language('a.PY') AS l, count_tokens('a b') AS n").first().l == "python"
     assert {r.tableName for r in spark.sql("SHOW TABLES").collect()} >= {"texts"}
+
+
+def test_dates_with_an_offset_only(spark):
+    from chunkloom.operators.chunk import rfc3339
+
+    texts = ["2024-01-31T09:05:07Z", "2024-01-31T09:05:07.25+02:00", "2024-01-31 09:05:07", "2024-01-31", "1706691907", "", None, "x"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_micros(rfc3339(F.col("t"))).alias("us")).collect()
+    assert [r.us for r in got] == [1706691907000000, 1706684707250000, None, None, None, None, None, None]

@@ -164,3 +164,43 @@ def test_packing_kernel(weights, budget, glue):
 
 def test_lines():
     assert py_lines("a\r\nb\rc\n\n") == ["a", "b\rc", ""] and py_lines("") == [] and py_lines("x\r") == ["x\r"] and py_lines("\n") == [""]
+
+
+def test_cut_files_keep_their_entities():
+    rows = [f"line {i} of the file" for i in range(1, 41)]
+    own = [{"entity_type": "function", "name": "first", "start_line": 2, "end_line": 4}, {"entity_type": "function", "name": "across", "start_line": 18, "end_line": 24},
+           {"entity_type": "function", "name": "last", "start_line": 38, "end_line": 40}, {"entity_type": "function", "name": "none", "start_line": None, "end_line": 3}]
+    item = Item("\n".join(rows), "text/code:python", "a.py", "python", own)
+    whole, made = chunked(item, "code", cfg(512), C), chunked(item, "code", cfg(512), C, most=20 * len(rows[-1]))
+    assert {p.meta.get("symbol_name") for p in made} == {p.meta.get("symbol_name") for p in whole} == {"first", "across", "last", None}
+    for p in made:
+        a, b = p.meta["lines"]
+        assert p.content == "\n".join(rows[a - 1:b])
+    assert sorted(x for p in made if p.meta.get("symbol_name") == "across" for x in range(p.meta["lines"][0], p.meta["lines"][1] + 1)) == list(range(18, 25))
+    assert [p.index for p in made] == list(range(len(made)))
+
+
+def test_threads_in_json_are_not_cut():
+    import json
+
+    thread = json.dumps({"messages": [{"user": "u", "text": f"message {i}"} for i in range(50)]})
+    item = Item(thread, "application/json")
+    assert [p.content for p in chunked(item, "chat", cfg(20), C, most=100)] == [p.content for p in chunked(item, "chat", cfg(20), C)]
+
+
+def test_reach_of_a_vocabulary(tmp_path):
+    import os
+
+    from chunkloom.functions.tokens import counter
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        return
+    bpe = counter(f"bpe:{path}")
+    text = "some words, numbers 12345   and 版本已被拆分 🙂🙂 internationalization " * 3
+    for start in range(0, len(text), 7):
+        for limit in (1, 2, 5, 17, 40):
+            end = start + 1
+            while end < len(text) and bpe.count(text[start:end]) < limit:
+                end += 1
+            assert bpe.reach(text, start, limit) == min(end, len(text))
