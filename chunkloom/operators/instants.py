@@ -33,7 +33,7 @@ CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z$
 BARE_FROM, BARE_TO = 1_640_995_200_000_000, 1_798_761_600_000_000  # 2022 up to 2027, in microseconds
 UNITS = {"s": 1_000_000, "ms": 1_000, "us": 1, "ns": 0}
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
-FEW_BLOCKS = 500_000  # the ends of so many blocks are broadcast, some 30 MB; more are joined by shuffling
+FEW_BLOCKS = 100_000  # the ends of so many blocks are broadcast, some 20 MB; more are joined by shuffling
 EPOCH = datetime(1970, 1, 1)
 CANDIDATES = "array<struct<form:string,utc_us:bigint,cost:double>>"
 
