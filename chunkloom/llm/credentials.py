@@ -44,11 +44,21 @@ _SETTINGS = {"required", "optional", "hidden", "prompt", "plain", "default", "di
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: What may stand between the letters of a name without being one of its words.
 _GAP = r"[_$\-\x80-\U0010ffff]*"
-#: In lower case, a superset of what every rule needs; each choice begins with its own letter, for speed.
-_HINT = re.compile("|".join([
-    r"pass|pwd|secret|token|key|cred|auth|bearer|hmac|jwt|session|identified\s|eyj|basic\s|-u[\s=]|--user[\s=]|://|connect|login|logon|signin|bind|mysql|mariadb|redis-cli|mongo|ldap|docker"
-    r"|k(?![a-z0-9])(?<![a-z0-9]k)",
-    *(rf"{w[0]}(?={_GAP}{w[1]}){_GAP.join(w)[1:]}(?![a-z0-9])" for w in sorted(_PASSWORDS | _SECRETS))]))
+# What begins a hint, as patterns.
+_HINTS = ["pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "hmac", "jwt", "session", r"identified\s", "eyj", r"basic\s", r"-u[\s=]", r"--user[\s=]", "://", "connect", "login", "logon",
+          "signin", "bind", "mysql", "mariadb", "redis-cli", "mongo", "ldap", "docker", r"k(?![a-z0-9])(?<![a-z0-9]k)"]
+
+
+def _by_first(patterns: list[str]) -> str:
+    """One choice a first character, for speed."""
+    groups: dict[str, list[str]] = {}
+    for p in patterns:
+        groups.setdefault(p[0], []).append(p[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
+#: In lower case, a superset of what every rule needs.
+_HINT = re.compile(_by_first([*_HINTS, *(rf"{w[0]}(?={_GAP}{w[1]}){_GAP.join(w)[1:]}(?![a-z0-9])" for w in sorted(_PASSWORDS | _SECRETS))]))
 #: From a name to its value: closing marks, a declared type, the operator.
 _ASSIGN = re.compile(
     r"""(?:\\?["'`])?+\]?+(?:\[\w*+\])?+\s*+(?:(?::\s*+(?:const\s++)?(?!\w++\s*+:)[^\W\d](?:[\w\[\]*&|?\x20]|::|<(?:[^<>=\n]|<[^<>=\n]*+>)*+>)*+(?<=\s)(?==\s)|[a-z][\w<>\[\]]*+\s*+(?=:?=[^=>])))?+"""
@@ -72,6 +82,7 @@ _URL = re.compile(r"://(?P<user>[^\s:/@\"'`]*+):(?P<bare>[^\s@/\"'`]++)@(?=[\w\[
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+")
 _PREFIXED = re.compile(r"(?<![\w\-./+])(?:[a-z]{2,4}\d?[_\-](?:(?:live|test|sk|pk|pat)[_\-])?|[A-Z]{2,4}\.)[A-Za-z0-9]{10,}+(?:[_\-][A-Za-z0-9]++)*+(?![\w\-/])")
 _BASE64 = re.compile(r"(?<![\w+/=\-])[A-Za-z0-9+/]{24,}+={0,2}(?![\w+/=])")
+_LONG = re.compile(r"[A-Za-z0-9+/=_.\-]{12,}+")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"(?:(?:\\[rn])|[\s\"'+#/*|,;<>\-]|&#?\w+;)*(?:[A-Z][\w\-]*: [^\n\\]*(?:\\n|\n)[\s#/*]*)*(?P<body>[A-Za-z0-9+/=]{16,})")
 #: The next line of a block without an end: joined to the one before by a line end (written out or not), with nothing but joiners after it.
@@ -207,18 +218,30 @@ class _Scan:
         self.head = (-1, -1)  # the last line's begin and the end of what may stand before a setting's name
 
     def run(self, begin: int, end: int) -> None:
-        for kind, a, b in lexer.tokens(self.text, begin, end):
-            n = bisect_left(self.hints, a)
-            hinted = n < len(self.hints) and self.hints[n] < b
-            if not hinted and not (n and self.text[a:b] in ("k", "_k", "$k")):
-                continue
-            if kind == "name":
-                self.named(self.text[a:b], a, b, end)
-                continue
-            held = self.text[a:b] if b - a < 200 else ""
-            if held and lexer.TOKEN.fullmatch(held) and _kind(held):
-                self.named(held, a, b, end)
-            self.run(a, b)
+        """Names at hints between the literals, and the literals that hold a hint, in order."""
+        n, at = bisect_left(self.hints, begin), begin
+        for _, a, b in lexer.literals(self.text, begin, end):
+            if n == len(self.hints) or self.hints[n] >= end:
+                return
+            if self.hints[n] < a:
+                n, at = self.names(n, at, a, end)
+            inside = bisect_left(self.hints, b, n)
+            if inside > n:
+                held = self.text[a:b] if b - a < 200 else ""
+                if held and lexer.NAME.fullmatch(held) and _kind(held):
+                    self.named(held, a, b, end)
+                self.run(a, b)
+                n = inside
+            at = b
+        self.names(n, at, end, end)
+
+    def names(self, n: int, at: int, stop: int, end: int) -> tuple[int, int]:
+        while n < len(self.hints) and (hint := self.hints[n]) < stop:
+            if hint >= at and (span := lexer.name_at(self.text, hint, at, stop)):
+                at = span[1]
+                self.named(self.text[span[0]:at], *span, end)
+            n += 1
+        return n, at
 
     def named(self, name: str, a: int, b: int, end: int) -> None:
         kind, takes_account, looks_up, sets = _role(name)
@@ -441,14 +464,16 @@ def _without(text: str, blocks: list[tuple[int, int, int]]) -> str:
 
 
 def _anywhere(text: str) -> list[Parts]:
-    """Tokens that need no name or word beside them; none spans lines."""
+    """Tokens that need no name or word beside them; none spans lines. All have capitals."""
     found: list[Parts] = []
-    for m in _PREFIXED.finditer(text):
-        if _random(m[0]) and sum(c.isdigit() for c in m[0]) and any(c.isupper() for c in m[0][4:]) and not _PLACEHOLDER.search(m[0]):
-            found.append([m.span()])
-    for m in _BASE64.finditer(text):
-        if _hidden(m[0]):
-            found.append([m.span()])
+    for run in _LONG.finditer(text):
+        if run[0].islower() or run[0].lower() == run[0]:
+            continue
+        for m in _PREFIXED.finditer(text, *run.span()):
+            if _random(m[0]) and sum(c.isdigit() for c in m[0]) and any(c.isupper() for c in m[0][4:]) and not _PLACEHOLDER.search(m[0]):
+                found.append([m.span()])
+        if run.end() - run.start() >= 24:
+            found += [[m.span()] for m in _BASE64.finditer(text, *run.span()) if _hidden(m[0])]
     return found
 
 
