@@ -297,7 +297,7 @@ def _bodies(files: DataFrame, key: str, text: str, source: str, path: str, repos
 def _copied(bodies: DataFrame) -> DataFrame:
     """(k, copied) of rows whose body stands in more than one source."""
     known = bodies.filter("body IS NOT NULL").select("k", "s", "body")
-    several = known.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).filter("a <> b").select("body", "n")
+    several = cut(known.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).filter("a <> b").select("body", "n"))
     return cut(with_facts(known, several, "body", "n").select("k").distinct().withColumn("copied", F.lit(True)))
 
 

@@ -211,7 +211,7 @@ def _keyed(texts: DataFrame, key: str, text: str) -> DataFrame:
 def _members(keyed: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """(string, form, copies, strings, rows) of the texts whose form another text has as well, and (k, ...) of their rows."""
     strings = keyed.groupBy("string").agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("copies"))
-    shared = strings.groupBy("form").agg(F.count(F.lit(1)).alias("strings"), F.sum("copies").alias("rows")).filter("strings > 1")
+    shared = cut(strings.groupBy("form").agg(F.count(F.lit(1)).alias("strings"), F.sum("copies").alias("rows")).filter("strings > 1"))
     alike = cut(with_facts(strings, shared, "form", "strings", hot_rows))
     return alike, with_facts(keyed.select("k", "string"), alike, "string", "copies", hot_rows)
 
