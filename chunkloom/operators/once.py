@@ -92,7 +92,8 @@ def once(messages: DataFrame, key: Column, order: list[Column], stored: DataFram
 
     With ``stored`` (the columns of key and order at least) the result holds only rows of ``messages``, those that have to be
     added to it; stored rows are read for key and order only. Rows with a null key are messages of their own and all pass.
-    Of rows equal in ``order`` one is kept. An empty table gives an empty one.
+    Of rows equal in ``order`` one is kept; where whole rows repeat, an order that ends with ``storage.row_address`` spares their
+    ranking. An empty table gives an empty one.
     """
     keyed = _keyed(messages, key, [F.lit(1), *order])
     every = keyed if stored is None else _keyed(stored, key, [F.lit(0), *order]).drop("__row").unionByName(keyed.drop("__row"))

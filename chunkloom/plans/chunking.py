@@ -12,7 +12,7 @@ from chunkloom.functions.text import merge_short, split_sentences
 from chunkloom.functions.tokens import count_tokens, tile_tokens
 from chunkloom.operators import breaker, chunk, enrich, jobs, once, ring, route, symbols
 from chunkloom.sources import connectors, files, sinks
-from chunkloom.storage import checkpoint_dir, table
+from chunkloom.storage import checkpoint_dir, row_address, table
 from chunkloom.streaming import events
 
 WS = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}"
@@ -21,7 +21,7 @@ SIZE = 64
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
     """Each item once; whole rows repeat under their id."""
-    return once.once(table(spark, folder, "source_item"), F.col("id"), [F.col("synced_at")])
+    return once.once(table(spark, folder, "source_item"), F.col("id"), [F.col("synced_at"), *row_address()])
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +108,7 @@ def heading_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 def chat_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Threads of the chat table, rendered as JSON items."""
-    threads = once.once(table(spark, folder, "chat_thread"), F.col("thread_id"), [F.col("thread_ts")])
+    threads = once.once(table(spark, folder, "chat_thread"), F.col("thread_id"), [F.col("thread_ts"), *row_address()])
     items = threads.select(
         F.col("thread_id").alias("id"), F.lit("chat").alias("source_kind"), F.lit("application/json").alias("content_type"), F.lit("{}").alias("metadata"),
         F.to_json(F.struct("channel", "thread_ts", "messages")).alias("content"))
@@ -258,7 +258,7 @@ def _answer(url: str, body: dict, timeout: float) -> dict:
 
 def sink_batches(spark: SparkSession, folder: str) -> DataFrame:
     """What both sinks post and what comes back, over distinct chunks, with a service within the process."""
-    chunks = once.once(table(spark, folder, "chunk"), F.col("id"), [F.col("created_at")])
+    chunks = once.once(table(spark, folder, "chunk"), F.col("id"), [F.col("created_at"), *row_address()])
     embedded = sinks.EmbeddingSink("http://embed", post=_answer).batches(chunks).select(F.lit("embedding").alias("sink"), "sent", F.col("embedded_count").alias("taken"), F.lit(0).cast("bigint").alias("entities"))
     linked = sinks.GraphSink("http://graph", post=_answer).batches(chunks).select(F.lit("graph").alias("sink"), "sent", F.col("chunks_processed").alias("taken"), F.col("entities_created").alias("entities"))
     return embedded.unionByName(linked).groupBy("sink").agg(F.sum("sent").alias("sent"), F.sum("taken").alias("taken"), F.sum("entities").alias("entities"), (F.max("sent") <= sinks.BATCH).alias("within_size"))
@@ -266,7 +266,7 @@ def sink_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 def request_items(spark: SparkSession, folder: str) -> DataFrame:
     """Items of JSON requests: each source's items as one request a month, decoded again."""
-    items = once.once(table(spark, folder, "source_item"), F.col("id"), [F.col("synced_at")])
+    items = once.once(table(spark, folder, "source_item"), F.col("id"), [F.col("synced_at"), *row_address()])
     fields = ("id", "source_id", "source_kind", "content_type", "content", "metadata")
     requests = items.groupBy("source_id", F.trunc("synced_at", "month").alias("m")).agg(F.to_json(F.struct(F.collect_list(F.struct(*fields)).alias("items"))).alias("value"))
     return files.items_from_json(requests).select(*fields)
@@ -284,14 +284,14 @@ def connector_items(spark: SparkSession, folder: str) -> DataFrame:
     code = connectors.code_files(events.select(F.concat("file_path", F.lit("@"), "delivery_id").alias("path"), F.col("normalized_content").alias("content"), F.col("event_id").alias("sha")), "s", "repo", "main")
     documents = table(spark, folder, "documents").filter("text IS NOT NULL")
     pages = connectors.pages(documents.select(F.col("doc_id").cast("string").alias("key"), "title", F.col("text").alias("body"), F.lit(None).cast("string").alias("url"), F.col("fetched_at").alias("created_at")), "s")
-    threads = connectors.threads(once.once(table(spark, folder, "chat_thread"), F.col("thread_id"), [F.col("thread_ts")]), F.col("source_id")).withColumn("content", F.lit(None).cast("string"))
+    threads = connectors.threads(once.once(table(spark, folder, "chat_thread"), F.col("thread_id"), [F.col("thread_ts"), *row_address()]), F.col("source_id")).withColumn("content", F.lit(None).cast("string"))
     columns = ("id", "source_kind", "content_type", "content")
     return code.select(*columns).unionByName(pages.select(*columns)).unionByName(threads.select(*columns))
 
 
 def chunk_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Metadata of stored chunks built anew by the builders: code, with its symbol and lines."""
-    c = once.once(table(spark, folder, "chunk"), F.col("id"), [F.col("created_at")])
+    c = once.once(table(spark, folder, "chunk"), F.col("id"), [F.col("created_at"), *row_address()])
     m = F.col("metadata")
     made = chunk.with_lines(chunk.with_symbol(chunk.for_code(m["path"], m["language"]), m["symbol_name"], m["parent_symbol"]), m["line_range"]["start"], m["line_range"]["end"])
     return c.select("id", made.alias("m")).select("id", "m.content_type", "m.path", "m.language", "m.symbol_name", "m.parent_symbol", F.col("m.line_range.start").alias("line_start"), F.col("m.line_range.end").alias("line_end"), "m.section")
@@ -299,7 +299,7 @@ def chunk_metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 def file_context(spark: SparkSession, folder: str) -> DataFrame:
     """Stored chunks with the context of the delivered file at their path."""
-    c = once.once(table(spark, folder, "chunk"), F.col("id"), [F.col("created_at")])
+    c = once.once(table(spark, folder, "chunk"), F.col("id"), [F.col("created_at"), *row_address()])
     files_ = table(spark, folder, "code_normalized_event").filter("file_path IS NOT NULL").groupBy(F.col("file_path").alias("path")).agg(F.min("language").alias("language"))
     none = F.lit(None).cast("string")
     context = F.struct(F.col("path").alias("file_path"), none.alias("repository"), none.alias("branch"), F.col("language"), F.lit("").alias("scope"),

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def row_address() -> list[Column]:
+    """The place of each row of a table read from Parquet files: unique, and the same in every scan."""
+    return [F.xxhash64(F.col("_metadata.file_path")), F.col("_metadata.row_index")]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
